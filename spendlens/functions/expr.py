@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,17 @@ def lookup(values: dict, key: Column, default=None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
-def percent(x: Column, digits: int = 0) -> Column:
-    """'12%'-style text of a fraction."""
-    return F.format_string(f"%.{digits}f%%", x * 100)
+def fixed(x: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded half-even on the exact binary value."""
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns whose expressions are evaluated exactly once per row.
+
+    A later filter or projection would otherwise inline a long expression at every use; the
+    one-row generator is a boundary the optimizer does not substitute through.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.expr import days_between, epoch_us
+from spendlens.functions.expr import days_between, epoch_us, fixed
 from spendlens.functions.skew import join_back, one_row, ordered_scan, with_totals
 
 PATH = ["client_id", "path_id"]
@@ -357,7 +357,7 @@ def attribution_report(journeys: DataFrame, start: str | None = None, end: str |
 def attribution_insights(report: DataFrame) -> DataFrame:
     """At most five texts per client, in rule order then channel rank."""
     r, ch = F.col("rank"), F.col("channel")
-    top = F.when(r == 1, F.format_string("%s is the top contributor with %.1f%% attribution", ch, F.col("contribution_pct")))
+    top = F.when(r == 1, F.format_string("%s is the top contributor with %s%% attribution", ch, fixed(F.col("contribution_pct"), 1)))
     gap = F.abs(F.col("first_touch") - F.col("last_touch")) > 0.15
     stage = F.when((r <= 3) & gap, F.when(
         F.col("first_touch") > F.col("last_touch"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import attribution as A
 from spendlens.plans.registry import query
+from spendlens.plans.views import rnd
 
 JCOLS = "client_id, path_id, event_id, channel, prev_channel, next_channel"
 
@@ -165,10 +166,10 @@ REPORT_PARTS = f"""
   sv as ({share_sql('shapley', 'value / path_channels')}), ft as ({share_sql('first_touch', 'value', 'converted and opens')}),
   lt as ({share_sql('last_touch', 'value', 'converted and closes')}), li as ({share_sql('linear', 'value * n / path_touches')}),
   tot as (select client_id, sum(case when converted then value else 0 end) as tv from paths group by 1),
-  report as (select client_id, channel, round(coalesce(shapley, 0), 4) as shapley, round(coalesce(markov, 0), 4) as markov,
-    round(coalesce(first_touch, 0), 4) as first_touch, round(coalesce(last_touch, 0), 4) as last_touch,
-    round(coalesce(linear, 0), 4) as linear, round(coalesce(shapley, 0) * 100, 2) as contribution_pct, touchpoints, conversions,
-    round(cost, 2) as cost, round(tv * coalesce(shapley, 0), 2) as attributed_value,
+  report as (select client_id, channel, {rnd('coalesce(shapley, 0)', 4)} as shapley, {rnd('coalesce(markov, 0)', 4)} as markov,
+    {rnd('coalesce(first_touch, 0)', 4)} as first_touch, {rnd('coalesce(last_touch, 0)', 4)} as last_touch,
+    {rnd('coalesce(linear, 0)', 4)} as linear, {rnd('coalesce(shapley, 0) * 100', 2)} as contribution_pct, touchpoints, conversions,
+    {rnd('cost', 2)} as cost, {rnd('tv * coalesce(shapley, 0)', 2)} as attributed_value,
     row_number() over (partition by client_id order by coalesce(shapley, 0) desc, channel) as rank
     from st left join sv using (client_id, channel) left join mk using (client_id, channel) left join ft using (client_id, channel)
     left join lt using (client_id, channel) left join li using (client_id, channel) left join tot using (client_id))"""
@@ -221,7 +222,7 @@ def _(t):
 
 @query("t17_budget_by_attribution", "path_channels", f"""
 select client_id, channel, 10000 * shapley / sum(shapley) over (partition by client_id) as recommended_budget
-from (select client_id, channel, round(shapley, 4) as shapley from ({share_sql('shapley', 'value / path_channels')}))""", r="recommended_budget", digits=2)
+from (select client_id, channel, {rnd('shapley', 4)} as shapley from ({share_sql('shapley', 'value / path_channels')}))""", r="recommended_budget", digits=2)
 def _(t):
     report = A.shapley_value(t.path_channels).withColumn("shapley", F.round("shapley", 4))
     spend = A.channel_stats(t.path_channels).select("client_id", "channel", F.col("cost").alias("current_budget"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.expr import hash_bucket, nz
 from spendlens.functions.skew import one_row
-from spendlens.operators import attribution
+from spendlens.operators import attribution, audience, health
 
 # Fixed values of the mapping.
 CHANNELS = ["meta", "google", "tiktok", "email", "organic"]
@@ -131,6 +131,23 @@ class Tables:
             (k % 13).alias("contract_months_remaining"), (k % 3 == 0).alias("is_on_annual"),
             (nz("finished") % 4).alias("payment_delays"))
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Clients with health, churn and a contract end."""
+        k = F.col("client_id")
+        end = F.date_add(F.lit(AS_OF_ORDERS).cast("date"), ((k * 7) % 400).cast("int"))
+        return health.score_clients(self.client_metrics, AS_OF_ORDERS).withColumn("contract_end", end)
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Error events as alerts, some of them resolved."""
+        e, i = self.raw("events").where("event_type = 'error'"), F.col("event_id")
+        return e.select(
+            i.alias("alert_id"), pick(["critical", "high", "medium", "low"], i % 4).alias("severity"),
+            pick(["churn_risk", "roas_drop", "budget_depleted"], i % 3).alias("alert_type"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
+            F.when(i % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).alias("resolved_at"), F.when(i % 5 == 0, "resolved").otherwise("open").alias("status"))
+
     @cached_property
     def client_features(self) -> DataFrame:
         """The second scoring family's columns, from the same metrics."""
@@ -162,7 +179,6 @@ class Tables:
 
     @cached_property
     def user_profiles(self) -> DataFrame:
-        from spendlens.operators import audience
         return audience.user_profiles(self.raw("events"), AS_OF_EVENTS)
 
     @cached_property
@@ -296,6 +312,11 @@ def _case(values: list[str], idx: str) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[({idx}) + 1]"
 
 
+def rnd(x: str, digits: int) -> str:
+    """SQL rounding on the shortest decimal text of a double, as Spark rounds."""
+    return f"round(({x})::double::varchar::decimal(38, 18), {digits})::double"
+
+
 # name -> (views it needs, SQL)
 VIEWS: dict[str, tuple[str, str]] = {
     "touchpoints": ("", f"""
@@ -364,6 +385,46 @@ from clients left join (select o_custkey, avg(o_totalprice) / 10 as ms, max(o_or
     count(*) filter (o_orderpriority = '1-URGENT') as tickets, count(*) filter (o_orderstatus = 'P') as active,
     count(*) filter (o_orderstatus = 'O') as paused, count(*) filter (o_orderstatus = 'F') as finished
   from orders group by 1) on client_id = o_custkey"""),
+    "health": ("client_metrics", f"""
+select *, {rnd('o', 1)} as overall_score, {rnd('s1', 1)} as roas_score, {rnd('s2', 1)} as engagement_score, {rnd('s3', 1)} as payment_score,
+  {rnd('s4', 1)} as communication_score, {rnd('s5', 1)} as growth_score
+from (select *, s1 * 0.3::double + s2 * 0.25::double + s3 * 0.15::double + s4 * 0.15::double + s5 * 0.15::double as o from (
+  select *, greatest(0, least(100, actual_roas / greatest(target_roas, 0.1) * 50 + roas_trend * 20)) as s1,
+    (greatest(0, 100 - days_since_login * 5) + greatest(0, 100 - days_since_contact * 3)) / 2::double as s2,
+    (100 - least(100, payment_delays * 25))::double as s3,
+    greatest(0, least(100, meetings_30d * 25) - least(50, support_tickets_30d * 10) + 25)::double as s4,
+    least(100, campaigns_active / greatest(campaigns_active + campaigns_paused, 1)::double * 50 + (avg_ctr / 0.02 + avg_cvr / 0.01) * 25) as s5
+  from client_metrics))"""),
+    "factors": ("client_metrics", """
+select client_id, i, factor, severity, impact::double as impact, description, trend, row_number() over (partition by client_id order by impact desc, i) as pos from (
+  select client_id, 1 as i, 'ROAS Below Target' as factor, case when actual_roas < target_roas * 0.5 then 'high' else 'medium' end as severity, 0.25 as impact,
+    printf('Current ROAS (%.2f) is %.0f%% below target', actual_roas, (1 - actual_roas / target_roas) * 100) as description,
+    case when roas_trend < 0 then 'declining' when roas_trend > 0 then 'improving' else 'stable' end as trend from client_metrics where actual_roas < target_roas * 0.8
+  union all select client_id, 2, 'Low Platform Engagement', case when days_since_login > 30 then 'high' else 'medium' end, 0.20,
+    printf('No login for %d days', days_since_login), 'declining' from client_metrics where days_since_login > 14
+  union all select client_id, 3, 'Support Escalations', case when support_tickets_30d > 5 then 'high' else 'medium' end, 0.15,
+    printf('%d support tickets in last 30 days', support_tickets_30d), 'stable' from client_metrics where support_tickets_30d > 3
+  union all select client_id, 4, 'Payment Delays', case when payment_delays > 2 then 'high' when payment_delays > 1 then 'medium' else 'low' end, 0.15,
+    printf('%d payment delay(s) recorded', payment_delays), 'stable' from client_metrics where payment_delays > 0
+  union all select client_id, 5, 'Contract Ending Soon', case when contract_months_remaining < 1 then 'high' else 'medium' end, 0.10,
+    printf('Contract ends in %d months', contract_months_remaining), 'stable' from client_metrics where contract_months_remaining < 3 and not is_on_annual
+  union all select client_id, 6, 'High Campaign Pause Rate', 'medium', 0.10, printf('%d/%d campaigns paused', campaigns_paused, campaigns_active + campaigns_paused), 'stable'
+    from client_metrics where campaigns_active + campaigns_paused > 0 and campaigns_paused / (campaigns_active + campaigns_paused)::double > 0.5
+  union all select client_id, 7, 'Lack of Communication', 'medium', 0.10, printf('No contact for %d days, 0 meetings this month', days_since_contact), 'declining'
+    from client_metrics where days_since_contact > 21 and meetings_30d = 0)"""),
+    "scored": ("health factors", f"""
+select *, {rnd('p', 3)} as churn_probability, date '{AS_OF_ORDERS}' + days_to_churn as predicted_churn_date,
+  date '{AS_OF_ORDERS}' + ((client_id * 7) % 400)::int as contract_end from (
+  select *, case when p >= 0.75 then 'critical' when p >= 0.5 then 'warning' when p >= 0.25 then 'monitor' else 'healthy' end as risk_level,
+    case when p >= 0.75 then 30 when p >= 0.5 then 60 when p >= 0.25 then 90 end as days_to_churn from (
+    select h.*, n_factors, greatest(0.05, least(0.95, greatest(0, (100 - overall_score) / 100) * 0.6::double
+      + coalesce(imp, 0) * case when is_on_annual then 0.7 else 1 end * case when actual_roas > target_roas * 1.2 then 0.6 else 1 end * 0.4::double)) as p
+    from health h left join (select client_id, sum(impact) as imp, count(*) as n_factors from factors group by 1) f on f.client_id = h.client_id))"""),
+    "alerts": ("", """
+select event_id as alert_id, (['critical','high','medium','low'])[event_id % 4 + 1] as severity,
+  (['churn_risk','roas_drop','budget_depleted'])[event_id % 3 + 1] as alert_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as created_at,
+  case when event_id % 5 = 0 then strftime(ts, '%Y-%m-%d') end as resolved_at, case when event_id % 5 = 0 then 'resolved' else 'open' end as status
+from events where event_type = 'error'"""),
     "client_features": ("client_metrics", """
 select client_id, client_name, industry, actual_roas as current_roas, target_roas, roas_trend,
   client_id % 9 as logins_7d, client_id % 31 as logins_30d, (client_id % 10) / 10::double as meeting_rate,

@@ -48,8 +48,12 @@ def normal(columns, rows):
 
 def compare(df, con, sql) -> str:
     """'' when both sides agree, else what differs."""
+    t0 = time.time()
     sc, sr = normal(df.columns, [tuple(r) for r in df.collect()])
+    t1 = time.time()
     cur = con.execute(sql)
+    if "-v" in sys.argv:
+        print(f"   spark {t1 - t0:.1f}s sql {time.time() - t1:.1f}s")
     oc, orows = normal([d[0] for d in cur.description], cur.fetchall())
     if sc != oc:
         return f"columns {sc} / {oc}"
@@ -66,6 +70,7 @@ def main(patterns: list[str], sf_dir: str = "/root/testdata/sf0.01") -> int:
     import __spark_entry__ as e
     from spendlens.session import local_session
 
+    patterns = [p for p in patterns if p != "-v"]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import join_back, last_per_key
+from spendlens.functions.spatial import neighbour_counts  # noqa: F401  (the range self-join)
 
 
 def entity_chain(clients: DataFrame, accounts: DataFrame, campaigns: DataFrame, ad_sets: DataFrame, ads: DataFrame, how: str = "inner") -> DataFrame:
@@ -96,25 +97,3 @@ def exclude_seed(pool: DataFrame, seed: DataFrame, key: str = "user_id") -> Data
 
 def member_profiles(members: DataFrame, profiles: DataFrame) -> DataFrame:
     return members.join(profiles, "user_id")
-
-
-def neighbour_counts(points: DataFrame, key: str, dims: list[str], eps: float) -> DataFrame:
-    """How many rows lie within eps (itself included), Euclidean.
-
-    Equal points are merged into one weighted point first, so copies cost one comparison; a grid
-    of cells with side eps makes candidates an equi-join, and the distance is checked in full.
-    """
-    merged = points.groupBy(*dims).agg(F.count(F.lit(1)).alias("w"))
-    # three dims keep the neighbour cells at 27
-    axes = dims[:3]
-    cell = {f"c{i}": F.floor(F.col(d) / eps) for i, d in enumerate(axes)}
-    placed = merged.withColumns(cell)
-    shifted = placed
-    for c in cell:
-        shifted = shifted.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    a = shifted.select(*[F.col(d).alias(f"a_{d}") for d in dims], *cell)
-    pairs = a.join(placed, list(cell))
-    d2 = reduce(lambda x, y: x + y, [(F.col(f"a_{d}") - F.col(d)) * (F.col(f"a_{d}") - F.col(d)) for d in dims])
-    near = pairs.where(d2 <= eps * eps).groupBy(*[f"a_{d}" for d in dims]).agg(F.sum("w").alias("neighbours"))
-    near = near.select(*[F.col(f"a_{d}").alias(d) for d in dims], "neighbours")
-    return join_back(points, near, dims).select(key, "neighbours")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import join_back, one_row, ordered_scan
-from spendlens.session import ensure_checkpoint_dir
+from spendlens.session import staged
 
 BRANCH, DEPTH = 4, 3
 LAST = DEPTH - 1
@@ -87,6 +87,7 @@ def _levels(a_points: DataFrame, b_points: DataFrame, dims: list[str], eps: floa
         else:
             up = pairs.select(F.col("ak").alias("aup"), F.col("bk").alias("bup"))
             pairs = up.join(a, "aup").join(b, "bup").drop("aup", "bup")
+        pairs = staged(pairs, "pairs")
         inside, pairs = _split(pairs, n, eps)
         within.append(inside)
     return within, pairs
@@ -95,8 +96,8 @@ def _levels(a_points: DataFrame, b_points: DataFrame, dims: list[str], eps: floa
 def range_aggregate(queries: DataFrame, targets: DataFrame, dims: list[str], eps: float, value: str,
                     how: Callable[[Column | str], Column]) -> DataFrame:
     """Distinct query points with ``how`` (sum or min) over the value of all targets within eps."""
-    q = _with_cells(queries.select(*dims).distinct(), dims, eps)
-    t = _with_cells(targets.groupBy(*dims).agg(how(value).alias("__v")), dims, eps)
+    q = staged(_with_cells(queries.select(*dims).distinct(), dims, eps), "points")
+    t = staged(_with_cells(targets.groupBy(*dims).agg(how(value).alias("__v")), dims, eps), "points")
     within, rest = _levels(q, t, dims, eps, F.count(F.lit(1)), how("__v"))
     parts = []
     for level, inside in enumerate(within):
@@ -130,7 +131,7 @@ def _cell_links(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
         raise ValueError("too many dimensions for cells to be cliques")
     p = _with_cells(points, dims, eps)
     first = p.groupBy(f"k{LAST}").agg(F.min("id").alias("cell"))
-    p = p.join(first, f"k{LAST}")
+    p = staged(p.join(first, f"k{LAST}"), "points")
     within, rest = _levels(p, p, dims, eps, F.min("cell"), F.min("cell"))
     edges = []
     for level, inside in enumerate(within):
@@ -152,9 +153,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(v, component) with the least vertex as the component's name.
 
     Alternating large-star and small-star rounds: logarithmic in practice, each a grouped
-    minimum and a join; lineage is cut by a reliable checkpoint every round.
+    minimum and a join; lineage is cut by a written table every round.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    edges = staged(edges, "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(
@@ -167,7 +168,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = star(star(edges, True), False).checkpoint()
+        edges = staged(star(star(edges, True), False), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
@@ -181,15 +182,15 @@ def dbscan(points: DataFrame, key: str, dims: list[str], eps: float = 0.5, min_s
     Core rows have min_samples rows within eps, themselves included; a border row joins the
     lowest cluster that reaches it.
     """
-    counted = join_back(points, neighbour_counts(points, key, dims, eps), [key])
-    ensure_checkpoint_dir(points.sparkSession)
-    counted = counted.checkpoint()
+    points = staged(points, "points")
+    counted = staged(join_back(points, neighbour_counts(points, key, dims, eps), [key]), "counted")
     core = counted.where(F.col("neighbours") >= min_samples)
     merged = core.groupBy(*dims).agg(F.min(key).alias("id"))
     placed = _with_cells(merged, dims, eps)
     cell_of = placed.join(placed.groupBy(f"k{LAST}").agg(F.min("id").alias("cell")), f"k{LAST}")
     found = connected_components(_cell_links(merged, dims, eps))
     comp = cell_of.join(found, F.col("cell") == F.col("v"), "left").select(*dims, F.coalesce("component", "cell").alias("component"))
+    comp = staged(comp, "components")
     names = ordered_scan(comp.select("component").distinct(), [], ["component"], F.floor(F.col("component") / 10000), row_number="n")
     comp = comp.join(names, "component").select(*dims, (F.col("n") - 1).alias("label"))
     border = range_aggregate(counted.where(F.col("neighbours") < min_samples), comp, dims, eps, "label", F.min)

@@ -7,6 +7,7 @@ from spendlens.operators import normalize as N
 from spendlens.operators import quality as Q
 from spendlens.plans.registry import query
 from spendlens.plans.views import PLATFORMS, pick
+from spendlens.session import shared_scratch
 from spendlens.sources import landed as L
 from spendlens.sources import sinks as K
 
@@ -83,7 +84,7 @@ def metric_rows(t):
 @query("s06_write_metrics_by_month", "ad_metrics", """
 select strftime(day, '%Y-%m') as month, count(*) as rows, sum(clicks)::bigint as clicks, sum(spend) as spend from ad_metrics group by 1""", r="spend", digits=2)
 def _(t):
-    path = K.shared_scratch(t.spark, "metrics")
+    path = shared_scratch(t.spark, "metrics")
     K.write_metrics(metric_rows(t), path)
     back = t.spark.read.parquet(path)
     return back.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
@@ -113,7 +114,7 @@ def _(t):
 def _(t):
     base, updates = upsert_sides(t)
     part = (F.col("campaign_id") % 5).cast("int")
-    path = K.shared_scratch(t.spark, "campaigns")
+    path = shared_scratch(t.spark, "campaigns")
     base.withColumn("part", part).write.partitionBy("part").parquet(path)
     K.upsert_partitions(path, updates.withColumn("part", part), ["campaign_id", "part"], F.lit("2024-02-01"), "part")
     return t.spark.read.parquet(path).withColumn("part", F.col("part").cast("bigint"))
@@ -137,7 +138,7 @@ def _(t):
 select segment, 'meta' as platform, count(*) as num_received, count(*) filter (email not like '%@%') as num_invalid
 from ({MEMBERS}) join contacts using (user_id) group by 1""")
 def _(t):
-    return K.export_audience(segment_members(t), t.contacts, "meta", K.shared_scratch(t.spark, "audience"))
+    return K.export_audience(segment_members(t), t.contacts, "meta", shared_scratch(t.spark, "audience"))
 
 
 @query("s09_write_read_features", "ad_metrics", """
@@ -145,14 +146,14 @@ select 'campaign' as entity_type, '7' as entity_id, f as feature, v as value fro
   select sum(spend) as spend, sum(clicks)::double as clicks from ad_metrics where campaign_id = 7) unpivot (v for f in (spend, clicks))""", r="value", digits=2)
 def _(t):
     wide = t.ad_metrics.groupBy("campaign_id").agg(F.sum("spend").alias("spend"), F.sum("clicks").alias("clicks"))
-    path = K.shared_scratch(t.spark, "features")
+    path = shared_scratch(t.spark, "features")
     K.write_features(N.long_features(wide, "campaign", "campaign_id"), path)
     return K.read_features(t.spark, path, "campaign", "7").select("entity_type", "entity_id", "feature", "value")
 
 
 @query("s10_append_predictions", "predictions", "select model::varchar as model, count(*) as rows, sum(prediction) as total from predictions group by 1", r="total")
 def _(t):
-    path = K.shared_scratch(t.spark, "predictions")
+    path = shared_scratch(t.spark, "predictions")
     rows = t.predictions.withColumn("features", F.create_map(F.lit("price"), F.col("prediction")))
     K.append_log(rows, path, schemas.PREDICTION_LOG, "ts", F.lit("2024-01-31").cast("timestamp"))
     return t.spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("prediction").alias("total"))
@@ -160,7 +161,7 @@ def _(t):
 
 @query("s11_append_actuals", "actuals", "select model::varchar as model, count(*) as rows, sum(actual) as total from actuals group by 1", r="total")
 def _(t):
-    path = K.shared_scratch(t.spark, "actuals")
+    path = shared_scratch(t.spark, "actuals")
     K.append_log(t.actuals, path, schemas.ACTUAL_LOG, "logged_at", F.lit("2024-01-31").cast("timestamp"))
     return t.spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("actual").alias("total"))
 
@@ -184,7 +185,7 @@ def _(t):
 @query("s14_log_interaction", "interactions", """
 select interaction_type, count(*) as rows from interactions where interaction_type <> 'report_view' group by 1""")
 def _(t):
-    path = K.shared_scratch(t.spark, "interactions")
+    path = shared_scratch(t.spark, "interactions")
     K.log_interaction(t.interactions.where("interaction_type <> 'report_view'"), path)
     return t.spark.read.parquet(path).groupBy("interaction_type").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "spendlens", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -37,3 +38,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=os.environ.get("TMPDIR")))
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write to the shared folder and read back.
+
+    Cuts the lineage so that a lost executor costs one read, computes a result used several
+    times once, and gives the planner real sizes.
+    """
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

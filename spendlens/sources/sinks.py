@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import last_per_key
 from spendlens.operators.quality import Rule, failed_rules, rules_for
-from spendlens.session import ensure_checkpoint_dir
+from spendlens.session import shared_scratch
 from spendlens.sources.landed import hashed
 
 
-def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append metric rows into monthly partitions.
 

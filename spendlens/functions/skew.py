@@ -32,6 +32,15 @@ def with_totals(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return join_back(df, totals, keys)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than the cluster has cores.
+
+    For work that is heavy per row; a large scan has splits enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row DataFrame as a scalar subquery; fields by getField."""
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()

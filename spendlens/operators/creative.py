@@ -53,49 +53,45 @@ def full_text() -> Column:
     return F.concat(c("headline"), F.lit(" "), F.coalesce("body", F.lit("")))
 
 
-def _token_hits(text: Column, tokens: list[str]) -> Column:
-    return F.size(F.filter(words(F.lower(text)), lambda w: w.isin(tokens)))
+def _token_hits(tokens: list[str]) -> Column:
+    return F.size(F.filter("__tokens", lambda w: w.isin(tokens)))
 
 
 def store_features(df: DataFrame) -> DataFrame:
     """Text features of the feature store: lengths, character classes and exact tokens."""
     t = c("__text")
     n = F.length(t)
-    return once(df, {"__text": full_text()}).select(
+    return once(once(df, {"__text": full_text()}), {"__tokens": words(F.lower("__text"))}).select(
         "creative_id", F.length("headline").alias("headline_length"), F.length(F.coalesce("body", F.lit(""))).alias("body_length"),
-        n.alias("total_text_length"), F.size(words(t)).alias("word_count"),
+        n.alias("total_text_length"), F.size("__tokens").alias("word_count"),
         (F.regexp_count(t, F.lit(r"\p{Lu}")) / F.greatest(n, F.lit(1))).alias("uppercase_ratio"),
         F.regexp_count(t, F.lit(r"\p{Nd}")).alias("digit_count"), F.regexp_count(t, F.lit("[!?.,;:]")).alias("punctuation_count"),
         F.regexp_count(t, F.lit("!")).alias("exclamation_count"), F.regexp_count(t, F.lit(r"\?")).alias("question_count"),
         F.regexp_count(t, F.lit(r"[\x{1F019}-\x{10FFFF}]")).alias("emoji_count"),
         lookup(CTA_CODES, F.coalesce("cta", F.lit("LEARN_MORE")), 0).alias("cta_type_encoded"),
-        _token_hits(t, POWER_TOKENS).alias("power_word_count"), _token_hits(t, URGENCY_TOKENS).alias("urgency_score"),
-        _token_hits(t, SOCIAL_TOKENS).alias("social_proof_score"))
+        _token_hits(POWER_TOKENS).alias("power_word_count"), _token_hits(URGENCY_TOKENS).alias("urgency_score"),
+        _token_hits(SOCIAL_TOKENS).alias("social_proof_score"))
 
 
-def sentiment(text: Column) -> Column:
-    """Substring hits, so 'unlovely' counts as 'love'."""
-    low = F.lower(text)
-    pos, neg = count_hits(low, POSITIVE), count_hits(low, NEGATIVE)
+def sentiment(pos: Column, neg: Column) -> Column:
+    """From the substring hits in lower-cased text, so 'unlovely' counts as 'love'."""
     return F.when(pos + neg == 0, 0.6).otherwise((pos - neg) * 0.1 + 0.5)
 
 
-def readability(text: Column) -> Column:
-    w = words(text)
-    n = F.size(w)
-    letters = F.length(F.regexp_replace(text, r"\s+", ""))
-    sentences = F.greatest(F.regexp_count(text, F.lit("[.!?]")), F.lit(1))
+def readability(text: Column, n: Column) -> Column:
+    """From the text and its number of words."""
+    letters = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
+    sentences = F.greatest(F.length(text) - F.length(F.translate(text, ".!?", "")), F.lit(1))
     return clamp(100 - letters / F.greatest(n, F.lit(1)) * 5 - n / sentences * 2, 0, 100)
 
 
-def cta_urgency(cta: Column, text: Column) -> Column:
-    hits = count_hits(F.lower(text), POWER_WORDS["urgency"])
+def cta_urgency(cta: Column, low: Column) -> Column:
+    hits = count_hits(low, POWER_WORDS["urgency"])
     urgent = F.replace(F.lower(F.coalesce(cta, F.lit(""))), F.lit(" "), F.lit("_")).isin(URGENT_CTAS)
     return F.least(F.lit(1.0), F.lit(0.3) + hits * 0.1 + F.when(urgent, 0.2).otherwise(0.0))
 
 
-def power_scores(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+def power_scores(low: Column) -> dict[str, Column]:
     return {f"power_{k}": F.least(F.lit(1.0), count_hits(low, v) * 0.25) for k, v in POWER_WORDS.items()}
 
 
@@ -111,13 +107,15 @@ def predictor_features(df: DataFrame) -> DataFrame:
     colors = c("colors") if "colors" in df.columns else F.array(F.lit("blue"), F.lit("white"))
     face = c("has_face") if "has_face" in df.columns else F.lit(False)
     df = once(df, {"__text": full_text()})
-    t = c("__text")
+    df = once(df, {"__low": F.lower("__text"), "__n": F.regexp_count(c("__text"), F.lit(r"\S+"))})
+    low = c("__low")
+    df = once(df, {"__pos": count_hits(low, POSITIVE), "__neg": count_hits(low, NEGATIVE), "__read": readability(c("__text"), c("__n"))})
     return once(df, {
         "headline_length": F.length("headline"), "headline_words": F.size(words("headline")),
         "has_numbers": c("headline").rlike(r"\p{Nd}"), "has_question": F.contains(c("headline"), F.lit("?")),
         "has_exclamation": F.contains(c("headline"), F.lit("!")), "has_emoji": c("headline").rlike(r"[\x{1F300}-\x{1F9FF}]"),
-        "sentiment": sentiment(t), "readability": readability(t), "urgency": cta_urgency(c("cta"), t),
-        "color_score": color_score(colors), "face": face, **power_scores(t)}).drop("__text")
+        "sentiment": sentiment(c("__pos"), c("__neg")), "readability": c("__read"), "urgency": cta_urgency(c("cta"), low),
+        "color_score": color_score(colors), "face": face, **power_scores(low)}).drop("__text", "__low", "__read", "__n", "__pos", "__neg")
 
 
 def predict(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.expr import hash_bucket, nz
-from spendlens.functions.skew import one_row
+from spendlens.functions.skew import one_row, spread
 from spendlens.operators import attribution, audience, health
 
 # Fixed values of the mapping.
@@ -185,7 +185,7 @@ class Tables:
     def creatives(self) -> DataFrame:
         d = F.col("doc_id")
         head = first_sentence(F.col("text"))
-        return self.raw("documents").join(self.raw("labels").select("doc_id", "quality", "toxic"), "doc_id", "left").select(
+        return spread(self.raw("documents")).join(self.raw("labels").select("doc_id", "quality", "toxic"), "doc_id", "left").select(
             d.alias("creative_id"), head.alias("headline"), F.substring(F.col("text"), F.length(head) + 1, F.length("text")).alias("body"),
             pick(PLATFORMS, d % 3).alias("platform"), pick(INDUSTRIES, d % 6).alias("industry"),
             F.when(d % 6 < 5, pick(CTAS, d % 6)).alias("cta"), (d % 50).alias("ad_set_id"), (d % 3 == 0).alias("has_face"),

@@ -106,48 +106,53 @@ def _next_index(us: np.ndarray, cool: int) -> np.ndarray:
     return np.searchsorted(us, us + cool, side="left")
 
 
+def _with_key(pdf: pd.DataFrame, keys: list[str], **columns) -> pd.DataFrame:
+    """The group's key beside new columns, in its own types even when there are no rows."""
+    n = len(next(iter(columns.values())))
+    out = pdf[keys].iloc[np.zeros(n, dtype="int64")].reset_index(drop=True)
+    return out.assign(**{c: np.asarray(v, dtype="int64") for c, v in columns.items()})
+
+
 def _chunk_steps(keys: list[str], chunk_cooldowns: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        us, cool = pdf["us"].to_numpy(), int(pdf["cool"].iloc[0])
+        us, cool = np.sort(pdf["us"].to_numpy()), int(pdf["cool"].iloc[0])
         n, nxt = len(us), _next_index(us, cool)
         last = np.arange(n)  # last fired index when the walk enters at i
         for i in range(n - 1, -1, -1):
             if nxt[i] < n:
                 last[i] = last[nxt[i]]
         # an entry lies within one cooldown of the chunk's start, or is the first row after that
-        start = int(pdf["chunk"].iloc[0]) * cool * chunk_cooldowns
-        n = min(n, int(np.searchsorted(us, start + cool)) + 1)
+        chunk = int(pdf["chunk"].iloc[0])
+        n = min(n, int(np.searchsorted(us, chunk * cool * chunk_cooldowns + cool)) + 1)
         us, ready = us[:n], us[last[:n]] + cool  # the key is free again from ready
         keep = np.append(ready[1:] != ready[:-1], True)  # one row per distinct outcome: its greatest entry
-        out = {k: [pdf[k].iloc[0]] * int(keep.sum()) for k in keys}
-        return pd.DataFrame({**out, "chunk": int(pdf["chunk"].iloc[0]), "upto": us[keep], "exit_us": ready[keep]})
+        return _with_key(pdf, keys, chunk=np.full(int(keep.sum()), chunk), upto=us[keep], exit_us=ready[keep])
     return run
 
 
 def _fold_entries(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = -(2**62), []
+        free, chunks, entries = -(2**62), [], []
         for chunk, part in pdf.sort_values(["chunk", "upto"]).groupby("chunk", sort=True):
             upto, ready = part["upto"].to_numpy(), part["exit_us"].to_numpy()
-            out.append((chunk, free))
+            chunks.append(chunk)
+            entries.append(free)
             at = np.searchsorted(upto, free, side="left")
             if at < len(upto):
-                free = ready[at]
-        res = pd.DataFrame(out, columns=["chunk", "entry_us"])
-        return pd.concat([pd.DataFrame({k: [pdf[k].iloc[0]] * len(res) for k in keys}), res], axis=1)
+                free = int(ready[at])
+        return _with_key(pdf, keys, chunk=chunks, entry_us=entries)
     return run
 
 
 def _emit_fired(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         us, cool = np.sort(pdf["us"].to_numpy()), int(pdf["cool"].iloc[0])
-        out, free = [], int(pdf["entry_us"].iloc[0])
-        at = np.searchsorted(us, free, side="left")
+        out = []
+        at = np.searchsorted(us, int(pdf["entry_us"].iloc[0]), side="left")
         while at < len(us):
             out.append(us[at])
             at = np.searchsorted(us, us[at] + cool, side="left")
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(out) for k in keys}, "us": np.array(out, dtype="int64")})
+        return _with_key(pdf, keys, us=out)
     return run
 
 

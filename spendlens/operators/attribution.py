@@ -7,13 +7,13 @@ channel, so a bot with millions of touches costs no more than its share of the s
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.expr import days_between, epoch_us, fixed
+from spendlens.functions.expr import days_between, epoch_us, fixed, once
 from spendlens.functions.skew import join_back, one_row, ordered_scan, with_totals
+from spendlens.session import staged
 
 PATH = ["client_id", "path_id"]
 # State names of the Markov chain.
@@ -158,11 +158,11 @@ def position_based(journeys: DataFrame, paths_df: DataFrame, floor: float | None
 
 def transition_edges(journeys: DataFrame) -> DataFrame:
     """Counts and row-normalised probabilities of START → channels → CONVERSION / NULL."""
-    start = journeys.where("is_first").select("client_id", F.lit(START).alias("from_state"), F.col("channel").alias("to_state"))
+    edge = lambda a, b: F.struct(a.alias("from_state"), b.alias("to_state"))
     end = F.when(F.col("is_conversion"), F.lit(CONVERSION)).otherwise(F.lit(NO_CONVERSION))
-    step = journeys.select("client_id", F.col("channel").alias("from_state"),
-                           F.when(F.col("is_last"), end).otherwise(F.col("next_channel")).alias("to_state"))
-    edges = start.unionByName(step).groupBy("client_id", "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
+    step = edge(F.col("channel"), F.when(F.col("is_last"), end).otherwise(F.col("next_channel")))
+    both = F.array_compact(F.array(F.when(F.col("is_first"), edge(F.lit(START), F.col("channel"))), step))
+    edges = journeys.select("client_id", F.inline(both)).groupBy("client_id", "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     row = Window.partitionBy("client_id", "from_state")  # at most channels + 2 rows
     return edges.withColumn("p", F.col("n") / F.sum("n").over(row))
 
@@ -188,23 +188,6 @@ def _rate_row(pdf: pd.DataFrame, rate: float) -> pd.DataFrame:
     return pd.DataFrame({"client_id": [pdf["client_id"].iloc[0]], "removed": [pdf["removed"].iloc[0]], "rate": [float(rate)]})
 
 
-def _power_walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept = _without(pdf)
-    states = sorted(set(kept["from_state"]) | set(kept["to_state"]) | {START, CONVERSION})
-    at = {s: i for i, s in enumerate(states)}
-    step = np.zeros((len(states), len(states)))
-    step[kept["from_state"].map(at), kept["to_state"].map(at)] = kept["p"]
-    mass = np.zeros(len(states))
-    mass[at[START]] = 1.0
-    rate = 0.0
-    for _ in range(MAX_STEPS):
-        rate += mass[at[CONVERSION]]
-        mass = mass @ step
-        if mass.sum() < LIVE_MASS:
-            break
-    return _rate_row(pdf, rate)
-
-
 def _greedy_walk(pdf: pd.DataFrame) -> pd.DataFrame:
     kept = _without(pdf)
     by = {s: dict(zip(g["to_state"], g["p"])) for s, g in kept.groupby("from_state")}
@@ -224,10 +207,8 @@ def _greedy_walk(pdf: pd.DataFrame) -> pd.DataFrame:
     return _rate_row(pdf, rate)
 
 
-def _removal_effects(edges: DataFrame, walk, name: str, equal_when_none: bool) -> DataFrame:
-    keyed = _scenarios(edges)
-    typ = edges.schema["client_id"].dataType.simpleString()
-    rates = keyed.groupBy("client_id", "removed").applyInPandas(walk, f"client_id {typ}, removed string, rate double")
+def _effects(rates: DataFrame, name: str, equal_when_none: bool) -> DataFrame:
+    """Drop in the conversion rate per removed channel, as shares of the client's total."""
     client = Window.partitionBy("client_id")  # one row per channel and the whole chain
     base = F.max(F.when(F.col("removed") == "", F.col("rate"))).over(client)
     effects = rates.withColumn("base_rate", base).where("removed <> ''")
@@ -239,14 +220,47 @@ def _removal_effects(edges: DataFrame, walk, name: str, equal_when_none: bool) -
                           F.when(total > 0, F.col("effect") / total).otherwise(none).alias(name))
 
 
+def _walk_rate(scenarios: DataFrame) -> DataFrame:
+    """Conversion rate per client and removed channel: the mass is walked inside the row.
+
+    A scenario is one small matrix, so the steps are array functions over it.
+    """
+    kept = scenarios.where("from_state <> removed and to_state <> removed")
+    out = Window.partitionBy("client_id", "removed", "from_state")  # one row per target state
+    kept = kept.withColumn("p", F.col("p") / F.sum("p").over(out))
+    pair = lambda a, b: F.concat_ws("\u0001", a, b)
+    g = kept.groupBy("client_id", "removed").agg(
+        F.collect_set("from_state").alias("f"), F.collect_set("to_state").alias("t"),
+        F.map_from_entries(F.collect_list(F.struct(pair(F.col("from_state"), F.col("to_state")), "p"))).alias("edges"))
+    ends = F.array(F.lit(START), F.lit(CONVERSION))
+    g = once(g, {"edges": F.col("edges"), "states": F.array_sort(F.array_distinct(F.concat("f", "t", ends)))})
+    into = F.transform("states", lambda b: F.transform("states", lambda a: F.coalesce(F.try_element_at("edges", pair(a, b)), F.lit(0.0))))
+    g = once(g, {"into": into, "states": F.col("states"), "goal": F.array_position("states", F.lit(CONVERSION)).cast("int")})
+    add = lambda x, y: x + y
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), add)
+
+    def step(acc: Column, _: Column) -> Column:
+        mass = F.transform("into", lambda row: total(F.zip_with(row, acc["mass"], lambda p, m: p * m)))
+        moved = F.when(acc["live"], mass).otherwise(acc["mass"])
+        gained = F.when(acc["live"], F.element_at(acc["mass"], F.col("goal"))).otherwise(0.0)
+        return F.struct(moved.alias("mass"), (acc["rate"] + gained).alias("rate"), (acc["live"] & (total(moved) >= LIVE_MASS)).alias("live"))
+
+    start = F.struct(F.transform("states", lambda s: F.when(s == START, 1.0).otherwise(0.0)).alias("mass"), F.lit(0.0).alias("rate"), F.lit(True).alias("live"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda acc: acc["rate"])
+    return once(g, {"rate": walked}).select("client_id", "removed", "rate")
+
+
 def markov_removal(edges: DataFrame) -> DataFrame:
-    """Removal effects by walking the probability mass; only the edge table reaches Python."""
-    return _removal_effects(edges, _power_walk, "markov", equal_when_none=False)
+    """Removal effects by walking the probability mass over the edge table."""
+    return _effects(_walk_rate(_scenarios(staged(edges, "edges"))), "markov", equal_when_none=False)
 
 
 def markov_greedy(edges: DataFrame) -> DataFrame:
     """Removal effects along the most likely route (ties: channel name)."""
-    return _removal_effects(edges, _greedy_walk, "markov_greedy", equal_when_none=True)
+    typ = edges.schema["client_id"].dataType.simpleString()
+    rates = _scenarios(staged(edges, "edges")).groupBy("client_id", "removed").applyInPandas(
+        _greedy_walk, f"client_id {typ}, removed string, rate double")
+    return _effects(rates, "markov_greedy", equal_when_none=True)
 
 
 def channel_masks(pc: DataFrame) -> DataFrame:
@@ -332,7 +346,7 @@ def attribution_report(journeys: DataFrame, start: str | None = None, end: str |
     """All channel models side by side with the channel totals, per client."""
     if start and end:
         journeys = in_conversion_range(journeys, start, end)
-    pc = path_channels(journeys)
+    pc = staged(path_channels(journeys), "path-channels")  # read by five models
     out = channel_stats(pc)
     parts = [shapley_value(pc), markov_removal(transition_edges(journeys)).select("client_id", "channel", "markov"),
              first_touch(pc), last_touch(pc), linear(pc)]
@@ -387,7 +401,7 @@ def path_sequences(journeys: DataFrame, p: DataFrame) -> DataFrame:
 
 def path_analysis(journeys: DataFrame, p: DataFrame, min_conversions: int = 5, top: int = 20) -> DataFrame:
     """The most frequent exact channel sequences of converted paths."""
-    marked = path_sequences(journeys, p)
+    marked = staged(path_sequences(journeys, p), "path-prints")
     groups = marked.groupBy("touchpoints", "h1", "h2").agg(
         F.count(F.lit(1)).alias("total_paths"), F.count_if("converted").alias("conversions"),
         F.sum(F.when(F.col("converted"), F.col("value")).otherwise(0.0)).alias("total_value"),
@@ -426,7 +440,7 @@ def touchpoint_attributions(journeys: DataFrame) -> DataFrame:
     Path rules (first, last, linear, decay, position) are per touch; the channel models split
     the path value by the channel's share among the path's channels, evenly over its touches.
     """
-    pc = path_channels(journeys)
+    pc = staged(path_channels(journeys), "path-channels")
     edges = transition_edges(journeys)
     sh = join_back(pc.where("converted"), shapley_value(pc), ["client_id", "channel"])
     sh = join_back(sh, markov_removal(edges).select("client_id", "channel", "markov"), ["client_id", "channel"])

@@ -2,8 +2,8 @@
 
 Points are held in nested grid cells.  Two cells are compared by the boxes of their points:
 if the boxes are wholly within reach, the cell totals are used and no pair is formed; if they
-are out of reach, the pair is dropped; only what straddles the radius is split further, and
-points meet points at the finest level alone.  Equal points are merged first, so copies cost
+are out of reach, the pair is dropped; what straddles the radius is split further, unless the
+two cells hold so few points that comparing them directly is cheaper.  Equal points are merged first, so copies cost
 nothing, and the number of coarse cells depends on the radius, not on the rows.
 """
 
@@ -22,6 +22,7 @@ BRANCH, DEPTH = 4, 3
 LAST = DEPTH - 1
 AXES = 3  # dimensions of the first equi-join: 27 neighbour cells
 MARGIN = 1e-9
+DIRECT_PAIRS = 512  # point pairs two cells may form without being split further
 MAX_ROUNDS = 60
 
 
@@ -49,7 +50,7 @@ def _cells(points: DataFrame, dims: list[str], level: int, side: str, value: Col
     """One row per cell: its key, its parent's key, the box of its points and their value."""
     up = [F.col(f"k{level - 1}").alias(f"{side}up")] if level else []
     return points.groupBy(F.col(f"k{level}").alias(f"{side}k"), *up).agg(
-        F.array(*[F.min(d) for d in dims]).alias(f"{side}lo"), F.array(*[F.max(d) for d in dims]).alias(f"{side}hi"), value.alias(f"{side}v"))
+        F.array(*[F.min(d) for d in dims]).alias(f"{side}lo"), F.array(*[F.max(d) for d in dims]).alias(f"{side}hi"), value.alias(f"{side}v"), F.count(F.lit(1)).alias(f"{side}n"))
 
 
 def _box_distance(n: int) -> tuple[Column, Column]:
@@ -78,8 +79,8 @@ def _first_pairs(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
 
 
 def _levels(a_points: DataFrame, b_points: DataFrame, dims: list[str], eps: float, a_value: Column, b_value: Column):
-    """Per level the box pairs within reach, and at the end the straddling finest pairs."""
-    n, within, pairs = len(dims), [], None
+    """Per level the box pairs within reach and those to compare directly; then the finest that straddle."""
+    n, within, direct, pairs = len(dims), [], [], None
     for level in range(DEPTH):
         a, b = _cells(a_points, dims, level, "a", a_value), _cells(b_points, dims, level, "b", b_value)
         if level == 0:
@@ -90,7 +91,10 @@ def _levels(a_points: DataFrame, b_points: DataFrame, dims: list[str], eps: floa
         pairs = staged(pairs, "pairs")
         inside, pairs = _split(pairs, n, eps)
         within.append(inside)
-    return within, pairs
+        few = F.col("an") * F.col("bn") <= DIRECT_PAIRS
+        direct.append(pairs.where(few).select("ak", "bk"))
+        pairs = pairs.where(~few)
+    return within, direct, pairs
 
 
 def range_aggregate(queries: DataFrame, targets: DataFrame, dims: list[str], eps: float, value: str,
@@ -98,18 +102,22 @@ def range_aggregate(queries: DataFrame, targets: DataFrame, dims: list[str], eps
     """Distinct query points with ``how`` (sum or min) over the value of all targets within eps."""
     q = staged(_with_cells(queries.select(*dims).distinct(), dims, eps), "points")
     t = staged(_with_cells(targets.groupBy(*dims).agg(how(value).alias("__v")), dims, eps), "points")
-    within, rest = _levels(q, t, dims, eps, F.count(F.lit(1)), how("__v"))
+    within, direct, rest = _levels(q, t, dims, eps, F.count(F.lit(1)), how("__v"))
     parts = []
     for level, inside in enumerate(within):
         per_cell = inside.groupBy("ak").agg(how("bv").alias("__v")).withColumnRenamed("ak", f"k{level}")
         parts.append(q.join(per_cell, f"k{level}").select(*dims, "__v"))
+    t_dims = [F.col(d).alias(f"t_{d}") for d in dims]
+    d2 = _sum([(F.col(d) - F.col(f"t_{d}")) * (F.col(d) - F.col(f"t_{d}")) for d in dims])
+    for level, few in enumerate(direct):
+        met = few.join(q.select(F.col(f"k{level}").alias("ak"), *dims), "ak").join(t.select(F.col(f"k{level}").alias("bk"), *t_dims, "__v"), "bk")
+        parts.append(met.where(d2 <= eps * eps).select(*dims, "__v"))
     # a query point against the box of a finest target cell, then against its points
     lone = rest.select("ak", "bk", "blo", "bhi", "bv").join(q.select(F.col(f"k{LAST}").alias("ak"), *dims), "ak")
     boxed = lone.withColumns({"alo": F.array(*dims), "ahi": F.array(*dims)})
     inside, straddling = _split(boxed, len(dims), eps)
     parts.append(inside.select(*dims, F.col("bv").alias("__v")))
-    other = t.select(F.col(f"k{LAST}").alias("bk"), *[F.col(d).alias(f"t_{d}") for d in dims], "__v")
-    d2 = _sum([(F.col(d) - F.col(f"t_{d}")) * (F.col(d) - F.col(f"t_{d}")) for d in dims])
+    other = t.select(F.col(f"k{LAST}").alias("bk"), *t_dims, "__v")
     parts.append(straddling.select("bk", *dims).join(other, "bk").where(d2 <= eps * eps).select(*dims, "__v"))
     return reduce(DataFrame.unionByName, parts).groupBy(*dims).agg(how("__v").alias(value))
 
@@ -132,19 +140,24 @@ def _cell_links(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
     p = _with_cells(points, dims, eps)
     first = p.groupBy(f"k{LAST}").agg(F.min("id").alias("cell"))
     p = staged(p.join(first, f"k{LAST}"), "points")
-    within, rest = _levels(p, p, dims, eps, F.min("cell"), F.min("cell"))
+    within, direct, rest = _levels(p, p, dims, eps, F.min("cell"), F.min("cell"))
     edges = []
     for level, inside in enumerate(within):
         edges.append(inside.select(F.col("av").alias("u"), F.col("bv").alias("v")))
         star = inside.select(F.col("ak").alias(f"k{level}"), F.col("av").alias("u")).distinct()
         edges.append(star.join(p.select(f"k{level}", F.col("cell").alias("v")).distinct(), f"k{level}").select("u", "v"))
-    mine = p.select(F.col(f"k{LAST}").alias("ak"), *[F.col(d).alias(f"a_{d}") for d in dims])
+    a_dims, t_dims = [F.col(d).alias(f"a_{d}") for d in dims], [F.col(d).alias(f"t_{d}") for d in dims]
+    d2 = _sum([(F.col(f"a_{d}") - F.col(f"t_{d}")) * (F.col(f"a_{d}") - F.col(f"t_{d}")) for d in dims])
+    for level, few in enumerate(direct):
+        one = p.select(F.col(f"k{level}").alias("ak"), F.col("cell").alias("u"), *a_dims)
+        two = p.select(F.col(f"k{level}").alias("bk"), F.col("cell").alias("v"), *t_dims)
+        edges.append(few.join(one, "ak").join(two, "bk").where((F.col("u") < F.col("v")) & (d2 <= eps * eps)).select("u", "v"))
+    mine = p.select(F.col(f"k{LAST}").alias("ak"), *a_dims)
     lone = rest.select("ak", "bk", "blo", "bhi", "av", "bv").where("av < bv").join(mine, "ak")
     boxed = lone.withColumns({"alo": F.array(*[f"a_{d}" for d in dims]), "ahi": F.array(*[f"a_{d}" for d in dims])})
     inside, straddling = _split(boxed, len(dims), eps)
     edges.append(inside.select(F.col("av").alias("u"), F.col("bv").alias("v")))
-    other = p.select(F.col(f"k{LAST}").alias("bk"), *[F.col(d).alias(f"t_{d}") for d in dims])
-    d2 = _sum([(F.col(f"a_{d}") - F.col(f"t_{d}")) * (F.col(f"a_{d}") - F.col(f"t_{d}")) for d in dims])
+    other = p.select(F.col(f"k{LAST}").alias("bk"), *t_dims)
     edges.append(straddling.join(other, "bk").where(d2 <= eps * eps).select(F.col("av").alias("u"), F.col("bv").alias("v")))
     return reduce(DataFrame.unionByName, edges).where("u <> v").distinct()
 

@@ -63,16 +63,18 @@ def evaluate_rules(ctx: DataFrame, rules: dict[str, AlertRule] | None = None, al
 # A trigger fires when the last fired one is at least the cooldown away, so the outcome depends
 # on the whole history of its key.  A gap of a full cooldown always restarts the chain: runs
 # between such gaps are independent, and a run shorter than the cooldown fires only its first
-# row.  Longer runs are cut into chunks of many cooldowns.  Within a chunk every possible entry
+# row.  Other runs of few rows are folded as an array.  Long ones are cut into chunks of many
+# cooldowns.  Within a chunk every possible entry
 # is walked to the first moment after the chunk at which the key is free again; these maps are
 # monotone step functions with few steps.  Folding them per run gives each chunk its true entry,
 # and the chunks then emit their fired rows in parallel.
 
 CHUNK_COOLDOWNS = 64
+FOLD_ROWS = 1024  # runs up to this many instants are folded in one row
 
 
 def cooldown(triggers: DataFrame, keys: list[str], tie: str, at: str = "ts", minutes: str = "cooldown_minutes",
-             chunk_cooldowns: int = CHUNK_COOLDOWNS) -> DataFrame:
+             chunk_cooldowns: int = CHUNK_COOLDOWNS, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Triggers that fire; of several at one instant the first by ``tie``.
 
     keys = ["rule_id"] is the original scope (one client's alert mutes the others); add an
@@ -86,19 +88,25 @@ def cooldown(triggers: DataFrame, keys: list[str], tie: str, at: str = "ts", min
     gaps = gaps.withColumn("opens", (c("prev_us").isNull() | (c("us") - c("prev_us") >= c("cool"))).cast("bigint")).drop("prev_us")
     runs = ordered_scan(gaps, keys, ["us"], day, before={"earlier": c("opens")}).withColumn("run", c("earlier") + c("opens")).drop("earlier")
     run_keys = [*keys, "run"]
-    runs = with_totals(runs, run_keys, run_end=F.max("us"), run_start=F.min("us"))
+    runs = with_totals(runs, run_keys, run_end=F.max("us"), run_start=F.min("us"), run_rows=F.count(F.lit(1)))
     long_run = c("run_end") - c("run_start") >= c("cool")
     heads = runs.where(~long_run & (c("opens") == 1)).select(*keys, "us")
 
     chunk = F.floor(c("us") / (c("cool") * chunk_cooldowns))
-    chunked = runs.where(long_run).select(*run_keys, "us", "cool", chunk.alias("chunk"))
+    short = runs.where(long_run & (c("run_rows") <= fold_rows)).groupBy(*run_keys).agg(
+        F.array_sort(F.collect_list("us")).alias("all_us"), F.max("cool").alias("cool"))
+    start = F.struct(F.lit(-(2**62)).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("fired"))
+    fold = F.aggregate("all_us", start, lambda acc, x: F.when(
+        x - acc["last"] >= c("cool"), F.struct(x.alias("last"), F.array_append(acc["fired"], x).alias("fired"))).otherwise(acc), lambda acc: acc["fired"])
+    folded = short.select(*keys, F.explode(fold).alias("us"))
+    chunked = runs.where(long_run & (c("run_rows") > fold_rows)).select(*run_keys, "us", "cool", chunk.alias("chunk"))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunked.select(*run_keys).schema.fields)
     steps = chunked.groupBy(*run_keys, "chunk").applyInPandas(
         _chunk_steps(run_keys, chunk_cooldowns), f"{key_schema}, chunk long, upto long, exit_us long")
     entries = steps.groupBy(*run_keys).applyInPandas(_fold_entries(run_keys), f"{key_schema}, chunk long, entry_us long")
     fired = join_back(chunked, entries, [*run_keys, "chunk"]).groupBy(*run_keys, "chunk").applyInPandas(
         _emit_fired(run_keys), f"{key_schema}, us long")
-    fired = heads.unionByName(fired.select(*keys, "us"))
+    fired = heads.unionByName(folded).unionByName(fired.select(*keys, "us"))
     return first_per_key(join_back(triggers.withColumn("us", us), fired, [*keys, "us"]), [*keys, "us"], [tie]).drop("us")
 
 

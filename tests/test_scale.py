@@ -69,7 +69,7 @@ def test_cooldown_equals_fold(spark, chunk):
         rows += [(key, rnd.randrange(span) * 1_000_000, len(rows) + i) for i in range(n)]
     df = spark.createDataFrame(rows, "rule_id string, us long, event_id long").select(
         "rule_id", "event_id", F.timestamp_micros("us").alias("ts"), F.lit(10).alias("cooldown_minutes"))
-    got = alerts.cooldown(df, ["rule_id"], tie="event_id", chunk_cooldowns=chunk)
+    got = alerts.cooldown(df, ["rule_id"], tie="event_id", chunk_cooldowns=chunk, fold_rows=100)
     assert sorted((r["rule_id"], r["event_id"]) for r in got.collect()) == brute_cooldown(rows, 600_000_000)
 
 
@@ -96,8 +96,9 @@ def brute_dbscan(pts, eps, k):
     return labels
 
 
-@pytest.mark.parametrize("dims,eps,k", [(2, 0.1, 5), (4, 0.25, 4)])
-def test_dbscan_equals_brute_force(spark, dims, eps, k):
+@pytest.mark.parametrize("dims,eps,k,direct", [(2, 0.1, 5, 0), (2, 0.1, 5, 512), (4, 0.25, 4, 8)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, dims, eps, k, direct):
+    monkeypatch.setattr(spatial, "DIRECT_PAIRS", direct)
     rng = np.random.default_rng(dims)
     centres = rng.uniform(0, 1, (4, dims))
     pts = np.vstack([centres[i % 4] + rng.normal(0, 0.05, dims) for i in range(120)] + [rng.uniform(0, 1, (40, dims))] + [np.repeat(centres[:1], 80, axis=0)])

@@ -48,7 +48,7 @@ class Tables:
         return e.select(
             (F.col("user_id") % 5).alias("client_id"), "user_id", "event_id", "ts", "channel",
             (F.col("event_id") % 20).alias("campaign_id"),
-            F.when(F.col("channel").isin("email", "organic"), 0.0).otherwise(F.col("value") / 10).alias("cost"),
+            F.when(F.col("channel").isin("email", "organic"), 0.0).otherwise(F.floor(F.col("value") * 10) / 100).alias("cost"),
             (F.col("event_type") == "purchase").alias("is_conversion"), "value")
 
     @cached_property
@@ -321,7 +321,7 @@ def rnd(x: str, digits: int) -> str:
 VIEWS: dict[str, tuple[str, str]] = {
     "touchpoints": ("", f"""
 select user_id % 5 as client_id, user_id, event_id, ts, channel, event_id % 20 as campaign_id,
-  case when channel in ('email','organic') then 0::double else value / 10 end as cost,
+  case when channel in ('email','organic') then 0::double else floor(value * 10) / 100 end as cost,
   event_type = 'purchase' as is_conversion, value
 from (select *, {_case(CHANNELS, "cast(json_extract_string(props, '$.k') as int) % 5")} as channel from events)"""),
     "journeys": ("touchpoints", """

@@ -203,19 +203,27 @@ def _seed_distance(seed: DataFrame, features: list[str], weight) -> tuple[Column
     return reduce(lambda a, b: a + b, [weight(c(f) - c("__s")[f"m_{f}"], c("__s")[f"v_{f}"]) for f in features]), stats
 
 
+def _most_similar(scored: DataFrame, n: int) -> DataFrame:
+    """The n rows of greatest similarity; n grows with the seed, so ranks come from a bucketed
+    scan instead of a top-n that would meet in one task."""
+    placed = scored.withColumn("__far", -c("similarity"))
+    ranked = ordered_scan(placed, [], ["__far", "user_id"], F.floor(c("__far") * 100000), row_number="__rank")
+    return ranked.where(c("__rank") <= n).drop("__far", "__rank")
+
+
 def lookalike_topn(seed: DataFrame, pool: DataFrame, expansion: float = 5.0, features: list[str] | None = None) -> DataFrame:
     """The ⌊seed size · expansion⌋ pool users nearest the seed in standard deviations."""
     d2, stats = _seed_distance(seed, features or FEATURES, lambda d, v: F.pow(d / (F.sqrt(v) + 0.001), F.lit(2.0)))
     wanted = int(seed.count() * expansion)
     scored = pool.withColumn("__s", stats).select("user_id", (1 / (1 + F.sqrt(d2))).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "user_id").limit(wanted)
+    return _most_similar(scored, wanted)
 
 
 def lookalike_threshold(seed: DataFrame, pool: DataFrame, size: int = 1000, expansion: float = 1.0, features: list[str] | None = None) -> DataFrame:
     """At most ``size`` users with similarity of at least .8 / expansion."""
     d2, stats = _seed_distance(seed, features or FEATURES, lambda d, v: d * d / (v + 1e-10))
     scored = pool.withColumn("__s", stats).select("user_id", (1 / (1 + F.sqrt(d2))).alias("similarity"))
-    return scored.where(c("similarity") >= 0.8 / expansion).orderBy(F.desc("similarity"), "user_id").limit(size)
+    return _most_similar(scored.where(c("similarity") >= 0.8 / expansion), size)
 
 
 def lookalike_report(seed: DataFrame, lookalikes: DataFrame) -> DataFrame:

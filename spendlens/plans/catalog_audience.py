@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from spendlens.functions.spatial import dbscan, min_max_scaled
+from spendlens.operators import aggregates as A
 from spendlens.operators import attribution as T
 from spendlens.operators import audience as U
 from spendlens.operators import setops as Z
-from spendlens.plans.catalog_ingest import MEMBERS, norm_campaigns, segment_members
+from spendlens.plans.catalog_ingest import norm_campaigns
 from spendlens.plans.registry import query
-from spendlens.plans.views import AS_OF_EVENTS, rnd
+from spendlens.plans.views import rnd
 
 PROFILE = "user_id sessions_30d pageviews_30d time_on_site_avg bounce_rate purchases_30d total_revenue_30d avg_order_value email_opens_30d ad_clicks_30d days_since_last_visit days_since_last_purchase"
 
@@ -118,6 +119,11 @@ def _(t):
     return U.segment_profile(fixed_clusters(t)).drop("key_traits").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("a12_audience_fleet", "user_profiles", f"select sum(size)::bigint as total_audience, avg(avg_ltv) as avg_ltv from ({SEG})", r="avg_ltv")
+def _(t):
+    return A.audience_fleet(U.segment_profile(fixed_clusters(t)))
+
+
 @query("u11_rfm", "user_profiles", f"select cluster, r, f, m from ({RAW_SEG})", r="r f m")
 def _(t):
     g = fixed_clusters(t).groupBy("cluster").agg(F.avg("days_since_last_visit").alias("d"), F.avg("sessions_30d").alias("s"), F.avg("total_revenue_30d").alias("v"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import exact_search, language, packing, quality, secret_scan, sharding, token_store
+from spendlens.llm import exact_search, jaccard_join, language, packing, quality, secret_scan, sharding, token_store
 from spendlens.llm.common import remainder, table
 from spendlens.session import shared_scratch, staged
 
@@ -31,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), percent=80, width=5)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.fit_markov(docs))
@@ -58,6 +62,7 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_secrets": op6_secrets,
     "op7_token_store": op7_token_store,
     "op8_quality": op8_quality,

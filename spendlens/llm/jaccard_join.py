@@ -39,7 +39,7 @@ BYTES, PLACES, RUNS, SALTS = _seeds(1, 256), U(0x9E3779B97F4A7C15), _seeds(1000,
 SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
-def _words(text: str) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words, A-Z lowered, split at ASCII white space; a chunk at a time."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
     out, start = [], 0
@@ -66,7 +66,7 @@ def _words(text: str) -> np.ndarray:
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct hashes of all runs of ``width`` words; fewer words are one run; none without words."""
-    words = _words(text) if text else np.zeros(0, U)
+    words = word_hashes(text) if text else np.zeros(0, U)
     n = len(words)
     if n == 0:
         return words

@@ -6,11 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import exact_search, jaccard_join, language, packing, quality, secret_scan, sharding, token_store
+from spendlens.llm import decontaminate, exact_search, jaccard_join, language, lm_score, packing, quality, secret_scan, sharding, token_store
 from spendlens.llm.common import remainder, table
 from spendlens.session import shared_scratch, staged
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score_documents(docs, lm_score.fit_net(docs))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -60,6 +69,8 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,

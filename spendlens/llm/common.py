@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,19 @@ def kept_share(share: Column | float, *keys: Column | str) -> Column:
     return unit < share
 
 
+def once_per_process(key: str, make: Callable):
+    """What make() gives, kept for later tasks of the same worker process."""
+    store = sys.modules.setdefault("spendlens_llm_kept", types.ModuleType("spendlens_llm_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def every_character() -> np.ndarray:
+    """All code points as one-character strings."""
+    return np.arange(0x110000, dtype="<u4").view("<U1")
+
+
 def with_columns(df: DataFrame, added: str, fn: Callable[[list], list[np.ndarray | list]], text: str = "text") -> DataFrame:
     """df and new columns computed batch by batch from its texts; an old column of the same name gives way."""
     new = T.StructType.fromDDL(added)

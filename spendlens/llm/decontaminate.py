@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import arrow_rows, with_columns
+from spendlens.llm.common import arrow_rows, every_character, once_per_process, with_columns
 from spendlens.session import staged
 
 STEPS = 40  # of a walk
@@ -24,13 +24,10 @@ SPACE = 32
 
 def _symbols() -> np.ndarray:
     """Every code point's symbol: its lower-case code for letters and digits, else white space."""
-    out = np.full(0x110000, SPACE, np.int32)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalnum():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
-    return out
+    c = every_character()
+    low = np.char.lower(c).astype("<U2").view("<u4").reshape(-1, 2)
+    alone = np.where(low[:, 1] == 0, low[:, 0], np.arange(0x110000))
+    return np.where(np.char.isalnum(c), alone, SPACE).astype(np.int32)
 
 
 def normal(text: str | None, symbols: np.ndarray) -> np.ndarray:
@@ -255,7 +252,7 @@ def _finder(own: list[tuple[int, str]], allowed: float, repeats: int, places: in
     short = [(i, " " + "".join(map(chr, c)) + " ") for i, c in items if len(c) <= STEPS]
 
     def find(texts: list) -> list[dict[int, tuple[int, int]]]:
-        table = _symbols()
+        table = once_per_process("symbols", _symbols)
         index.open()
         out: list[dict[int, tuple[int, int]]] = []
         held, size = [], 0

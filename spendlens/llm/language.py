@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import arrow_rows, kept_share, summed, with_columns
+from spendlens.llm.common import arrow_rows, every_character, kept_share, once_per_process, summed, with_columns
 from spendlens.session import staged
 
 UNDETERMINED = "und"
@@ -50,7 +50,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return once_per_process("letters", lambda: np.char.isalpha(every_character()))
 
 
 def _bins(text: str | None, letters: np.ndarray):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import ordered_scan
-from spendlens.llm.common import arrow_rows
+from spendlens.llm.common import arrow_rows, once_per_process
 from spendlens.llm.tokens import Encoder
 from spendlens.session import staged
 
@@ -25,7 +25,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, wit
     make, description = arrow_rows(schema), Path(vocabulary).read_text()
 
     def run(batches):
-        encode = Encoder(description)
+        encode = once_per_process(f"encoder {vocabulary}", lambda: Encoder(description))
         for b in batches:
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import arrow_rows, kept_share, summed, with_columns
+from spendlens.llm.common import arrow_rows, every_character, kept_share, once_per_process, summed, with_columns
 from spendlens.session import staged
 
 STATISTICS = 22
@@ -30,20 +30,11 @@ class QualityModel:
 
 def _kinds() -> np.ndarray:
     """Kind of every code point: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence mark, 6 ASCII symbol, 7 other letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            out[i] = 2 if c.isupper() else 1 if c.islower() else 7
-        elif c.isspace():
-            out[i] = 4
-        elif c.isdigit():
-            out[i] = 3
-        elif c in ".,;:!?'\"()-":
-            out[i] = 5
-        elif i < 128:
-            out[i] = 6
-    return out
+    c, at = every_character(), np.arange(0x110000)
+    alpha = np.char.isalpha(c)
+    marks = np.isin(at, [ord(x) for x in ".,;:!?'\"()-"])
+    cases = [alpha & np.char.isupper(c), alpha & np.char.islower(c), alpha, np.char.isspace(c), np.char.isdigit(c), marks, at < 128]
+    return np.select(cases, [2, 1, 7, 4, 3, 5, 6], 0).astype(np.uint8)
 
 
 def _statistics(text: str | None, kinds: np.ndarray) -> np.ndarray:
@@ -68,7 +59,7 @@ def _statistics(text: str | None, kinds: np.ndarray) -> np.ndarray:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of every whole text; a null text counts as empty."""
     def run(texts):
-        kinds = _kinds()
+        kinds = once_per_process("kinds", _kinds)
         return [[_statistics(t, kinds) for t in texts]]
 
     return with_columns(docs.select("doc_id", "text"), "stats array<double>", run).select("doc_id", "stats")

@@ -58,11 +58,16 @@ def _place(c: Column) -> Column:
     return F.instr(F.lit(ALPHABET), c)
 
 
+def _characters(w: Column) -> Column:
+    return F.filter(F.split(w, ""), lambda c: c != "")
+
+
 def _pairs(tokens: DataFrame) -> DataFrame:
     """How often each pair of neighbouring characters occurs in column w."""
-    at = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")
-    pair = tokens.where(F.length("w") > 1).select("w", at)
-    return pair.groupBy((_place(F.expr("substring(w, i, 1)")) * SIDE + _place(F.expr("substring(w, i + 1, 1)"))).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    chars = tokens.where(F.length("w") > 1).select(_characters(F.col("w")).alias("c"))
+    left, right = F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1)
+    pair = chars.select(F.explode(F.arrays_zip(left.alias("a"), right.alias("b"))).alias("p"))
+    return pair.groupBy((_place(F.col("p.a")) * SIDE + _place(F.col("p.b"))).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit_markov(docs: DataFrame, random_rows: int = 400_000, ordinary_rows: int = 4_000, known: DataFrame | None = None) -> DataFrame:
@@ -107,8 +112,13 @@ def scan(docs: DataFrame, model: DataFrame, least: float = 10.0) -> DataFrame:
     found = found.select(*docs.columns, F.inline(F.array(F.struct("base", "__tokens")))).withColumn("__ratio", F.when(F.size("__tokens") > 0, one_row(model)["ratio"]))
 
     def total(w: Column) -> Column:
-        pair = lambda i: _place(w.substr(i, F.lit(1))) * SIDE + _place(w.substr(i + 1, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(w) - 1), F.lit(0.0), lambda acc, i: acc + F.col("__ratio")[pair(i)])
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+        def step(acc: Column, c: Column) -> Column:
+            ratio = F.when(acc["last"] >= 0, F.col("__ratio")[acc["last"] * SIDE + _place(c)]).otherwise(0.0)
+            return F.struct(_place(c).alias("last"), (acc["sum"] + ratio).alias("sum"))
+
+        return F.aggregate(_characters(w), start, step, lambda acc: acc["sum"])
 
     def odd(t: Column) -> Column:
         w = text.substr(t["s"] + 1, t["e"] - t["s"])

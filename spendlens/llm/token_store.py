@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import arrow_rows
+from spendlens.llm.common import arrow_rows, once_per_process
 from spendlens.llm.tokens import Encoder
 
 BLOCK = 2048  # ids of a block at most
@@ -236,7 +236,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     make, description = arrow_rows(schema), Path(vocabulary).read_text()
 
     def run(batches):
-        encode = Encoder(description)
+        encode = once_per_process(f"encoder {vocabulary}", lambda: Encoder(description))
         for b in batches:
             end = np.array([end_id], encode.dtype).tobytes()
             yield make([b.column(0), [encode(t) + end for t in b.column(1).to_pylist()]])

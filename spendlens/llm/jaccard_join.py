@@ -226,9 +226,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_doc
     base = staged(texts.mapInArrow(sign, schema), "signed")
     classes = staged(base.where("n > 0").groupBy("node", "check", "n").agg(
         F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    blocks = staged(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("m")).where("hub <> far"), "blocks")
-    shared = staged(keyed.join(blocks, "key").select("key", "band", "node", "hub", "m"), "shared")
+    keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    blocks = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
+    blocks = staged(blocks.where("hub <> far").select("key", "hub", parts.alias("parts")), "blocks")
+    part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int").alias("part")
+    shared = staged(keyed.join(blocks, "key").select("key", "band", "node", "hub", "parts", part), "shared")
     clusters = _grouped(shared.select("node").distinct(), shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
     sized = staged(clusters.withColumnRenamed("grp", "cluster").join(classes.select("node", "n", "doc_id"), "node"), "clusters")
     large = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).withColumn(
@@ -249,22 +252,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_doc
             yield rows(out)
 
     wanted = sized.select("doc_id", "node", "cluster", "large")
-    tokens = texts.join(wanted, "doc_id").select("text", "node", "cluster", "large").mapInArrow(collect, token_schema)
+    # both sides grow with the corpus: the same plan at every size
+    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "cluster", "large").mapInArrow(collect, token_schema)
     tokens = staged(tokens.dropDuplicates(["node"]), "tokens")
     every = F.lit(True).alias("odd")
     small = _linked(tokens.where("not large").select("cluster", "node", F.col("node").alias("grp"), every, "tokens"), ["cluster"], percent)
     links = staged(small, "links")
     if not large.where("large").isEmpty():
         big = tokens.where("large").select("node", "tokens")
-        at = staged(shared.join(big.select("node"), "node").select("key", "band", "node"), "large-blocks")
-        sizes = at.join(sized.select("node", "n"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-        parts = F.greatest(F.ceil(F.col("m") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
-        part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
-        at = staged(at.join(sizes.withColumn("parts", parts), "key").withColumn("part", part), "large-parts")
-        quick = at.where(F.col("band") < QUICK_BANDS).join(big, "node").withColumns({"grp": F.col("node"), "odd": F.lit(True)})
+        quick = shared.where(F.col("band") < QUICK_BANDS).join(big, "node").withColumns({"grp": F.col("node"), "odd": F.lit(True)})
         links = staged(links.unionByName(_linked(quick, ["key", "part"], percent)), "links")
         grouped = staged(_grouped(big.select("node"), links), "groups")
-        here = staged(at.join(grouped, "node"), "large-groups")
+        here = staged(shared.join(grouped, "node"), "large-groups")
         most = here.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
         open_ = staged(here.join(most.where("top < all"), "key"), "open-blocks")
         outside = open_.where("grp <> main")

@@ -33,12 +33,8 @@ def with_totals(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the cluster has cores.
-
-    For work that is heavy per row; a large scan has splits enough and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal a scan out evenly for work that is heavy per row; the partitions follow the data's size."""
+    return df.hint("rebalance")
 
 
 def one_row(df: DataFrame) -> Column:

@@ -304,11 +304,12 @@ def rule_segment(events: DataFrame, did: str, not_then: str, days: int) -> DataF
     B times are carried back along the user's timeline by a bucketed lead, so the range
     condition needs neither a range join nor all pairs of a user's events.
     """
-    rows = events.where(c("event_type").isin(did, not_then))
-    # next B per row: number the B events before each row; the (k+1)-th B is the next one
+    rows = events.where(c("event_type").isin(did, not_then)).withColumn("is_a", (c("event_type") == did).cast("int"))
+    # next B per row: number the B events before each row; the (k+1)-th B is the next one.
+    # A B at the very time of an A does not follow it and is counted before
     hour = F.date_trunc("hour", c("ts").cast("timestamp"))
     is_b = (c("event_type") == not_then).cast("bigint")
-    numbered = ordered_scan(rows, ["user_id"], ["ts", "event_id"], hour, before={"b_before": is_b})
+    numbered = ordered_scan(rows, ["user_id"], ["ts", "is_a", "event_id"], hour, before={"b_before": is_b})
     b = numbered.where(c("event_type") == not_then).select(c("user_id").alias("u"), c("b_before").alias("k"), c("ts").alias("b_ts"))
     a = numbered.where(c("event_type") == did)
     j = a.join(b, (a.user_id == b.u) & (a.b_before == b.k), "left")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from spendlens.functions.expr import once
 from spendlens.functions.skew import last_per_key, ordered_scan
 
-MAX_PAGE_SIZE = 100
-
 
 def where_all(df: DataFrame, **equals) -> DataFrame:
     """Equality filters; an argument that is None does not filter."""
@@ -29,7 +27,6 @@ def page(df: DataFrame, key: str, page_no: int, size: int, bucket: Column) -> Da
     The row number comes from a bucketed scan, so a deep page sorts no more than its buckets
     and no task sees the whole table.
     """
-    size = min(size, MAX_PAGE_SIZE)
     low = (page_no - 1) * size
     numbered = ordered_scan(df, [], [key], bucket, row_number="row_no")
     total = df.agg(F.count(F.lit(1))).scalar()

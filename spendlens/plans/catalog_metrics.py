@@ -25,7 +25,7 @@ def _(t):
         "campaign_id", "campaign_name", "platform", "status", "row_no", "total")
 
 
-@query("f02_list_clients_search", "clients", PAGE.format(k="client_id", a=1, b=100, q="select client_id, client_name, industry from clients where is_active and industry = 'BUILDING' and lower(client_name) like '%00000%'"))
+@query("f02_list_clients_search", "clients", PAGE.format(k="client_id", a=1, b=500, q="select client_id, client_name, industry from clients where is_active and industry = 'BUILDING' and lower(client_name) like '%00000%'"))
 def _(t):
     return L.list_clients(t.clients, is_active=True, industry="BUILDING", search="00000", size=500).select("client_id", "client_name", "industry", "row_no", "total")
 

@@ -270,7 +270,7 @@ def _(t):
 @query("r14_train_creative")
 def _(t):
     rows = t.creatives.where("quality is not null")
-    model = R.train_creative(rows, F.col("quality"), trees=10)
+    model = R.train_creative(rows, F.col("quality"))
     return model.transform(R.train_inputs(rows).withColumn("label", F.col("quality").cast("double"))).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("creatives"))
 
 
@@ -457,7 +457,7 @@ def _(t):
 @query("o12_train_roas_forecaster")
 def _(t):
     rows = O.forecaster_rows(t.ad_metrics, t.campaigns, 1)
-    _, scored = O.train_forecaster(rows, "2000-01-01", trees=5)
+    _, scored = O.train_forecaster(rows, "2000-01-01")
     return scored.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("steps"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"))
 
 
@@ -613,11 +613,11 @@ def _(t):
 @query("l09_dashboard_alerts", "scored campaign_state", """
 select part, id, type, message, time from (
   select 0 as part, client_id as id, 'warning' as type, printf('Client "%s" health score dropped to %d', client_name, trunc(overall_score)::bigint) as message,
-    printf('%d days to potential churn', days_to_churn) as time from scored where risk_level in ('critical', 'warning') and client_id > 1490
-  union all select 1, campaign_id, 'success', printf('Campaign "%s" ROAS increased to %.1fx', campaign_name, roas * 5), 'Real-time' from campaign_state where roas * 5 > 10)
+    printf('%d days to potential churn', days_to_churn) as time from scored where risk_level in ('critical', 'warning')
+  union all select 1, campaign_id, 'success', printf('Campaign "%s" ROAS increased to %.1fx', campaign_name, roas), 'Real-time' from campaign_state where roas > 10)
 order by part, id limit 5""")
 def _(t):
-    return L.dashboard_alerts(t.scored.where("client_id > 1490"), t.campaign_state.withColumn("roas", F.col("roas") * 5))
+    return L.dashboard_alerts(t.scored, t.campaign_state)
 
 
 # ---- monitoring ----------------------------------------------------------------------------

@@ -136,18 +136,18 @@ def _(t):
 with s as (select time_bucket(interval 30 minute, ts) as b, campaign_id, {SUMS} from ({METRICS}) group by 1, 2),
   w as (select b - i * interval 30 minute as ws, campaign_id, spend, revenue, clicks, impressions, conversions from s, range(0, 48) r(i))
 select strftime(ws, '%Y-%m-%d %H:%M') as window_start, strftime(ws + interval 24 hour, '%Y-%m-%d %H:%M') as window_end, campaign_id, {SUMS} from w
-where ws + interval 24 hour <= (select max(ts) - interval 1 hour from touchpoints) group by ws, campaign_id""", r="spend revenue", digits=3)
+group by ws, campaign_id""", r="spend revenue", digits=3)
 def _(t):
-    out = W.collect_append(W.metrics_sliding(metric_events(streams(t)), "campaign_id"), "sliding")
+    out = W.collect_append(W.metrics_sliding(metric_events(released(t)), "campaign_id"), "sliding")
     return texts(out, "window_start", "window_end")
 
 
 @query("x09_session_stream", "event_gaps", """
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M') as session_start, strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M') as session_end, count(*) as events from (
   select *, sum(case when prev_ts is null or epoch_us(ts) - epoch_us(prev_ts) >= 1800000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as n from event_gaps)
-group by user_id, n having max(ts) + interval 30 minute <= (select max(ts) - interval 1 hour from events)""")
+group by user_id, n""")
 def _(t):
-    return texts(W.collect_append(W.session_stream(streams(t).raw("events")), "sessions"), "session_start", "session_end")
+    return texts(W.collect_append(W.session_stream(released(t).raw("events")), "sessions"), "session_start", "session_end")
 
 
 @query("x10_late_data", "touchpoints", f"""

@@ -88,9 +88,9 @@ class Tables:
 
     @cached_property
     def campaign_series(self) -> DataFrame:
-        """Last 14 daily ROAS of every campaign; rn 1 is the newest day (a campaign-day is one row)."""
+        """Daily ROAS of every campaign over all its days; rn 1 is the newest (a campaign-day is one row)."""
         newest = Window.partitionBy("campaign_id").orderBy(F.desc("day"))
-        return self.ad_metrics.withColumn("rn", F.row_number().over(newest)).where("rn <= 14").select(
+        return self.ad_metrics.withColumn("rn", F.row_number().over(newest)).select(
             "campaign_id", "day", "rn", "spend", "revenue", "clicks", "impressions", "conversions",
             (F.col("revenue") / F.greatest("spend", F.lit(1.0))).alias("roas"))
 
@@ -363,7 +363,7 @@ select s_suppkey as campaign_id, s_name as campaign_name, {_case(PLATFORMS, 's_s
 from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""),
     "campaign_series": ("ad_metrics", """
 select campaign_id, day, rn, spend, revenue, clicks, impressions, conversions, revenue / greatest(spend, 1) as roas
-from (select *, row_number() over (partition by campaign_id order by day desc) as rn from ad_metrics) where rn <= 14"""),
+from (select *, row_number() over (partition by campaign_id order by day desc) as rn from ad_metrics)"""),
     "campaign_state": ("campaigns campaign_series", """
 select c.campaign_id, campaign_name, platform, account_id, budget as current_budget,
   max(case when rn = 1 then roas end) as roas, max(case when rn = 1 then spend end) as spend_today,

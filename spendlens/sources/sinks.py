@@ -14,12 +14,11 @@ from spendlens.sources.landed import hashed
 def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append metric rows into monthly partitions.
 
-    Rows are spread by month and a hash of the entity, so one busy month is written by many
-    tasks, and sorted so that Parquet min/max skips on entity and day.
+    Rows are dealt by month and a busy month is split by its size, so that as many tasks write
+    it as it needs; they are sorted so that Parquet min/max skips on entity and day.
     """
     rows = df.withColumn("month", F.date_format("day", "yyyy-MM"))
-    salt = F.pmod(F.xxhash64("entity_type", "entity_id"), F.lit(16))
-    (rows.repartition("month", salt).sortWithinPartitions("month", "entity_type", "entity_id", "day")
+    (rows.hint("rebalance", "month").sortWithinPartitions("month", "entity_type", "entity_id", "day")
         .write.partitionBy("month").mode(mode).parquet(path))
 
 

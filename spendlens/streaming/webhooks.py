@@ -6,6 +6,7 @@ and ts, and stays inside built-in expressions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,7 @@ def hmac_sha256(secret: str, message: Column) -> Column:
     """HMAC as two nested SHA-256 over padded key literals: no Python worker involved."""
     key = secret.encode()
     if len(key) > BLOCK:
-        raise ValueError("secrets longer than one block must be hashed first")
+        key = hashlib.sha256(key).digest()
     key = key.ljust(BLOCK, b"\0")
     inner = F.lit(bytearray(b ^ 0x36 for b in key))
     outer = F.lit(bytearray(b ^ 0x5C for b in key))

@@ -23,7 +23,6 @@ LAST = DEPTH - 1
 AXES = 3  # dimensions of the first equi-join: 27 neighbour cells
 MARGIN = 1e-9
 DIRECT_PAIRS = 512  # point pairs two cells may form without being split further
-MAX_ROUNDS = 60
 
 
 def min_max_scaled(df: DataFrame, key: str, dims: list[str]) -> DataFrame:
@@ -180,13 +179,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return moved.where("u <> v").distinct()
 
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         edges = staged(star(star(edges, True), False), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def dbscan(points: DataFrame, key: str, dims: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:

@@ -43,7 +43,7 @@ def build_journeys(events: DataFrame, as_of: str | None = None, lookback_days: i
     closes = F.col("is_conversion") | F.col("next_channel").isNull()
     return rows.select(
         *events.columns, "path_no",
-        (F.col("user_id") * 1000000 + F.col("path_no")).alias("path_id"),
+        F.concat_ws(":", F.col("user_id").cast("string"), F.col("path_no").cast("string")).alias("path_id"),
         opens.alias("is_first"), closes.alias("is_last"),
         F.when(~opens, F.col("prev_channel")).alias("prev_channel"),
         F.when(~closes, F.col("next_channel")).alias("next_channel"),

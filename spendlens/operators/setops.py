@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.skew import join_back
 
 
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -26,15 +25,7 @@ def coalition_members(path_channels: DataFrame, coalition: list[str]) -> DataFra
     return path_channels.groupBy("client_id", "path_id").agg(F.array_sort(F.collect_set(inside)).alias("members"))
 
 
-def channel_bits(path_channels: DataFrame) -> DataFrame:
-    """Bit number of every channel of a client, in channel order."""
-    order = Window.partitionBy("client_id").orderBy("channel")  # one row per channel
-    return path_channels.select("client_id", "channel").distinct().withColumn("bit", F.row_number().over(order) - 1)
-
-
-def subset_counts(masks: DataFrame, bits: DataFrame, coalition: list[str]) -> DataFrame:
-    """Paths per client, and those whose channels all lie in the coalition: mask & ~S = 0."""
-    s = bits.where(F.col("channel").isin(coalition)).groupBy("client_id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("s"))
-    rows = join_back(masks, s, ["client_id"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    outside = F.col("mask").bitwiseAND(F.bitwise_not("s"))
-    return rows.groupBy("client_id").agg(F.sum("journeys").alias("paths"), F.sum(F.when(outside == 0, F.col("journeys")).otherwise(0)).alias("subset_paths"))
+def subset_counts(path_channels: DataFrame, coalition: list[str]) -> DataFrame:
+    """Paths per client, and those whose channels all lie in the coalition; any number of channels."""
+    inside = path_channels.groupBy("client_id", "path_id").agg(F.bool_and(F.col("channel").isin(coalition)).alias("inside"))
+    return inside.groupBy("client_id").agg(F.count(F.lit(1)).alias("paths"), F.count_if("inside").alias("subset_paths"))

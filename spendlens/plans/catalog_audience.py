@@ -10,6 +10,7 @@ from spendlens.operators import setops as Z
 from spendlens.plans.catalog_ingest import norm_campaigns
 from spendlens.plans.registry import query
 from spendlens.plans.views import rnd
+from spendlens.session import staged
 
 PROFILE = "user_id sessions_30d pageviews_30d time_on_site_avg bounce_rate purchases_30d total_revenue_30d avg_order_value email_opens_30d ad_clicks_30d days_since_last_visit days_since_last_purchase"
 
@@ -43,13 +44,13 @@ def _(t):
 
 @query("u06_kmeans_segments")
 def _(t):
-    s = scored(t).persist()
+    s = staged(scored(t), "scored")
     return U.assign(s, U.kmeans_standardised(s)).select("user_id", "cluster")
 
 
 @query("u07_kmeans_minmax")
 def _(t):
-    s = scored(t).persist()
+    s = staged(scored(t), "scored")
     return U.assign(s, U.kmeans_minmax(s)).select("user_id", "cluster")
 
 
@@ -89,7 +90,7 @@ def _(t):
 
 @query("u09_assign_member")
 def _(t):
-    s = scored(t).persist()
+    s = staged(scored(t), "scored")
     model = U.kmeans_standardised(s.where("user_id % 2 = 0"))
     return U.assign(s.where("user_id % 2 = 1"), model).select("user_id", "cluster")
 
@@ -263,14 +264,14 @@ def _(t):
 
 @query("u22_silhouette")
 def _(t):
-    s = scored(t).persist()
+    s = staged(scored(t), "scored")
     value = U.silhouette(U.assign(s, U.kmeans_standardised(s)))
     return s.agg(F.count(F.lit(1)).alias("users")).withColumn("silhouette", F.lit(value))
 
 
 @query("u23_choose_k")
 def _(t):
-    s = scored(t).persist()
+    s = staged(scored(t), "scored")
     return s.agg(F.count(F.lit(1)).alias("users")).withColumn("k", F.lit(U.choose_k(s, range(2, 6))))
 
 
@@ -337,4 +338,4 @@ def _(t):
 select client_id, count(*) as paths, count(*) filter (inside) as subset_paths from (
   select client_id, path_id, bool_and(channel in ('meta', 'google', 'tiktok')) as inside from path_channels group by 1, 2) group by 1""")
 def _(t):
-    return Z.subset_counts(T.channel_masks(t.path_channels), Z.channel_bits(t.path_channels), ["meta", "google", "tiktok"])
+    return Z.subset_counts(t.path_channels, ["meta", "google", "tiktok"])

@@ -358,15 +358,25 @@ def _(t):
     return A.audience_size(t.raw("events").select(F.col("event_type").alias("segment"), "user_id"), exact=True)
 
 
-@query("a14_unique_users_approx")
+NEAR_USERS = "select event_type as segment, count(distinct user_id) as exact, true as within_error from events group by 1"
+
+
+def near_exact(t, sizes, error):
+    """Estimates beside the exact counts: do they keep to the error?"""
+    exact = A.audience_size(t.raw("events").select(F.col("event_type").alias("segment"), "user_id"), exact=True).withColumnRenamed("users", "exact")
+    return exact.join(sizes, "segment").select("segment", "exact", (F.abs(F.col("users") - F.col("exact")) <= error * F.col("exact")).alias("within_error"))
+
+
+@query("a14_unique_users_approx", "", NEAR_USERS)
 def _(t):
-    return A.audience_size(t.raw("events").select(F.col("event_type").alias("segment"), "user_id"))
+    sizes = A.audience_size(t.raw("events").select(F.col("event_type").alias("segment"), "user_id"))
+    return near_exact(t, sizes, 0.15)  # three standard errors
 
 
-@query("a14_unique_users_sketch")
+@query("a14_unique_users_sketch", "", NEAR_USERS)
 def _(t):
     s = A.audience_sketches(t.raw("events").select(F.col("event_type").alias("segment"), "user_id"))
-    return s.select("segment", F.hll_sketch_estimate("sketch").alias("users"))
+    return near_exact(t, s.select("segment", F.hll_sketch_estimate("sketch").alias("users")), 0.06)
 
 
 @query("a15_interaction_stats", "interactions", """

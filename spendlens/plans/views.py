@@ -325,7 +325,7 @@ select user_id % 5 as client_id, user_id, event_id, ts, channel, event_id % 20 a
   event_type = 'purchase' as is_conversion, value
 from (select *, {_case(CHANNELS, "cast(json_extract_string(props, '$.k') as int) % 5")} as channel from events)"""),
     "journeys": ("touchpoints", """
-select *, user_id * 1000000 + path_no as path_id,
+select *, user_id || ':' || path_no as path_id,
   row_number() over (partition by user_id, path_no order by ts, event_id) as seq,
   lag(channel) over (partition by user_id, path_no order by ts, event_id) as prev_channel,
   lead(channel) over (partition by user_id, path_no order by ts, event_id) as next_channel,

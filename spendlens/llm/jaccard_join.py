@@ -196,7 +196,23 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
         "grp", F.coalesce("grp", "node"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_docs: int = 512, unit_tokens: int = 1 << 21) -> DataFrame:
+def _with_main(nodes: DataFrame, key: str, unit_docs: int) -> DataFrame:
+    """Per key that holds several groups: the largest one, all nodes, and the chunks the others make."""
+    sizes = nodes.groupBy(key, "grp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy(key).agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
+    return main.where("top < all").withColumn("chunks", F.ceil((F.col("all") - F.col("top")) / F.lit(unit_docs)).cast("int"))
+
+
+def _crossed(nodes: DataFrame, key: str) -> DataFrame:
+    """Units (key, part, chunk): a chunk of the nodes outside the main group against a part of all nodes."""
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int").alias("chunk")
+    odd = nodes.where("grp <> main").select(key, "node", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk, F.lit(True).alias("odd"))
+    every = nodes.select(key, "node", "grp", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("odd"))
+    return odd.unionByName(every)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_docs: int = 512, unit_tokens: int = 1 << 21,
+                    few_chunks: int = BANDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     Texts link when 100 * overlap >= percent * union of their shingle sets; component_id is the least doc_id
@@ -204,10 +220,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_doc
     are one class, of which one member is compared.  Rows sharing an id are separate texts.
 
     Blocks of sets that share a band are joined into clusters.  A cluster up to ``unit_docs`` sets and
-    ``unit_tokens`` shingles is one tree.  A larger one is worked through block by block, in parts of
-    that size: first parts within a few bands; then, in every block whose sets are not yet one
-    group, the sets outside its largest group against all parts.  No pair that shares a
-    block is passed over, except pairs already known to be connected.
+    ``unit_tokens`` shingles is one tree.  A larger one is worked through in parts of that size: first within
+    the blocks of a few bands; then the sets outside its largest group meet all its parts, in chunks.
+    Where that takes more than ``few_chunks`` chunks, they meet the parts of each block they share
+    instead.  No pair that shares a block is passed over, except pairs already known to be connected.
     """
     schema = "doc_id long, n long, node long, check long, keys array<long>"
     make = arrow_rows(schema)
@@ -262,17 +278,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_doc
         big = tokens.where("large").select("node", "tokens")
         quick = shared.where(F.col("band") < QUICK_BANDS).join(big, "node").withColumns({"grp": F.col("node"), "odd": F.lit(True)})
         links = staged(links.unionByName(_linked(quick, ["key", "part"], percent)), "links")
-        grouped = staged(_grouped(big.select("node"), links), "groups")
-        here = staged(shared.join(grouped, "node"), "large-groups")
-        most = here.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
-        open_ = staged(here.join(most.where("top < all"), "key"), "open-blocks")
-        outside = open_.where("grp <> main")
-        chunks = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top")) / F.lit(unit_docs))).cast("int")
-        chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), chunks).cast("int")
-        odd = outside.select("key", "node", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk.alias("chunk"), F.lit(True).alias("odd"))
-        all_ = open_.select("key", "node", "grp", "part", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("odd"))
-        crossed = odd.unionByName(all_.select(odd.columns)).join(big, "node")
-        links = staged(links.unionByName(_linked(crossed, ["key", "part", "chunk"], percent)), "links")
+        of_cluster = sized.where("large").select("cluster", "node", "n")
+        grouped = staged(_grouped(of_cluster, links), "groups")
+        main = _with_main(grouped, "cluster", unit_docs)
+        weight = grouped.groupBy("cluster").agg(F.sum("n").alias("t"))
+        cut = F.greatest(F.ceil(F.col("all") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
+        main = staged(main.join(weight, "cluster").withColumn("parts", cut).withColumn("few", F.col("chunks") <= few_chunks), "clusters")
+        place = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
+        whole = grouped.join(main.where("few").drop("few", "t"), "cluster").withColumn("part", place)
+        links = links.unionByName(_linked(_crossed(whole, "cluster").join(big, "node"), ["cluster", "part", "chunk"], percent))
+        many = grouped.join(main.where("not few").select("cluster"), "cluster").select("node", "grp")
+        here = staged(shared.join(many, "node"), "large-groups")
+        blocked = here.join(_with_main(here, "key", unit_docs), "key")
+        links = links.unionByName(_linked(_crossed(blocked, "key").join(big, "node"), ["key", "part", "chunk"], percent))
+        links = staged(links, "links")
     final = _grouped(sized.select("node"), links)
     rooted = staged(base.select("doc_id", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("grp", "node")).select("doc_id", "n", "root"), "roots")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -140,7 +140,7 @@ def brute_components(rows, percent=80):
     return Counter((d, len(s), least.get(top(i), d) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("how", [{}, {"unit_docs": 2}])
+@pytest.mark.parametrize("how", [{}, {"unit_docs": 2}, {"unit_docs": 2, "few_chunks": 0}])
 def test_jaccard_join(docs, none, rows, how):
     got = Counter(tuple(r) for r in jaccard_join.near_duplicates(docs, **how).collect())
     assert got == brute_components(rows)
@@ -158,7 +158,7 @@ def test_jaccard_chain_and_hot_line(spark):
     texts += [(100 + k, line + " " + " ".join(f"u{k}x{i}" for i in range(3 + k % 40))) for k in range(120)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_components(texts)
-    for how in ({}, {"unit_docs": 5}, {"unit_tokens": 300}):
+    for how in ({"unit_docs": 5}, {"unit_tokens": 300, "few_chunks": 1}):
         assert Counter(tuple(r) for r in jaccard_join.near_duplicates(df, **how).collect()) == want
 
 

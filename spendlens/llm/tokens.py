@@ -12,6 +12,9 @@ from tokenizers import Tokenizer
 
 LATIN = 0x250  # below, letter case and character classes are simple and fixed
 MEMO = 400_000  # words a task remembers at most
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# Byte-level vocabularies write a printable byte as itself and the others as the characters from 256 on.
+BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
 def _class(first: str) -> str:
@@ -51,7 +54,7 @@ class Encoder:
             self.odd = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
         else:
             self.odd = re.compile("[\x1c-\x1fɐ-\U0010ffff]|\\s \\s|\\s \\Z| \\s\\Z")
-        self.parts, self.lone = re.compile(lone) if parts else None, Words(self._plain)
+        self.parts, self.lone, self.merge = re.compile(lone) if parts else None, Words(self._part), self.tokenizer.model.tokenize
         self.first, self.later = Words(self._word), Words(lambda w: self._word(" " + w))
 
     @staticmethod
@@ -72,7 +75,14 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """The merges alone: a part is split, and folded where need be, already."""
+        ids = [t.id for t in self.merge(part.encode().decode("latin-1").translate(BYTES))]
+        return np.array(ids, self.dtype).tobytes()
+
     def _word(self, word: str) -> bytes:
+        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+            return self.lone[word]
         return b"".join(map(self.lone.__getitem__, self.parts.findall(word)))
 
     def __call__(self, text: str | None) -> bytes:

@@ -231,7 +231,11 @@ def decode_segment(data: bytes, only: int | None = None) -> np.ndarray:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and packed ids of every whole text, end_id last; null texts count as empty."""
+    """doc_id and packed ids of every whole text, end_id last; null texts count as empty.
+
+    Rows are in ascending order of doc_id and text over ascending partitions, nulls first.  Texts are moved
+    before they are encoded: finding the ranges reads the rows once more, and that must not encode them.
+    """
     schema = "doc_id long, ids binary"
     make, description = arrow_rows(schema), Path(vocabulary).read_text()
 
@@ -244,14 +248,15 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     width = 2 if Encoder(description).dtype.itemsize == 2 else 4
     if width != 2:
         raise ValueError("the file format holds vocabularies of up to 65,536 ids")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(run, schema)
 
 
 def write_ids(ids: DataFrame, path: str) -> None:
-    """Write packed ids (doc_id, ids as 16-bit words) in ascending doc_id order.
+    """Write packed ids (doc_id, ids as 16-bit words) in the order of ``encode_texts``.
 
     File parts cover ascending id ranges; a part holds segments, a segment whole documents.  Rows
-    without an id come first, repeated ids stand in the order of their ids' bytes.
+    without an id come first, repeated ids stand in the order of their texts.
     """
     schema = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
     make = arrow_rows(schema)
@@ -275,7 +280,7 @@ def write_ids(ids: DataFrame, path: str) -> None:
         if docs:
             yield row()
 
-    ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, schema).write.parquet(path)
+    ids.mapInArrow(run, schema).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 LATIN = 0x250  # below, letter case and character classes are simple and fixed
-MEMO = 400_000  # words a task remembers at most
+MEMO = 400_000  # words a process remembers at most, in two generations
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Byte-level vocabularies write a printable byte as itself and the others as the characters from 256 on.
 BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
@@ -22,16 +22,18 @@ def _class(first: str) -> str:
 
 
 class Words(dict):
-    """A word's packed ids, computed when first asked for."""
+    """A word's packed ids, computed when first asked for; words in use outlive a full memory."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word):
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
             self.clear()
-        self[word] = ids = self.encode(word)
+        ids = self.old.get(word)
+        self[word] = ids = self.encode(word) if ids is None else ids
         return ids
 
 

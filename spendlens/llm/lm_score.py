@@ -8,6 +8,7 @@ the log-probabilities of all its words.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark import TaskContext
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import arrow_rows, summed
 from spendlens.llm.jaccard_join import word_hashes
+from spendlens.session import staged
 
 IDS, CLASSES, INPUTS, DIM, HIDDEN = 1 << 16, 128, 1 << 12, 16, 32
 SIDES = (-2, -1, 1, 2)
 BATCH = 512
+SCORED = 1024  # words scored at once: their class scores stay in the processor's cache
 SHAPES = [(INPUTS + 1, DIM), (len(SIDES) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 BLOCKS, LOTS = 32, 256
 
@@ -29,6 +32,11 @@ class LanguageNet:
     weights: list[np.ndarray]
     within: np.ndarray  # log-probability of each id within its class
 
+    @cached_property
+    def sides(self) -> list[np.ndarray]:
+        """What a word adds to the hidden layer, one table for each side it may stand on."""
+        return [self.weights[0] @ self.weights[1][k * DIM:(k + 1) * DIM] for k in range(len(SIDES))]
+
 
 def _ids(text: str | None) -> np.ndarray:
     return (word_hashes(text) >> np.uint64(48)).astype(np.int64) if text else np.zeros(0, np.int64)
@@ -58,9 +66,10 @@ def _train(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, memory: list[np.nd
     g /= len(y)
     gh = (g @ w[3].T) * (h > 0)
     ge = (gh @ w[1].T).reshape(-1, DIM)
-    rows, back = np.unique(x.ravel(), return_inverse=True)
-    gw0 = np.zeros((len(rows), DIM), np.float32)
-    np.add.at(gw0, back, ge)
+    order = np.argsort(x.ravel(), kind="stable")
+    ranked = x.ravel()[order]
+    starts = np.flatnonzero(np.diff(ranked, prepend=-1))
+    rows, gw0 = ranked[starts], np.add.reduceat(ge[order], starts)
     memory[0][rows] += gw0 ** 2
     w[0][rows] -= rate * gw0 / (np.sqrt(memory[0][rows]) + 1e-4)
     for i, grad in ((1, e.T @ gh), (2, gh.sum(0)), (3, h.T @ g), (4, g.sum(0))):
@@ -68,15 +77,30 @@ def _train(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, memory: list[np.nd
         w[i] -= rate * grad / (np.sqrt(memory[i]) + 1e-4)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_ids(docs: DataFrame) -> DataFrame:
+    """doc_id and the packed word ids of every whole text (null: none), hashed once for the counts, the rounds and the scores."""
+    schema = "doc_id long, ids binary"
+    make = arrow_rows(schema)
+
+    def run(batches):
+        for b in batches:
+            yield make([b.column(0), [_ids(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()]])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _unpacked(batch) -> list[np.ndarray]:
+    return [np.frombuffer(p, "<u2").astype(np.int64) for p in batch.column(1).to_pylist()]
+
+
+def word_counts(words: DataFrame) -> DataFrame:
     """(id, n) over all words of all texts."""
     make = arrow_rows("id int, n long")
 
     def run(batches):
         total = np.zeros(IDS, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                ids = _ids(text)
+            for ids in _unpacked(b):
                 if len(ids) > IDS // 16:
                     total += np.bincount(ids, minlength=IDS)
                 else:
@@ -84,10 +108,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield make([some, total[some]])
 
-    return docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
 
+def fit_net(docs: DataFrame, **how) -> LanguageNet:
+    """``fit_ids`` on the texts of docs."""
+    return fit_ids(staged(word_ids(docs), "word-ids"), **how)
 
-def fit_net(docs: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.05, seed: int = 5) -> LanguageNet:
+
+def fit_ids(words: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.05, seed: int = 5) -> LanguageNet:
     """Counts of all words, and a network trained on every ``stride``-th word of every document.
 
     In each round every partition trains from the common weights on its own documents; the results are averaged, weighted
@@ -95,7 +124,7 @@ def fit_net(docs: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.0
     corpus; only the weights and one count per id come to the driver.
     """
     counts = np.zeros(IDS)
-    for r in word_counts(docs).collect():
+    for r in word_counts(words).collect():
         counts[r["id"]] = r["n"]
     of_class = counts.reshape(-1, CLASSES).sum(0)
     within = (np.log(counts + 1).reshape(-1, CLASSES) - np.log(of_class + IDS // CLASSES)).ravel()
@@ -111,8 +140,7 @@ def fit_net(docs: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.0
         memory = [np.full(x.shape, 1e-3, np.float32) for x in w]
         xs, ys, held, seen = [], [], 0, 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                ids = _ids(text)
+            for ids in _unpacked(b):
                 if not len(ids):
                     continue
                 at = np.arange(int(ids[0]) % min(stride, len(ids)), len(ids), stride)
@@ -131,7 +159,7 @@ def fit_net(docs: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.0
             yield make([list(range(BLOCKS)), [lot] * BLOCKS, [p.astype("<f8").tobytes() for p in parts]])
 
     for _ in range(rounds):
-        rows = docs.select("text").mapInArrow(lambda batches, w=weights: train(batches, w), schema)
+        rows = words.mapInArrow(lambda batches, w=weights: train(batches, w), schema)
         got = {r["block"]: np.frombuffer(r["sums"], "<f8") for r in summed(summed(rows, "block lot", "sums"), "block", "sums").collect()}
         if not got:
             break
@@ -150,24 +178,38 @@ def _steps(w, xs, ys, memory, rate) -> int:
     return len(y)
 
 
-def log_likelihood(text: str | None, net: LanguageNet) -> tuple[int, float]:
-    """Words of the whole text and the sum of their log-probabilities, each given the words around it."""
-    ids, total = _ids(text), 0.0
-    for s in range(0, len(ids), 8192):
-        at = np.arange(s, min(len(ids), s + 8192))
-        z = _forward(net.weights, _windows(ids, at))[2]
-        total += float(z[np.arange(len(at)), ids[at] % CLASSES].sum(dtype=np.float64) + net.within[ids[at]].sum())
-    return len(ids), total
+def log_likelihood(ids: np.ndarray, net: LanguageNet) -> float:
+    """Sum of the log-probabilities of all words of a text, each given the words around it."""
+    total, (_, _, b1, w2, b2) = 0.0, net.weights
+    for s in range(0, len(ids), SCORED):
+        at = np.arange(s, min(len(ids), s + SCORED))
+        x = _windows(ids, at)
+        h = b1 + net.sides[0].take(x[:, 0], 0)
+        for k in range(1, len(SIDES)):
+            h += net.sides[k].take(x[:, k], 0)
+        z = np.maximum(h, 0, out=h) @ w2
+        if max(z.max(), -z.min()) > 60:
+            z -= z.max(1, keepdims=True)  # cancels below
+        y = ids[at]
+        total += float((z[np.arange(len(at)), y % CLASSES] + b2[y % CLASSES] + net.within[y]).sum(dtype=np.float64))
+        total -= float(np.log(np.exp(z, out=z) @ np.exp(b2)).sum(dtype=np.float64))
+    return total
 
 
 def score_documents(docs: DataFrame, net: LanguageNet) -> DataFrame:
     """doc_id, n_words, log_likelihood and per_word of every row; a text without words has 0, 0 and null."""
+    return score_ids(word_ids(docs), net)
+
+
+def score_ids(words: DataFrame, net: LanguageNet) -> DataFrame:
+    """``score_documents`` of the result of ``word_ids``."""
     schema = "doc_id long, n_words long, log_likelihood double, per_word double"
     make = arrow_rows(schema)
 
     def run(batches):
         for b in batches:
-            got = [log_likelihood(t, net) for t in b.column(1).to_pylist()]
-            yield make([b.column(0), [n for n, _ in got], [s for _, s in got], [s / n if n else None for n, s in got]])
+            texts = _unpacked(b)
+            sums = [log_likelihood(ids, net) for ids in texts]
+            yield make([b.column(0), [len(i) for i in texts], sums, [s / len(i) if len(i) else None for i, s in zip(texts, sums)]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return words.mapInArrow(run, schema)

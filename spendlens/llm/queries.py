@@ -12,8 +12,8 @@ from spendlens.session import shared_scratch, staged
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score_documents(docs, lm_score.fit_net(docs))
+    words = staged(lm_score.word_ids(table(spark, sf_dir, "documents")), "word-ids")
+    return lm_score.score_ids(words, lm_score.fit_ids(words))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

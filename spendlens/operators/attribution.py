@@ -264,10 +264,15 @@ def markov_greedy(edges: DataFrame) -> DataFrame:
 
 
 def channel_masks(pc: DataFrame) -> DataFrame:
-    """Journeys counted per client and set of channels (a bit mask over the client's sorted channels)."""
+    """Journeys counted per client and set of channels (a bit mask over the client's sorted channels).
+
+    A mask is one long: more channels than its 62 bits are an error, as their coalitions could not be listed.
+    """
     order = Window.partitionBy("client_id").orderBy("channel")
     bits = pc.select("client_id", "channel").distinct().withColumn("bit", F.row_number().over(order) - 1)
     sized = with_totals(bits, ["client_id"], n_channels=F.count(F.lit(1)))
+    fits = F.when(F.col("n_channels") <= 62, F.col("n_channels")).otherwise(F.raise_error(F.lit("more than 62 channels")).cast("bigint"))
+    sized = sized.withColumn("n_channels", fits)
     coded = join_back(pc.select(*PATH, "channel", "converted"), sized, ["client_id", "channel"])
     path_mask = coded.groupBy(*PATH).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"),
                                          F.max("converted").alias("converted"), F.max("n_channels").alias("n_channels"))
@@ -275,20 +280,32 @@ def channel_masks(pc: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("journeys"), F.count_if("converted").alias("conversions"))
 
 
-def coalition_values(masks: DataFrame, max_channels: int = 16) -> DataFrame:
+def coalition_values(masks: DataFrame, step: int = 4) -> DataFrame:
     """v(S) = converted / all journeys that touch S, for every coalition of a client's channels.
 
-    Works on the counted masks, never on journeys.  2^n coalitions are inherent to this game:
-    beyond max_channels the job stops instead of dropping channels.
+    A journey misses S if its mask lies inside the complement of S.  Sums over all subsets of a mask
+    build up ``step`` channels a round: a row adds itself to the masks that hold it within those channels
+    and equal it elsewhere.  A client's rows never exceed its 2^n coalitions times 2^step, and they spread over
+    all tasks by mask.
     """
-    guarded = masks.withColumn("n_channels", F.when(F.col("n_channels") <= max_channels, F.col("n_channels"))
-                               .otherwise(F.raise_error(F.lit("too many channels for an exact coalition game")).cast("bigint")))
-    sets = F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("shiftleft(1L, cast(n_channels as int)) - 1")))
-    touched = guarded.select("client_id", "n_channels", "mask", "journeys", "conversions", sets.alias("s"))
-    touched = touched.where(F.col("mask").bitwiseAND(F.col("s")) != 0)
-    return touched.groupBy("client_id", "n_channels", "s").agg(
-        F.sum("conversions").alias("conversions"), F.sum("journeys").alias("journeys"),
-    ).withColumn("v", F.col("conversions") / F.col("journeys"))
+    counted = staged(masks, "channel-masks")
+    widest = counted.agg(F.max("n_channels")).first()[0] or 0
+    sums = ("journeys", "conversions")
+    totals = counted.groupBy("client_id", "n_channels").agg(*[F.sum(c).alias(c) for c in sums])
+    empty = totals.select("client_id", "n_channels", *[F.lit(0).cast("bigint").alias(c) for c in ("mask", *sums)])
+    inside = counted.select(*empty.columns).unionByName(empty)
+    for first in range(0, widest, step):
+        room = F.expr(f"shiftleft(1L, greatest(least(cast(n_channels as int) - {first}, {step}), 0)) - 1")
+        own = F.shiftright("mask", first).bitwiseAND(F.lit((1 << step) - 1).cast("bigint"))
+        wider = F.filter(F.sequence(own, room), lambda u: u.bitwiseAND(own) == own)
+        grown = inside.withColumn("own", own).withColumn("wider", F.explode(wider))
+        inside = grown.groupBy("client_id", "n_channels", (F.col("mask") + F.shiftleft(F.col("wider") - F.col("own"), first)).alias("mask")).agg(
+            *[F.sum(c).alias(c) for c in sums])
+    everything = totals.select("client_id", *[F.col(c).alias(f"all_{c}") for c in sums])
+    touched = join_back(inside, everything, ["client_id"]).select(
+        "client_id", "n_channels", F.expr("shiftleft(1L, cast(n_channels as int)) - 1 - mask").alias("s"),
+        *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in reversed(sums)])
+    return touched.where("journeys > 0").withColumn("v", F.col("conversions") / F.col("journeys"))
 
 
 def shapley_rate(pc: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -296,19 +313,19 @@ def shapley_rate(pc: DataFrame, values: DataFrame | None = None) -> DataFrame:
 
     ``values`` takes a caller's own coalition table (client_id, n_channels, s, v).
     φ_c = Σ_S w(|S|)·(v(S∪c) − v(S)): each coalition adds to its members and subtracts from the
-    others, so one explode over bits replaces the self-join of coalitions.
+    others, so one explode over bits replaces the self-join of coalitions.  Values are summed by size
+    first; the weight 1 / (n · C(n−1, |S|)) is a running product of doubles.
     """
     v = coalition_values(channel_masks(pc)) if values is None else values
-    per_bit = v.select("client_id", "n_channels", "s", "v",
+    per_bit = v.select("client_id", F.col("n_channels").cast("int").alias("n"), "s", "v",
                        F.explode(F.sequence(F.lit(0), F.col("n_channels").cast("int") - 1)).alias("bit"))
-    inside = F.expr("s & shiftleft(1L, bit)") != 0
-    size = F.bit_count("s").cast("int")
-    n = F.col("n_channels").cast("int")
-    others = F.when(inside, size - 1).otherwise(size)
-    weight = F.factorial(others) * F.factorial(F.greatest(n - others - 1, F.lit(0))) / F.factorial(n)
-    counts = inside | (size < n)
-    phi = per_bit.groupBy("client_id", "bit").agg(
-        F.sum(F.when(counts, F.when(inside, F.col("v")).otherwise(-F.col("v")) * weight).otherwise(0.0)).alias("phi"))
+    within = F.expr("s & shiftleft(1L, bit)") != 0
+    others = F.bit_count("s").cast("int") - within.cast("int")
+    by_size = per_bit.groupBy("client_id", "n", "bit", others.alias("others")).agg(
+        F.sum(F.when(within, F.col("v")).otherwise(-F.col("v"))).alias("gain"))
+    choices = F.when(F.col("others") == 0, F.lit(1.0)).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("others")), F.lit(1.0), lambda acc, i: acc * (F.col("n") - i) / i))
+    phi = by_size.groupBy("client_id", "bit").agg(F.sum(F.col("gain") / (F.col("n") * choices)).alias("phi"))
     order = Window.partitionBy("client_id").orderBy("channel")
     bits = pc.select("client_id", "channel").distinct().withColumn("bit", F.row_number().over(order) - 1)
     total = F.sum("phi").over(Window.partitionBy("client_id"))

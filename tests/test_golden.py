@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,9 +53,27 @@ def test_attribution_invariants(journeys):
         assert df.agg(F.sum(name)).first()[0] == pytest.approx(1.0), name
 
 
-def test_coalition_guard_stops(journeys):
-    with pytest.raises(Exception, match="too many channels"):
-        attribution.coalition_values(attribution.channel_masks(attribution.path_channels(journeys)), max_channels=2).collect()
+def _counted(spark, n, rows):
+    return spark.createDataFrame([(1, n, *r) for r in rows], "client_id long, n_channels long, mask long, journeys long, conversions long")
+
+
+def test_coalitions_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(m, j, rng.randint(0, j)) for m in [*range(1, 60, 3), *(1 << k for k in range(8))] if (j := rng.randint(1, 9))]
+    rows = list({r[0]: r for r in rows}.values())
+    got = {r["s"]: (r["journeys"], r["conversions"]) for r in attribution.coalition_values(_counted(spark, 8, rows)).collect()}
+    want = {s: (sum(j for m, j, _ in rows if m & s), sum(c for m, _, c in rows if m & s)) for s in range(1, 256)}
+    assert got == want
+
+
+def test_twenty_channels_share_by_rate(spark):
+    """Channels that always occur alone, all at one rate, earn the same; the rate of a silent one is smaller."""
+    n = 20
+    masks = _counted(spark, n, [(1 << k, 10, 0 if k == 7 else 5) for k in range(n)])
+    pc = spark.createDataFrame([(1, k, f"c{k:02}") for k in range(n)], "client_id long, path_id long, channel string")
+    got = {r["channel"]: r["shapley_rate"] for r in attribution.shapley_rate(pc, attribution.coalition_values(masks)).collect()}
+    assert sum(got.values()) == pytest.approx(1.0)
+    assert len({round(v, 9) for c, v in got.items() if c != "c07"}) == 1 and got["c07"] < got["c00"]
 
 
 CLIENTS = [

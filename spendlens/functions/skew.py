@@ -136,28 +136,40 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, s
     return cut.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
 
 
-def rank_by_value(df: DataFrame, keys: list[str], value: str, bin_width: float) -> DataFrame:
+def value_bins(df: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
+    """Adds __bin, which does not decrease along value (nulls first) and holds about equal shares of a key's rows.
+
+    Edges are approximate percentiles, so a narrow span of crowded values is cut as finely as a wide
+    one.  Only rows with equal values cannot be told apart: count those first.
+    """
+    at = F.percentile_approx(value, [k / bins for k in range(1, bins)], 10000)
+    if keys:
+        edged = join_back(df, df.groupBy(*keys).agg(at.alias("__edges")), keys)
+    else:
+        edged = df.withColumn("__edges", df.agg(at).scalar())
+    below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
+    return edged.withColumn("__bin", F.coalesce(below, F.lit(0))).drop("__edges")
+
+
+def rank_by_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows with ``less`` (rows of the key with a smaller value) and ``group_rows``.
 
     Equal values are counted before ranking, so neither a hot key nor a hot value gathers.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = ordered_scan(counts, keys, [value], F.floor(F.col(value) / F.lit(bin_width)),
-                          before={"less": F.col("__c")})
+    ranked = ordered_scan(value_bins(counts, keys, value), keys, [value], F.col("__bin"), before={"less": F.col("__c")}).drop("__bin")
     ranked = with_totals(ranked, keys, group_rows=F.sum("__c"))
     return join_back(df, ranked.drop("__c"), [*keys, value])
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
-                      bin_width: float) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Linearly interpolated percentiles per key, exact, without holding a key in memory.
 
     Values are counted, ranked across value bins, and only the two order statistics around
     each requested point survive to the final aggregate.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = ordered_scan(counts, keys, [value], F.floor(F.col(value) / F.lit(bin_width)),
-                          before={"__less": F.col("__c")})
+    ranked = ordered_scan(value_bins(counts, keys, value), keys, [value], F.col("__bin"), before={"__less": F.col("__c")})
     ranked = with_totals(ranked, keys, __total=F.sum("__c"))
 
     def order_stat(position: Column) -> Column:

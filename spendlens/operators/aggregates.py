@@ -57,7 +57,7 @@ def benchmarks(metrics: DataFrame, as_of: str, days: int = 90, exact: bool = Tru
             F.percentile_approx("ctr", 0.5, 10000).alias("median_ctr"), F.percentile_approx("ctr", 0.9, 10000).alias("top10_ctr")]))
     if not exact:
         return base
-    cuts = exact_percentiles(rows, keys, "ctr", {"median_ctr": 0.5, "top10_ctr": 0.9}, bin_width=0.0001)
+    cuts = exact_percentiles(rows, keys, "ctr", {"median_ctr": 0.5, "top10_ctr": 0.9})
     return join_back(base, cuts, keys)
 
 

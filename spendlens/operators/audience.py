@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.expr import epoch_us, first_of, lookup
-from spendlens.functions.skew import one_row, ordered_scan
+from spendlens.functions.skew import join_back, one_row, ordered_scan, value_bins
 from spendlens.operators.timeseries import mark_sessions
+from spendlens.session import staged
 
 c = F.col
 
@@ -203,18 +204,26 @@ def _seed_distance(seed: DataFrame, features: list[str], weight) -> tuple[Column
     return reduce(lambda a, b: a + b, [weight(c(f) - c("__s")[f"m_{f}"], c("__s")[f"v_{f}"]) for f in features]), stats
 
 
-def _most_similar(scored: DataFrame, n: int) -> DataFrame:
-    """The n rows of greatest similarity; n grows with the seed, so ranks come from a bucketed
-    scan instead of a top-n that would meet in one task."""
-    placed = scored.withColumn("__far", -c("similarity"))
-    ranked = ordered_scan(placed, [], ["__far", "user_id"], F.floor(c("__far") * 100000), row_number="__rank")
-    return ranked.where(c("__rank") <= n).drop("__far", "__rank")
+def _most_similar(scored: DataFrame, n: Column) -> DataFrame:
+    """The n rows of greatest similarity, ties by user_id.
+
+    Rows are counted per similarity and the counts scanned for the cut.  All rows above it stay; only the
+    users who tie at the cut are ranked, in bins of their ids.
+    """
+    rows = staged(scored, "similarity")
+    counts = rows.groupBy("similarity").agg(F.count(F.lit(1)).alias("__c")).withColumn("__far", -c("similarity"))
+    ranked = ordered_scan(value_bins(counts, [], "__far"), [], ["__far"], c("__bin"), before={"__ahead": c("__c")})
+    cut = ranked.withColumn("__room", n - c("__ahead")).where(c("__room") > 0).select("similarity", "__c", "__room")
+    met = join_back(rows, cut, ["similarity"])
+    tied = value_bins(met.where(c("__c") > c("__room")), [], "user_id")
+    first = ordered_scan(tied, [], ["user_id"], c("__bin"), row_number="__rank").where(c("__rank") <= c("__room"))
+    return met.where(c("__c") <= c("__room")).select(*rows.columns).unionByName(first.select(*rows.columns))
 
 
 def lookalike_topn(seed: DataFrame, pool: DataFrame, expansion: float = 5.0, features: list[str] | None = None) -> DataFrame:
     """The ⌊seed size · expansion⌋ pool users nearest the seed in standard deviations."""
     d2, stats = _seed_distance(seed, features or FEATURES, lambda d, v: F.pow(d / (F.sqrt(v) + 0.001), F.lit(2.0)))
-    wanted = int(seed.count() * expansion)
+    wanted = F.floor(seed.agg(F.count(F.lit(1))).scalar() * expansion)
     scored = pool.withColumn("__s", stats).select("user_id", (1 / (1 + F.sqrt(d2))).alias("similarity"))
     return _most_similar(scored, wanted)
 
@@ -223,7 +232,7 @@ def lookalike_threshold(seed: DataFrame, pool: DataFrame, size: int = 1000, expa
     """At most ``size`` users with similarity of at least .8 / expansion."""
     d2, stats = _seed_distance(seed, features or FEATURES, lambda d, v: d * d / (v + 1e-10))
     scored = pool.withColumn("__s", stats).select("user_id", (1 / (1 + F.sqrt(d2))).alias("similarity"))
-    return _most_similar(scored.where(c("similarity") >= 0.8 / expansion), size)
+    return _most_similar(scored.where(c("similarity") >= 0.8 / expansion), F.lit(size))
 
 
 def lookalike_report(seed: DataFrame, lookalikes: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def slope(df: DataFrame, keys: list[str], at: Column, value: str, name: str) ->
     return df.groupBy(*keys).agg(F.coalesce(F.regr_slope(F.col(value), at.cast("double")), F.lit(0.0)).alias(name))
 
 
-def percentile_in_group(df: DataFrame, group: str, value: str, bin_width: float, name: str) -> DataFrame:
+def percentile_in_group(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """percent_rank within the group: rows below over rows minus one."""
-    r = rank_by_value(df, [group], value, bin_width)
+    r = rank_by_value(df, [group], value)
     share = F.when(F.col("group_rows") > 1, F.col("less") / (F.col("group_rows") - 1)).otherwise(0.0)
     return r.withColumn(name, share).drop("less", "group_rows")
 

@@ -458,7 +458,7 @@ select campaign_id, day, industry, percent_rank() over (partition by industry or
 from ({WITH_IND})""", r="ctr_percentile", digits=6)
 def _(t):
     rows = kpis(metrics_with_industry(t)).select("campaign_id", "day", "industry", "ctr")
-    return W.percentile_in_group(rows, "industry", "ctr", 0.0001, "ctr_percentile").drop("ctr")
+    return W.percentile_in_group(rows, "industry", "ctr", "ctr_percentile").drop("ctr")
 
 
 @query("w06_payment_delay_trend", "snapshots", """

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spendlens.functions import skew, spatial
-from spendlens.operators import alerts, attribution, quality
+from spendlens.operators import alerts, attribution, audience, quality
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +44,23 @@ def test_with_totals_keeps_null_keys(hot):
     same(got, hot.withColumn("t", F.sum("v").over(Window.partitionBy("k"))))
 
 
+def test_bins_follow_the_values(spark):
+    """10^5 distinct values within 1e-6, and nulls: no bin holds more than a few times its share, order is kept."""
+    df = spark.range(100_000).select(F.when(F.col("id") % 1000 > 0, F.col("id") * 1e-11).alias("v"))
+    bins = skew.value_bins(df, [], "v").groupBy("__bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("__bin").collect()
+    assert max(b["n"] for b in bins) < 4 * 100_000 / 256
+    assert all(a["high"] < b["low"] for a, b in zip(bins, bins[1:]))
+
+
+def test_most_similar_settles_the_tie(spark):
+    """Nine users in ten share one similarity; the cut falls among them."""
+    df = spark.range(1000).select(F.col("id").alias("user_id"), F.when(F.col("id") % 10 == 0, 0.9).otherwise(0.5).alias("similarity"))
+    got = sorted(r["user_id"] for r in audience._most_similar(df, F.lit(150)).collect())
+    assert got == sorted([i for i in range(1000) if i % 10 == 0] + [i for i in range(1000) if i % 10][:50])
+
+
 def test_exact_percentiles(hot):
-    got = {r["k"]: (r["m"], r["t"]) for r in skew.exact_percentiles(hot, ["k"], "v", {"m": 0.5, "t": 0.9}, 3.0).collect()}
+    got = {r["k"]: (r["m"], r["t"]) for r in skew.exact_percentiles(hot, ["k"], "v", {"m": 0.5, "t": 0.9}).collect()}
     pdf = hot.toPandas()
     for k, g in pdf.groupby("k", dropna=False):
         key = None if math.isnan(k) else int(k)

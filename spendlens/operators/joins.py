@@ -57,17 +57,17 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_
     v_type = r.schema["__v"].dataType
     lo = left.select(F.col(key).alias("__key"), F.col(left_at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(v_type).alias("__v"), rows.alias("__row"))
     line = r.withColumn("__row", F.lit(None).cast(lo.schema["__row"].dataType)).unionByName(lo)
-    month = F.date_trunc("month", F.col("__t").cast("timestamp"))
-    # within a month: last value so far; across months: the last value of any earlier month
-    inside = Window.partitionBy("__key", "__m").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("__m", month)
+    hour = F.date_trunc("hour", F.col("__t").cast("timestamp"))
+    # within an hour: last value so far; across hours: the last value of any earlier hour
+    inside = Window.partitionBy("__key", "__h").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("__h", hour)
     local = line.withColumn("__v", F.last("__v", ignorenulls=True).over(inside)).where(side == 1)
-    ends = line.where(side == 0).groupBy("__key", "__m").agg(F.max_by("__v", "__t").alias("__end"))
-    months = line.select("__key", "__m").distinct().join(ends, ["__key", "__m"], "left")
-    across = Window.partitionBy("__key").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.select("__key", "__m", F.last("__end", ignorenulls=True).over(across).alias("__before"))
+    ends = line.where(side == 0).groupBy("__key", "__h").agg(F.max_by("__v", "__t").alias("__end"))
+    hours = line.select("__key", "__h").distinct().join(ends, ["__key", "__h"], "left")
+    across = Window.partitionBy("__key").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("__key", "__h", F.last("__end", ignorenulls=True).over(across).alias("__before"))
     got = F.coalesce("__v", "__before")
-    return join_back(local, months, ["__key", "__m"]).select("__row.*", *[got[v].alias(v) for v in values], got["__at"].alias(f"{right_at}_used"))
+    return join_back(local, hours, ["__key", "__h"]).select("__row.*", *[got[v].alias(v) for v in values], got["__at"].alias(f"{right_at}_used"))
 
 
 def outcomes_with_variant(outcomes: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -273,8 +273,7 @@ ACTIVITY = """select user_id, sum(cost) as spend, sum(case when is_conversion th
 
 
 def activity(t):
-    kind = t.raw("events").select("event_id", "event_type")
-    return t.touchpoints.join(kind, "event_id").select(
+    return t.touch_events.select(
         "user_id", F.col("cost").alias("spend"), F.when(F.col("is_conversion"), F.col("value")).otherwise(0.0).alias("revenue"),
         (F.col("event_type") == "click").cast("bigint").alias("clicks"), F.lit(1).cast("bigint").alias("impressions"), F.col("is_conversion").cast("bigint").alias("conversions"))
 
@@ -418,9 +417,8 @@ with r as (select channel, json_extract_string(props, '$.k')::int % 3 as age, co
 select *, {KPI} from (select 'channel' as dimension, channel as value, {SUMS} from r group by 2 union all select 'age', age::varchar, {SUMS} from r group by 2)""",
        r=f"spend revenue {KPI_COLS}", digits=3)
 def _(t):
-    props = t.raw("events").select("event_id", "props")
     one = F.lit(1).cast("bigint")
-    rows = t.touchpoints.join(props, "event_id").select(
+    rows = t.touch_events.select(
         "channel", "props", F.col("cost").alias("spend"), F.when(F.col("is_conversion"), F.col("value")).otherwise(0.0).alias("revenue"),
         one.alias("clicks"), one.alias("impressions"), F.col("is_conversion").cast("bigint").alias("conversions"))
     return A.breakdown(rows, {"channel": F.col("channel"), "age": F.get_json_object("props", "$.k").cast("int") % 3})

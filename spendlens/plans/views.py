@@ -43,13 +43,18 @@ class Tables:
 
     @cached_property
     def touchpoints(self) -> DataFrame:
+        return self.touch_events.drop("event_type", "props")
+
+    @cached_property
+    def touch_events(self) -> DataFrame:
+        """Touchpoints with the type and properties of their events, so that no query joins events for them."""
         k = F.get_json_object("props", "$.k").cast("int")
         e = self.raw("events").withColumn("channel", pick(CHANNELS, k % 5))
         return e.select(
             (F.col("user_id") % 5).alias("client_id"), "user_id", "event_id", "ts", "channel",
             (F.col("event_id") % 20).alias("campaign_id"),
             F.when(F.col("channel").isin("email", "organic"), 0.0).otherwise(F.floor(F.col("value") * 10) / 100).alias("cost"),
-            (F.col("event_type") == "purchase").alias("is_conversion"), "value")
+            (F.col("event_type") == "purchase").alias("is_conversion"), "value", "event_type", "props")
 
     @cached_property
     def journeys(self) -> DataFrame:

@@ -49,31 +49,35 @@ def _windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + 2 + s] for s in SIDES], 1)
 
 
-def _forward(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e = w[0][x].reshape(len(x), -1)
-    h = np.maximum(e @ w[1] + w[2], 0)
-    z = h @ w[3] + w[4]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return e, h, z
+def _targets(ids: np.ndarray, stride: int, turn: int) -> np.ndarray:
+    """The places of a text that are predicted in a round; ``stride`` rounds in a row take in every place."""
+    return np.arange((int(ids[0]) + turn) % stride, len(ids), stride)
 
 
 def _train(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
     """One step of adaptive gradient descent, in place."""
-    e, h, z = _forward(w, x)
-    g = np.exp(z)
-    g[np.arange(len(y)), y] -= 1
-    g /= len(y)
+    n = len(y)
+    e = w[0].take(x.ravel(), 0).reshape(n, -1)
+    h = np.maximum(e @ w[1] + w[2], 0)
+    g = h @ w[3]
+    g += w[4]
+    g -= g.max(1, keepdims=True)
+    np.exp(g, out=g)
+    g /= g.sum(1, keepdims=True)
+    g[np.arange(n), y] -= 1
+    g /= n
     gh = (g @ w[3].T) * (h > 0)
     ge = (gh @ w[1].T).reshape(-1, DIM)
-    order = np.argsort(x.ravel(), kind="stable")
-    ranked = x.ravel()[order]
-    starts = np.flatnonzero(np.diff(ranked, prepend=-1))
-    rows, gw0 = ranked[starts], np.add.reduceat(ge[order], starts)
-    memory[0][rows] += gw0 ** 2
-    w[0][rows] -= rate * gw0 / (np.sqrt(memory[0][rows]) + 1e-4)
+    flat = x.ravel().astype(np.uint16)  # short keys sort faster
+    order = np.argsort(flat, kind="stable")
+    ranked = flat.take(order)
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    rows, gw0 = ranked.take(starts), np.add.reduceat(ge.take(order, 0), starts)
+    m = memory[0].take(rows, 0) + gw0 * gw0
+    memory[0][rows] = m
+    w[0][rows] -= rate * gw0 / (np.sqrt(m) + 1e-4)
     for i, grad in ((1, e.T @ gh), (2, gh.sum(0)), (3, h.T @ g), (4, g.sum(0))):
-        memory[i] += grad ** 2
+        memory[i] += grad * grad
         w[i] -= rate * grad / (np.sqrt(memory[i]) + 1e-4)
 
 
@@ -116,8 +120,10 @@ def fit_net(docs: DataFrame, **how) -> LanguageNet:
     return fit_ids(staged(word_ids(docs), "word-ids"), **how)
 
 
-def fit_ids(words: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.05, seed: int = 5) -> LanguageNet:
-    """Counts of all words, and a network trained on every ``stride``-th word of every document.
+def fit_ids(words: DataFrame, stride: int = 1, rounds: int = 2, rate: float = 0.05, seed: int = 5) -> LanguageNet:
+    """Counts of all words, and a network trained in every round on every word of every document.
+
+    A larger ``stride`` trains on every ``stride``-th word a round, from a start that moves on with the rounds.
 
     In each round every partition trains from the common weights on its own documents; the results are averaged, weighted
     by words seen, in two steps so that no task adds up more than a share of them.  The fit grows with the
@@ -135,7 +141,7 @@ def fit_ids(words: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.
     make = arrow_rows(schema)
     size = sum(w.size for w in weights) + 1
 
-    def train(batches, weights):
+    def train(batches, weights, turn):
         w = [x.copy() for x in weights]
         memory = [np.full(x.shape, 1e-3, np.float32) for x in w]
         xs, ys, held, seen = [], [], 0, 0
@@ -143,7 +149,7 @@ def fit_ids(words: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.
             for ids in _unpacked(b):
                 if not len(ids):
                     continue
-                at = np.arange(int(ids[0]) % min(stride, len(ids)), len(ids), stride)
+                at = _targets(ids, stride, turn)
                 xs.append(_windows(ids, at))
                 ys.append(ids[at] % CLASSES)
                 held += len(at)
@@ -158,8 +164,8 @@ def fit_ids(words: DataFrame, stride: int = 8, rounds: int = 2, rate: float = 0.
             lot = TaskContext.get().partitionId() % LOTS
             yield make([list(range(BLOCKS)), [lot] * BLOCKS, [p.astype("<f8").tobytes() for p in parts]])
 
-    for _ in range(rounds):
-        rows = words.mapInArrow(lambda batches, w=weights: train(batches, w), schema)
+    for turn in range(rounds):
+        rows = words.mapInArrow(lambda batches, w=weights, turn=turn: train(batches, w, turn), schema)
         got = {r["block"]: np.frombuffer(r["sums"], "<f8") for r in summed(summed(rows, "block lot", "sums"), "block", "sums").collect()}
         if not got:
             break

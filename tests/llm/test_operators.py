@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on odd rows: nulls, empty, long, repeated, clashing columns, no rows."""
 
 import hashlib
+import inspect
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -380,6 +381,27 @@ def test_lm_learns_from_both_sides(spark):
     assert held > -2.4  # the counts alone give log(1/24) = -3.2
 
 
+def test_lm_trains_on_every_word(spark):
+    """With the query's own parameters every place is a target: what only the places off every old stride teach is learned."""
+    how = {k: v.default for k, v in inspect.signature(lm_score.fit_ids).parameters.items() if k in ("stride", "rounds")}
+    for n in (1, 5, 8, 100):
+        ids = np.arange(3, 3 + n)
+        assert set(np.concatenate([lm_score._targets(ids, how["stride"], turn) for turn in range(how["rounds"])]).tolist()) == set(range(n))
+    # eight words a line; place 0, the only one the first word's id picked at a stride of eight, never holds the pairs
+    head = next(f"head{i}" for i in range(100) if lm_score._ids(f"head{i}")[0] % 8 == 0)
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(600):
+        words = []
+        for _ in range(20):
+            a, b = rng.integers(8, size=2)
+            words += [head, f"left{a}", f"mid{a}", f"right{a}", "so", f"near{b}", f"core{b}", f"far{b}"]
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    held = lm_score.score_documents(df.where("doc_id >= 500"), lm_score.fit_net(df.where("doc_id < 500"))).agg(F.avg("per_word")).first()[0]
+    assert held > -1
+
+
 def test_words_and_shingles():
     text = "A b\tC\nd e  Fé　g"
     assert len(jaccard_join.word_hashes(text)) == 6

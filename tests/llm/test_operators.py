@@ -117,6 +117,17 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(at[2 * i] == at[2 * i + 1] for i in range(400)) > 380
 
 
+def test_sharding_keeps_large_groups_together(spark):
+    """Groups of 3,000 copies, three chunks and more each, in shards of 20,000 rows stay whole but for those at a cut."""
+    copies = spark.range(12 * 3000).select("id", F.concat(F.lit("copy "), (F.col("id") % 12).cast("string")).alias("text"))
+    loose = spark.range(100_000, 224_000).select("id", F.concat(F.lit("loose "), F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_documents(copies.unionByName(loose).withColumnRenamed("id", "doc_id"), 8)
+    sizes = [r["n"] for r in got.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sizes == [20_000] * 8
+    spread = got.where("doc_id < 36000").groupBy((F.col("doc_id") % 12).alias("g")).agg(F.countDistinct("shard").alias("n")).collect()
+    assert len(spread) == 12 and all(r["n"] == 1 for r in spread), spread
+
+
 def brute_components(rows, percent=80):
     sets = []
     for _, t in rows:

@@ -19,7 +19,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "random"]
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 12  # characters of a token that is scored
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 
@@ -101,13 +102,13 @@ def fit_markov(docs: DataFrame, random_rows: int = 400_000, ordinary_rows: int =
 def scan(docs: DataFrame, model: DataFrame, least: float = 10.0) -> DataFrame:
     """docs with base and spans, arrays of (s, e, k): the fixed patterns' spans, and all spans.
 
-    The models add tokens of 20 characters or more that hold a digit, whose ratios sum to ``least`` or more and
+    The models add tokens of ``LEAST`` characters or more whose ratios sum to ``least`` or more and
     that touch no base span; their kind is random.  A null text counts as empty and has none.
     Columns of these names in docs are replaced.
     """
     docs = docs.drop("base", "spans", "__tokens", "__ratio")
     text = _text()
-    found = docs.withColumns({"base": base_spans(text), "__tokens": _spans(text, TOKEN, 3, F.lit(True), 0, 20)})
+    found = docs.withColumns({"base": base_spans(text), "__tokens": _spans(text, TOKEN, 3, F.lit(True), 0, LEAST)})
     # not merged into what follows: each span list is computed once
     found = found.select(*docs.columns, F.inline(F.array(F.struct("base", "__tokens")))).withColumn("__ratio", F.when(F.size("__tokens") > 0, one_row(model)["ratio"]))
 
@@ -123,7 +124,7 @@ def scan(docs: DataFrame, model: DataFrame, least: float = 10.0) -> DataFrame:
     def odd(t: Column) -> Column:
         w = text.substr(t["s"] + 1, t["e"] - t["s"])
         free = ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-        return free & F.when(w.rlike("[0-9]"), total(w) >= least).otherwise(False)
+        return free & (total(w) >= least)
 
     spans = F.array_sort(F.concat("base", F.filter("__tokens", odd)), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))
     return found.select(*docs.columns, "base", F.when(F.size("__tokens") > 0, spans).otherwise(F.col("base")).alias("spans"))

@@ -252,6 +252,19 @@ def test_secrets(spark, docs, none):
     assert secret_scan.fit_markov(none, known=strings).count() == 1
 
 
+def test_secrets_short_or_of_letters(spark):
+    """Random strings of 12 to 19 characters and of letters alone are scored; ordinary words of that length stay."""
+    rng = np.random.default_rng(8)
+    letters, every = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    secrets = ["".join(rng.choice(a, n)) for a, n in ((every, 12), (every, 16), (every, 19), (letters, 16), (letters, 24)) for _ in range(40)]
+    plain = ["understanding", "responsibilities", "internationalization", "well-established", "representatives"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = spark.createDataFrame([(i, f"the key {w} end") for i, w in enumerate(secrets + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secret_scan.scan(texts, secret_scan.fit_markov(docs)).select("doc_id", secret_scan.written("spans").alias("s")).collect()}
+    assert sum(got[i] == f"random:8:{8 + len(w)}" for i, w in enumerate(secrets)) >= 0.98 * len(secrets)
+    assert all(got[len(secrets) + i] == "" for i in range(len(plain)))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_tokenizer(rows, name):
     path = public_tokenizers.path(name)

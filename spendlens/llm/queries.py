@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, exact_search, jaccard_join, language, lm_score, packing, quality, secret_scan, sharding, token_store
+from spendlens.llm import (decontaminate, exact_search, jaccard_join, language, lm_score, packing, quality, resample, secret_scan, sharding, spelling,
+                           token_store)
 from spendlens.llm.common import remainder, table
 from spendlens.session import shared_scratch, staged
 
@@ -68,6 +69,14 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_products(rows.select("vec_id", whole.alias("v")), "vec_id % 100 = 0", k=10)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, seed=7)
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -79,7 +88,16 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_exact_search": op10_exact_search,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_target_resample": op12_target_resample,
 }
+# CRC-32 in SQL: its table by rule, and a fold over the bytes of a text's hexadecimal form
+CRC_TABLE = """poly as (select b, b::uinteger as v, 0 as i from range(256) x(b)
+    union all select b, case when v & 1 = 1 then xor(v >> 1, 3988292384::uinteger) else v >> 1 end, i + 1 from poly where i < 8),
+tab as materialized (select list(v order by b) as t from poly where i = 8)"""
+CRC = """xor(list_reduce(list_prepend(4294967295::uinteger, list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::bigint, 2))::uinteger)),
+        lambda s, b: xor(s >> 8, tab.t[xor(s & 255, b) + 1])), 4294967295::uinteger)"""
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op10_exact_search": """
 with v as (
@@ -90,5 +108,48 @@ with v as (
     from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
+""",
+    "op11_spelling_variants": f"""
+with recursive {CRC_TABLE},
+runs as (select doc_id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as run from documents)
+    where length(run) >= 5 group by all),
+hashed as (select run, c, {CRC} as h from (select *, hex(encode(doc_id::varchar || ':' || run)) as hx from runs), tab),
+words as materialized (
+    select word, sum(c)::bigint as n from (
+        select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run) + 2)::bigint) else run end as word, c from hashed)
+    where length(word) >= 5 group by word having sum(c) >= 3),
+holes as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select *, unnest(range(0, length(word))) as i from words)),
+near as materialized (
+    select a.word, b.word as other, b.n as m from holes a join holes b on a.i = b.i and a.rest = b.rest and length(a.word) = length(b.word) and a.word <> b.word
+    union select h.word, w.word, w.n from holes h join words w on h.rest = w.word
+    union select w.word, h.word, h.n from holes h join words w on h.rest = w.word),
+best as (select word, count(*) as n_near, max(m) as m, arg_min(other, (-m, other)) as other from near group by word),
+formed as materialized (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when b.m >= 2 * w.n then b.other end as form, case when b.m >= 2 * w.n then b.m end as form_n
+    from words w left join best b using (word)),
+chain as (select word, form as at from formed where form is not null
+    union all select chain.word, f.form from chain join formed f on chain.at = f.word where f.form is not null),
+ends as (select chain.word, chain.at as root from chain join formed f on chain.at = f.word where f.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from formed left join ends using (word)
+""",
+    "op12_target_resample": f"""
+with recursive {CRC_TABLE},
+texts as (select 'd' as side, doc_id, {LOWER} as t from documents union all select 'b', item_id, {LOWER} from benchmark),
+split as (select side, doc_id, coalesce(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from texts),
+features as (
+    select side, doc_id, unnest(w || list_transform(range(1, length(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from split),
+counted as materialized (select side, doc_id, f, count(*) as c from features group by all),
+bucket as materialized (select f, {CRC} % 10000 as b from (select distinct f, hex(encode(f)) as hx from counted), tab),
+total as (select b, sum(c) filter (side = 'd') as s, sum(c) filter (side = 'b') as t from counted join bucket using (f) group by b),
+gain as materialized (select b, floor(1000 * ln((coalesce(total.t, 0) + 1)::double * (a.s + 10000)::double / ((coalesce(total.s, 0) + 1)::double * (a.t + 10000)::double)))::bigint as g
+    from total, (select coalesce(sum(c) filter (side = 'd'), 0) as s, coalesce(sum(c) filter (side = 'b'), 0) as t from counted) a),
+weights as (select doc_id, sum(c)::bigint as n_features, floor(sum(c * g)::double / sum(c))::bigint as weight
+    from counted join bucket using (f) join gain using (b) where side = 'd' group by doc_id),
+scored as (
+    select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::ubigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from (select doc_id from documents) left join weights using (doc_id)),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as p, count(*) over () as n from scored where n_features >= 39)
+select doc_id, n_features, weight, score, case when p <= 25 * n // 100 then p end as rank from scored left join placed using (doc_id)
 """,
 }

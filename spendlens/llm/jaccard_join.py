@@ -9,73 +9,18 @@ Trees are built where similar documents can meet: sets share a block when some b
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.spatial import connected_components
-from spendlens.llm.common import arrow_rows
-from spendlens.session import staged
+from spendlens.llm.similar_sets import RUNS, Groups, linked_rows, mix, seeds, shingles  # noqa: F401
 
 BANDS, BAND_ROWS = 32, 3  # a pair at 0.8 shares no band once in 10^10
-QUICK_BANDS = 4
 FANOUT = 8
-CHUNK = 1 << 22
 U = np.uint64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def _seeds(start: int, n: int) -> np.ndarray:
-    return _mix(np.arange(start, start + n, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-
-
-BYTES, PLACES, RUNS, SALTS = _seeds(1, 256), U(0x9E3779B97F4A7C15), _seeds(1000, 8), _seeds(2000, BANDS * BAND_ROWS)
-SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words, A-Z lowered, split at ASCII white space; a chunk at a time."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    out, start = [], 0
-    while start < len(raw):
-        end = min(len(raw), start + CHUNK)
-        if end < len(raw):
-            gaps = np.flatnonzero(SPACE[raw[start:end]])
-            if len(gaps):
-                end = start + int(gaps[-1]) + 1
-            else:
-                more = np.flatnonzero(SPACE[raw[end:]])
-                end = end + int(more[0]) + 1 if len(more) else len(raw)
-        part = raw[start:end]
-        at = np.flatnonzero(~SPACE[part])
-        start = end
-        if not len(at):
-            continue
-        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-        place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
-        powers = np.cumprod(np.full(int(place.max()) + 1, PLACES, U))
-        out.append(_mix(np.add.reduceat(BYTES[part[at]] * powers[place], first)))
-    return np.concatenate(out) if out else np.zeros(0, U)
-
-
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of all runs of ``width`` words; fewer words are one run; none without words."""
-    words = word_hashes(text) if text else np.zeros(0, U)
-    n = len(words)
-    if n == 0:
-        return words
-    if n < width:
-        return _mix((words * RUNS[:n]).sum(dtype=U, keepdims=True) + U(n))
-    total = words[:n - width + 1] * RUNS[0]
-    for j in range(1, width):
-        total = total + words[j:n - width + 1 + j] * RUNS[j]
-    return np.unique(_mix(total))
+SALTS = seeds(2000, BANDS * BAND_ROWS)
 
 
 def _bands(tokens: np.ndarray) -> np.ndarray:
@@ -84,26 +29,8 @@ def _bands(tokens: np.ndarray) -> np.ndarray:
     for start in range(0, len(tokens), 2048):
         part = tokens[start:start + 2048]
         least = np.minimum(least, ((part[None, :] ^ (SALTS[:, None] >> U(7))) * SALTS[:, None]).min(1))
-    rows = _mix(least).reshape(BANDS, BAND_ROWS)
-    return _mix((rows * RUNS[:BAND_ROWS]).sum(1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
-
-
-def _print(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit prints of a set."""
-    a, b = _mix(tokens).sum(dtype=U), _mix(tokens * U(0xD6E8FEB86659FD93)).sum(dtype=U)
-    return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
-
-
-class Groups:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.of[a], self.of[b]
-        if x != y:
-            self.of[self.of == max(x, y)] = min(x, y)
+    rows = mix(least).reshape(BANDS, BAND_ROWS)
+    return mix((rows * RUNS[:BAND_ROWS]).sum(1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
 def _levels(bits: np.ndarray, sizes: np.ndarray, odd: np.ndarray) -> list[tuple]:
@@ -118,7 +45,7 @@ def _levels(bits: np.ndarray, sizes: np.ndarray, odd: np.ndarray) -> list[tuple]
     return out
 
 
-def tree_links(sets: list[np.ndarray], group: np.ndarray, odd: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], extras: list, group: np.ndarray, odd: np.ndarray, percent: int = 80) -> list[tuple[int, int]]:
     """Pairs of positions that link sets of different groups, enough of them to connect all that are linked.
 
     Only pairs with an odd member are looked at.
@@ -169,130 +96,12 @@ def tree_links(sets: list[np.ndarray], group: np.ndarray, odd: np.ndarray, perce
     return found
 
 
-def _linked(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (u, v) within each unit of rows (node, grp, odd, tokens)."""
-    schema = "u long, v long"
-    types = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def run(t: pa.Table) -> pa.Table:
-        nodes = np.asarray(t["node"])
-        _, first = np.unique(nodes, return_index=True)
-        odd = np.asarray(t["odd"])
-        if len(first) < len(nodes):  # a set that came as an odd one and as one of all
-            marked = set(nodes[odd].tolist())
-            t, nodes = t.take(first), nodes[first]
-            odd = np.array([n in marked for n in nodes.tolist()])
-        sets = [np.frombuffer(x, U) for x in t["tokens"].to_pylist()]
-        pairs = tree_links(sets, np.asarray(t["grp"]), odd, percent)
-        return pa.table({"u": nodes[[p for p, _ in pairs]] if pairs else [], "v": nodes[[q for _, q in pairs]] if pairs else []}, schema=types)
-
-    return units.select(*keys, "node", "grp", "odd", "tokens").groupBy(*keys).applyInArrow(run, schema)
-
-
-def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with grp, the least node they are connected to."""
-    found = connected_components(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    return nodes.join(found.select(F.col("v").alias("node"), F.col("component").alias("grp")), "node", "left").withColumn(
-        "grp", F.coalesce("grp", "node"))
-
-
-def _with_main(nodes: DataFrame, key: str, unit_docs: int) -> DataFrame:
-    """Per key that holds several groups: the largest one, all nodes, and the chunks the others make."""
-    sizes = nodes.groupBy(key, "grp").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy(key).agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
-    return main.where("top < all").withColumn("chunks", F.ceil((F.col("all") - F.col("top")) / F.lit(unit_docs)).cast("int"))
-
-
-def _crossed(nodes: DataFrame, key: str) -> DataFrame:
-    """Units (key, part, chunk): a chunk of the nodes outside the main group against a part of all nodes."""
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int").alias("chunk")
-    odd = nodes.where("grp <> main").select(key, "node", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk, F.lit(True).alias("odd"))
-    every = nodes.select(key, "node", "grp", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("odd"))
-    return odd.unionByName(every)
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, unit_docs: int = 512, unit_tokens: int = 1 << 21,
-                    few_chunks: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, **spread) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     Texts link when 100 * overlap >= percent * union of their shingle sets; component_id is the least doc_id
-    reachable.  Texts without words, null ones too, have no shingle and no link.  Equal sets
-    are one class, of which one member is compared.  Rows sharing an id are separate texts.
-
-    Blocks of sets that share a band are joined into clusters.  A cluster up to ``unit_docs`` sets and
-    ``unit_tokens`` shingles is one tree.  A larger one is worked through in parts of that size: first within
-    the blocks of a few bands; then the sets outside its largest group meet all its parts, in chunks.
-    Where that takes more than ``few_chunks`` chunks, they meet the parts of each block they share
-    instead.  No pair that shares a block is passed over, except pairs already known to be connected.
+    reachable.  Texts without words, null ones too, have no shingle and no link.  Rows sharing an id are separate texts, rows
+    without an id link like others; where no reachable row has an id, component_id is null.  See linked_rows for ``spread``.
     """
-    schema = "doc_id long, n long, node long, check long, keys array<long>"
-    make = arrow_rows(schema)
-
-    def sign(batches):
-        for b in batches:
-            rows: list[list] = [[], [], [], []]
-            for text in b.column(1).to_pylist():
-                tokens = shingles(text, width)
-                a, c = _print(tokens) if len(tokens) else (None, None)
-                for col, v in zip(rows, (len(tokens), a, c, _bands(tokens) if len(tokens) else None)):
-                    col.append(v)
-            yield make([b.column(0), *rows])
-
-    texts = docs.select("doc_id", "text")
-    base = staged(texts.mapInArrow(sign, schema), "signed")
-    classes = staged(base.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    blocks = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    parts = F.greatest(F.ceil(F.col("m") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
-    blocks = staged(blocks.where("hub <> far").select("key", "hub", parts.alias("parts")), "blocks")
-    part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int").alias("part")
-    shared = staged(keyed.join(blocks, "key").select("key", "band", "node", "hub", "parts", part), "shared")
-    clusters = _grouped(shared.select("node").distinct(), shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    sized = staged(clusters.withColumnRenamed("grp", "cluster").join(classes.select("node", "n", "doc_id"), "node"), "clusters")
-    large = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).withColumn(
-        "large", (F.col("c") > unit_docs) | (F.col("t") > unit_tokens))
-    sized = sized.join(large, "cluster")
-
-    token_schema = "node long, cluster long, large boolean, tokens binary"
-    rows = arrow_rows(token_schema)
-
-    def collect(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text, node, cluster, is_large in zip(*(c.to_pylist() for c in b.columns)):
-                tokens = shingles(text, width)
-                if len(tokens) and _print(tokens)[0] == node:
-                    for col, v in zip(out, (node, cluster, is_large, tokens.tobytes())):
-                        col.append(v)
-            yield rows(out)
-
-    wanted = sized.select("doc_id", "node", "cluster", "large")
-    # both sides grow with the corpus: the same plan at every size
-    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "node", "cluster", "large").mapInArrow(collect, token_schema)
-    tokens = staged(tokens.dropDuplicates(["node"]), "tokens")
-    every = F.lit(True).alias("odd")
-    small = _linked(tokens.where("not large").select("cluster", "node", F.col("node").alias("grp"), every, "tokens"), ["cluster"], percent)
-    links = staged(small, "links")
-    if not large.where("large").isEmpty():
-        big = tokens.where("large").select("node", "tokens")
-        quick = shared.where(F.col("band") < QUICK_BANDS).join(big, "node").withColumns({"grp": F.col("node"), "odd": F.lit(True)})
-        links = staged(links.unionByName(_linked(quick, ["key", "part"], percent)), "links")
-        of_cluster = sized.where("large").select("cluster", "node", "n")
-        grouped = staged(_grouped(of_cluster, links), "groups")
-        main = _with_main(grouped, "cluster", unit_docs)
-        weight = grouped.groupBy("cluster").agg(F.sum("n").alias("t"))
-        cut = F.greatest(F.ceil(F.col("all") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
-        main = staged(main.join(weight, "cluster").withColumn("parts", cut).withColumn("few", F.col("chunks") <= few_chunks), "clusters")
-        place = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
-        whole = grouped.join(main.where("few").drop("few", "t"), "cluster").withColumn("part", place)
-        links = links.unionByName(_linked(_crossed(whole, "cluster").join(big, "node"), ["cluster", "part", "chunk"], percent))
-        many = grouped.join(main.where("not few").select("cluster"), "cluster").select("node", "grp")
-        here = staged(shared.join(many, "node"), "large-groups")
-        blocked = here.join(_with_main(here, "key", unit_docs), "key")
-        links = links.unionByName(_linked(_crossed(blocked, "key").join(big, "node"), ["key", "part", "chunk"], percent))
-        links = staged(links, "links")
-    final = _grouped(sized.select("node"), links)
-    rooted = staged(base.select("doc_id", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("grp", "node")).select("doc_id", "n", "root"), "roots")
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows = linked_rows(docs, width, _bands, partial(tree_links, percent=percent), **spread)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

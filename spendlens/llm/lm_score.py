@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import arrow_rows, summed
-from spendlens.llm.jaccard_join import word_hashes
+from spendlens.llm.similar_sets import word_hashes
 from spendlens.session import staged
 
 IDS, CLASSES, INPUTS, DIM, HIDDEN = 1 << 16, 128, 1 << 12, 16, 32

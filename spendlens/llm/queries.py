@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import (decontaminate, exact_search, jaccard_join, language, lm_score, packing, quality, resample, secret_scan, sharding, spelling,
+from spendlens.llm import (decontaminate, exact_search, jaccard_join, language, lm_score, minhash, packing, quality, resample, secret_scan, sharding, spelling,
                            token_store)
 from spendlens.llm.common import remainder, table
 from spendlens.session import shared_scratch, staged
@@ -77,6 +77,10 @@ def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, seed=7)
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, width=4)
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -90,6 +94,7 @@ QUERIES = {
     "op10_exact_search": op10_exact_search,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_target_resample": op12_target_resample,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 # CRC-32 in SQL: its table by rule, and a fold over the bytes of a text's hexadecimal form
 CRC_TABLE = """poly as (select b, b::uinteger as v, 0 as i from range(256) x(b)
@@ -98,7 +103,29 @@ tab as materialized (select list(v order by b) as t from poly where i = 8)"""
 CRC = """xor(list_reduce(list_prepend(4294967295::uinteger, list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::bigint, 2))::uinteger)),
         lambda s, b: xor(s >> 8, tab.t[xor(s & 255, b) + 1])), 4294967295::uinteger)"""
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def linked_sql(width: int, columns: str) -> str:
+    """Distinct shingles of ``width`` words, links at 80 % of the union, and the least document reachable."""
+    return f"""
+with recursive split as (select doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+sets as materialized (
+    select distinct doc_id, unnest(case when len(w) >= {width} then list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from split),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+overlap as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b using (s) where a.doc_id < b.doc_id group by all),
+links as materialized (
+    select a, b from overlap join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+either as materialized (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, either.b from reach join either on reach.r = either.a),
+least as (select doc_id, min(r) as component_id from reach group by doc_id)
+select {columns} from least left join sizes using (doc_id)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op5_jaccard_join": linked_sql(5, "doc_id, coalesce(n, 0) as n_shingles, component_id"),
+    "op13_minhash_dedup": linked_sql(4, "doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept"),
     "op10_exact_search": """
 with v as (
     select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spendlens.llm import (decontaminate, exact_search, jaccard_join, language, lm_score, packing, quality, queries, secret_scan, sharding,
-                           token_store)
+from spendlens.llm import (decontaminate, exact_search, jaccard_join, language, lm_score, minhash, packing, quality,
+                           queries, resample, secret_scan, sharding, similar_sets, spelling, token_store)
 from spendlens.llm.tokens import Encoder
 from tests.oracle import compare, connect
 
@@ -428,16 +428,16 @@ def test_lm_trains_on_every_word(spark):
 
 def test_words_and_shingles():
     text = "A b\tC\nd e  Fé　g"
-    assert len(jaccard_join.word_hashes(text)) == 6
-    assert len(jaccard_join.shingles(text)) == 2
-    assert (jaccard_join.shingles("A B") == jaccard_join.shingles("a b")).all()
-    old = jaccard_join.CHUNK
+    assert len(similar_sets.word_hashes(text)) == 6
+    assert len(similar_sets.shingles(text)) == 2
+    assert (similar_sets.shingles("A B") == jaccard_join.shingles("a b")).all()
+    old = similar_sets.CHUNK
     try:
-        whole = jaccard_join.word_hashes("some words and a" + "verylong" * 9 + " one here")
-        jaccard_join.CHUNK = 7
-        assert (jaccard_join.word_hashes("some words and a" + "verylong" * 9 + " one here") == whole).all()
+        whole = similar_sets.word_hashes("some words and a" + "verylong" * 9 + " one here")
+        similar_sets.CHUNK = 7
+        assert (similar_sets.word_hashes("some words and a" + "verylong" * 9 + " one here") == whole).all()
     finally:
-        jaccard_join.CHUNK = old
+        similar_sets.CHUNK = old
 
 
 def test_base_digest(spark):

@@ -96,6 +96,11 @@ def tree_links(sets: list[np.ndarray], extras: list, group: np.ndarray, odd: np.
     return found
 
 
+def linked_documents(docs: DataFrame, percent: int = 80, width: int = 5, **spread) -> DataFrame:
+    """linked_rows() by signature trees."""
+    return linked_rows(docs, width, _bands, partial(tree_links, percent=percent), **spread)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, **spread) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
@@ -103,5 +108,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, **spread
     reachable.  Texts without words, null ones too, have no shingle and no link.  Rows sharing an id are separate texts, rows
     without an id link like others; where no reachable row has an id, component_id is null.  See linked_rows for ``spread``.
     """
-    rows = linked_rows(docs, width, _bands, partial(tree_links, percent=percent), **spread)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked_documents(docs, percent, width, **spread).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

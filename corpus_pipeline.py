@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.functions.skew import first_per_key
-from spendlens.llm import decontaminate, jaccard_join, language, packing, secret_scan
+from spendlens.llm import decontaminate, jaccard_join, language, packing, secret_scan, similar_sets
 from spendlens.llm.common import table
 from spendlens.session import shared_scratch
 
@@ -22,11 +21,11 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates, once; rows without an id stay."""
-    found = jaccard_join.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = first_per_key(docs.join(first, "doc_id", "left_semi").select(docs.columns), ["doc_id"], ["text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates, that of the least doc_id; rows without words stay.
+
+    A row is told by its id and its text, so an id on two unrelated texts keeps both, and of copies without an id one stays.
+    """
+    return similar_sets.one_of_each(docs, jaccard_join.linked_documents(docs)).select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ if the boxes are wholly within reach, the cell totals are used and no pair is fo
 are out of reach, the pair is dropped; what straddles the radius is split further, unless the
 two cells hold so few points that comparing them directly is cheaper.  Equal points are merged first, so copies cost
 nothing, and the number of coarse cells depends on the radius, not on the rows.
+
+Grids serve up to AXES dimensions; points of more go through the metric partition in ``metric``.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions import metric
 from spendlens.functions.skew import join_back, one_row, ordered_scan
 from spendlens.session import staged
 
@@ -99,6 +102,10 @@ def _levels(a_points: DataFrame, b_points: DataFrame, dims: list[str], eps: floa
 def range_aggregate(queries: DataFrame, targets: DataFrame, dims: list[str], eps: float, value: str,
                     how: Callable[[Column | str], Column]) -> DataFrame:
     """Distinct query points with ``how`` (sum or min) over the value of all targets within eps."""
+    if len(dims) > AXES:
+        packed = F.array(*dims).alias("v")
+        found = metric.range_aggregate(queries.select(packed), targets.select(packed, F.col(value).alias("__v")), "v", eps, "__v", "sum" if how is F.sum else "min")
+        return found.select(*[F.col("v")[i].alias(d) for i, d in enumerate(dims)], F.col("__v").alias(value))
     q = staged(_with_cells(queries.select(*dims).distinct(), dims, eps), "points")
     t = staged(_with_cells(targets.groupBy(*dims).agg(how(value).alias("__v")), dims, eps), "points")
     within, direct, rest = _levels(q, t, dims, eps, F.count(F.lit(1)), how("__v"))
@@ -134,8 +141,6 @@ def _cell_links(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
     A finest cell is smaller than eps, so its points are mutually connected and one edge per
     pair of cells is enough; a coarse pair within reach is a star around its first cell.
     """
-    if len(dims) > BRANCH ** (2 * LAST):
-        raise ValueError("too many dimensions for cells to be cliques")
     p = _with_cells(points, dims, eps)
     first = p.groupBy(f"k{LAST}").agg(F.min("id").alias("cell"))
     p = staged(p.join(first, f"k{LAST}"), "points")
@@ -197,9 +202,13 @@ def dbscan(points: DataFrame, key: str, dims: list[str], eps: float = 0.5, min_s
     counted = staged(join_back(points, neighbour_counts(points, key, dims, eps), [key]), "counted")
     core = counted.where(F.col("neighbours") >= min_samples)
     merged = core.groupBy(*dims).agg(F.min(key).alias("id"))
-    placed = _with_cells(merged, dims, eps)
-    cell_of = placed.join(placed.groupBy(f"k{LAST}").agg(F.min("id").alias("cell")), f"k{LAST}")
-    found = connected_components(_cell_links(merged, dims, eps))
+    if len(dims) > AXES:
+        cell_of = merged = staged(merged.withColumn("cell", F.col("id")), "core")
+        found = connected_components(metric.range_links(merged.select("id", F.array(*dims).alias("v")), eps))
+    else:
+        placed = _with_cells(merged, dims, eps)
+        cell_of = placed.join(placed.groupBy(f"k{LAST}").agg(F.min("id").alias("cell")), f"k{LAST}")
+        found = connected_components(_cell_links(merged, dims, eps))
     comp = cell_of.join(found, F.col("cell") == F.col("v"), "left").select(*dims, F.coalesce("component", "cell").alias("component"))
     comp = staged(comp, "components")
     names = ordered_scan(comp.select("component").distinct(), [], ["component"], F.floor(F.col("component") / 10000), row_number="n")

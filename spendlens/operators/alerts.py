@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.expr import epoch_us, first_of, fixed, nz, once
 from spendlens.functions.skew import first_per_key, join_back, ordered_scan, with_totals
+from spendlens.session import staged
 
 c = F.col
 
@@ -63,105 +62,80 @@ def evaluate_rules(ctx: DataFrame, rules: dict[str, AlertRule] | None = None, al
 # A trigger fires when the last fired one is at least the cooldown away, so the outcome depends
 # on the whole history of its key.  A gap of a full cooldown always restarts the chain: runs
 # between such gaps are independent, and a run shorter than the cooldown fires only its first
-# row.  Other runs of few rows are folded as an array.  Long ones are cut into chunks of many
-# cooldowns.  Within a chunk every possible entry
-# is walked to the first moment after the chunk at which the key is free again; these maps are
-# monotone step functions with few steps.  Folding them per run gives each chunk its true entry,
-# and the chunks then emit their fired rows in parallel.
+# row.  Other runs of few rows are folded as an array.  In long ones each instant points to its
+# successor, the first instant a cooldown later, found by an as-of scan in time buckets; what the
+# run's first instant leads to is marked by pointer doubling, in as many rounds as the chain's length has digits.
 
-CHUNK_COOLDOWNS = 64
+BUCKET_US = 60_000_000  # a window holds one key's instants within a minute
 FOLD_ROWS = 1024  # runs up to this many instants are folded in one row
 
 
 def cooldown(triggers: DataFrame, keys: list[str], tie: str, at: str = "ts", minutes: str = "cooldown_minutes",
-             chunk_cooldowns: int = CHUNK_COOLDOWNS, fold_rows: int = FOLD_ROWS) -> DataFrame:
+             bucket_us: int = BUCKET_US, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Triggers that fire; of several at one instant the first by ``tie``.
 
     keys = ["rule_id"] is the original scope (one client's alert mutes the others); add an
-    entity column for independent cooldowns per entity.
+    entity column for independent cooldowns per entity.  The cooldown is the same for all triggers of a key.
     """
     us = epoch_us(at)
     cool = c(minutes).cast("bigint") * 60_000_000
     instants = triggers.select(*keys, us.alias("us"), cool.alias("cool")).distinct()
-    day = F.floor(c("us") / F.lit(86_400_000_000))
-    gaps = ordered_scan(instants, keys, ["us"], day, lag={"prev_us": c("us")})
+    bucket = F.floor(c("us") / F.lit(bucket_us))
+    gaps = ordered_scan(instants, keys, ["us"], bucket, lag={"prev_us": c("us")})
     gaps = gaps.withColumn("opens", (c("prev_us").isNull() | (c("us") - c("prev_us") >= c("cool"))).cast("bigint")).drop("prev_us")
-    runs = ordered_scan(gaps, keys, ["us"], day, before={"earlier": c("opens")}).withColumn("run", c("earlier") + c("opens")).drop("earlier")
+    runs = ordered_scan(gaps, keys, ["us"], bucket, before={"earlier": c("opens")}).withColumn("run", c("earlier") + c("opens")).drop("earlier")
     run_keys = [*keys, "run"]
-    runs = with_totals(runs, run_keys, run_end=F.max("us"), run_start=F.min("us"), run_rows=F.count(F.lit(1)))
-    long_run = c("run_end") - c("run_start") >= c("cool")
-    heads = runs.where(~long_run & (c("opens") == 1)).select(*keys, "us")
+    runs = staged(with_totals(runs, run_keys, run_end=F.max("us"), run_start=F.min("us"), run_rows=F.count(F.lit(1))), "runs")
+    many = (c("run_end") - c("run_start") >= c("cool")) & (c("run_rows") > fold_rows)
+    few = (c("run_end") - c("run_start") >= c("cool")) & (c("run_rows") <= fold_rows)
+    heads = runs.where(~few & ~many & (c("opens") == 1)).select(*keys, "us")
 
-    chunk = F.floor(c("us") / (c("cool") * chunk_cooldowns))
-    short = runs.where(long_run & (c("run_rows") <= fold_rows)).groupBy(*run_keys).agg(
-        F.array_sort(F.collect_list("us")).alias("all_us"), F.max("cool").alias("cool"))
+    short = runs.where(few).groupBy(*run_keys).agg(F.array_sort(F.collect_list("us")).alias("all_us"), F.max("cool").alias("cool"))
     start = F.struct(F.lit(-(2**62)).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("fired"))
     fold = F.aggregate("all_us", start, lambda acc, x: F.when(
         x - acc["last"] >= c("cool"), F.struct(x.alias("last"), F.array_append(acc["fired"], x).alias("fired"))).otherwise(acc), lambda acc: acc["fired"])
     folded = short.select(*keys, F.explode(fold).alias("us"))
-    chunked = runs.where(long_run & (c("run_rows") > fold_rows)).select(*run_keys, "us", "cool", chunk.alias("chunk"))
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunked.select(*run_keys).schema.fields)
-    steps = chunked.groupBy(*run_keys, "chunk").applyInPandas(
-        _chunk_steps(run_keys, chunk_cooldowns), f"{key_schema}, chunk long, upto long, exit_us long")
-    entries = steps.groupBy(*run_keys).applyInPandas(_fold_entries(run_keys), f"{key_schema}, chunk long, entry_us long")
-    fired = join_back(chunked, entries, [*run_keys, "chunk"]).groupBy(*run_keys, "chunk").applyInPandas(
-        _emit_fired(run_keys), f"{key_schema}, us long")
-    fired = heads.unionByName(folded).unionByName(fired.select(*keys, "us"))
+    longest = runs.where(many).agg(F.max(F.floor((c("run_end") - c("run_start")) / c("cool")))).first()[0]
+    fired = heads.unionByName(folded)
+    if longest:
+        steps = _successors(runs.where(many), run_keys, bucket_us)
+        marked = _led_to(runs.where(many & (c("opens") == 1)).select(*run_keys, "us"), steps, run_keys, int(longest))
+        fired = fired.unionByName(marked.select(*keys, "us"))
     return first_per_key(join_back(triggers.withColumn("us", us), fired, [*keys, "us"]), [*keys, "us"], [tie]).drop("us")
 
 
-def _next_index(us: np.ndarray, cool: int) -> np.ndarray:
-    return np.searchsorted(us, us + cool, side="left")
-
-
-def _with_key(pdf: pd.DataFrame, keys: list[str], **columns) -> pd.DataFrame:
-    """The group's key beside new columns, in its own types even when there are no rows."""
-    n = len(next(iter(columns.values())))
-    out = pdf[keys].iloc[np.zeros(n, dtype="int64")].reset_index(drop=True)
-    return out.assign(**{c: np.asarray(v, dtype="int64") for c, v in columns.items()})
-
-
-def _chunk_steps(keys: list[str], chunk_cooldowns: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, cool = np.sort(pdf["us"].to_numpy()), int(pdf["cool"].iloc[0])
-        n, nxt = len(us), _next_index(us, cool)
-        last = np.arange(n)  # last fired index when the walk enters at i
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
-        # an entry lies within one cooldown of the chunk's start, or is the first row after that
-        chunk = int(pdf["chunk"].iloc[0])
-        n = min(n, int(np.searchsorted(us, chunk * cool * chunk_cooldowns + cool)) + 1)
-        us, ready = us[:n], us[last[:n]] + cool  # the key is free again from ready
-        keep = np.append(ready[1:] != ready[:-1], True)  # one row per distinct outcome: its greatest entry
-        return _with_key(pdf, keys, chunk=np.full(int(keep.sum()), chunk), upto=us[keep], exit_us=ready[keep])
-    return run
-
-
-def _fold_entries(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, chunks, entries = -(2**62), [], []
-        for chunk, part in pdf.sort_values(["chunk", "upto"]).groupby("chunk", sort=True):
-            upto, ready = part["upto"].to_numpy(), part["exit_us"].to_numpy()
-            chunks.append(chunk)
-            entries.append(free)
-            at = np.searchsorted(upto, free, side="left")
-            if at < len(upto):
-                free = int(ready[at])
-        return _with_key(pdf, keys, chunk=chunks, entry_us=entries)
-    return run
-
-
-def _emit_fired(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, cool = np.sort(pdf["us"].to_numpy()), int(pdf["cool"].iloc[0])
-        out = []
-        at = np.searchsorted(us, int(pdf["entry_us"].iloc[0]), side="left")
-        while at < len(us):
-            out.append(us[at])
-            at = np.searchsorted(us, us[at] + cool, side="left")
-        return _with_key(pdf, keys, us=out)
-    return run
+def _successors(rows: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
+    """(keys, us, nxt): of every instant the first one of its key at least ``cool`` later; none, no row.
+
+    Instants and the moments asked for are put in one order per key and bucket, walked from the latest back; a bucket
+    hands the least instant after it to the ones before.
+    """
+    none = F.lit(None).cast("bigint")
+    told = rows.select(*keys, c("us").alias("moment"), c("us").alias("instant"), none.alias("us"))
+    asked = rows.select(*keys, (c("us") + c("cool")).alias("moment"), none.alias("instant"), "us")
+    both = told.unionByName(asked).withColumn("bucket", F.floor(c("moment") / F.lit(bucket_us)))
+    back = Window.partitionBy(*keys, "bucket").orderBy(F.desc("moment")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = both.groupBy(*keys, "bucket").agg(F.min("instant").alias("least")).select(*keys, "bucket", F.min("least").over(across).alias("later"))
+    found = join_back(both.withColumn("within", F.min("instant").over(back)), carry, [*keys, "bucket"])
+    return found.where("us is not null").select(*keys, "us", F.coalesce("within", "later").alias("nxt")).where("nxt is not null")
+
+
+def _led_to(heads: DataFrame, steps: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """(keys, us): the heads (keys, us) and all that at most ``longest`` of the steps (keys, us, nxt) lead to from them.
+
+    Steps of 1, 2, 4, ... are written one after the other; then, from the longest down, each marked instant marks where
+    the step of that length leads, so that every count of steps is taken once.
+    """
+    tables = [staged(steps, "steps")]
+    for _ in range(max(0, longest.bit_length() - 1)):
+        first = tables[-1].withColumnsRenamed({"us": "first", "nxt": "us"})
+        tables.append(staged(join_back(first, tables[-1], [*keys, "us"]).select(*keys, c("first").alias("us"), "nxt"), "steps"))
+    reached = heads
+    for table in reversed(tables):
+        onward = join_back(reached, table, [*keys, "us"], "left")
+        reached = onward.select(*keys, F.explode(F.array_compact(F.array("us", "nxt"))).alias("us"))
+    return reached
 
 
 # ---- messages and state --------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.expr import clamp, count_hits, first_of, hash_bucket, lookup, once, words
 from spendlens.operators.joins import with_benchmark
+from spendlens.session import staged
 
 c = F.col
 
@@ -168,14 +169,23 @@ def batch_scoring(df: DataFrame) -> DataFrame:
     return predict(df).withColumn("recommendations", F.slice("recommendations", 1, 3))
 
 
-def tfidf(df: DataFrame, terms: int = 100):
-    """Fitted tf-idf pipeline over the full text with the most frequent terms."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, term, n): tokens of two characters and more of every row's text, lower-cased."""
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
+    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(counts: DataFrame, terms: int) -> DataFrame:
+    """(term, total, documents) of the most frequent terms, ties in the order of the terms: an aggregate and a top-k, no sort of all terms."""
+    return counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("documents")).orderBy(F.desc("total"), "term").limit(terms)
+
 
-    steps = [RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-             CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=terms), IDF(inputCol="tf", outputCol="tfidf")]
-    return Pipeline(stages=steps).fit(df)
+def tfidf(df: DataFrame, key: str = "creative_id", terms: int = 100) -> DataFrame:
+    """(key, term, n, weight) for the most frequent terms over the full text; weight is n * ln((rows + 1) / (rows with the term + 1))."""
+    counts = staged(term_counts(df, key, full_text()), "terms")
+    idf = F.log((df.select(F.count(F.lit(1)) + 1).scalar()).cast("double") / (F.col("documents") + 1).cast("double"))
+    chosen = vocabulary(counts, terms).withColumn("idf", idf)
+    return counts.join(chosen.select("term", "idf"), "term").select(key, "term", "n", (F.col("n") * F.col("idf")).alias("weight"))
 
 
 TRAIN_INPUTS = ["headline_length", "headline_words", "has_numbers_n", "sentiment", "urgency"]

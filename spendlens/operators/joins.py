@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import join_back, last_per_key
+from spendlens.functions.metric import neighbour_counts as vector_neighbour_counts  # noqa: F401  (the range self-join over whole vectors)
 from spendlens.functions.spatial import neighbour_counts  # noqa: F401  (the range self-join)
 
 

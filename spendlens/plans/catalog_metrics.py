@@ -204,19 +204,11 @@ def _(t):
     return T.coalition_values(T.channel_masks(t.path_channels)).drop("n_channels")
 
 
-POINTS = """select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding[4]::double as u from embeddings"""
-
-
-def points(t):
-    e = F.col("embedding")
-    return t.raw("embeddings").select("vec_id", *[e[i].cast("double").alias(n) for i, n in enumerate("xyzu")])
-
-
-@query("j10_neighbour_counts", "", f"""
-with p as ({POINTS}) select a.vec_id, count(*) as neighbours from p a join p b
-on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 + (a.u - b.u) ** 2 <= 0.15::double * 0.15::double group by 1""")
+@query("j10_neighbour_counts", "", """
+with p as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select a.vec_id, count(*) as neighbours from p a join p b on list_distance(a.v, b.v) <= 1.2::double group by 1""")
 def _(t):
-    return J.neighbour_counts(points(t), "vec_id", list("xyzu"), 0.15)
+    return J.vector_neighbour_counts(t.raw("embeddings"), "vec_id", "embedding", 1.2)
 
 
 @query("j11_seed_exclusion", "user_profiles", "select user_id from user_profiles where purchases_30d < 15")

@@ -260,17 +260,16 @@ def _(t):
     return R.batch_scoring(t.creatives).select("creative_id", "overall_quality_score", F.array_join("recommendations", " / ").alias("recommendations"))
 
 
-# the weight of a text over the 100 most frequent terms, ties by term not among them
+# the weight of a text over the 100 most frequent terms, ties in the order of the terms
 @query("r13_tfidf", "creatives", r"""
 with words as (select creative_id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', headline, body)), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)) as w from creatives),
   tf as (select creative_id, w, count(*) as n from words group by 1, 2),
-  terms as (select w, sum(n) as total, count(*) as df from tf group by 1 order by total desc limit 100)
+  terms as (select w, sum(n) as total, count(*) as df from tf group by 1 order by total desc, w limit 100)
 select creative_id, coalesce(sum(n * ln((select count(*) + 1 from creatives) / (df + 1)::double)), 0) as weight
 from creatives left join (tf join terms using (w)) using (creative_id) group by 1""", r="weight", digits=3)
 def _(t):
-    texts = t.creatives.select("creative_id", R.full_text().alias("text"))
-    from pyspark.ml.functions import vector_to_array
-    return R.tfidf(texts).transform(texts).select("creative_id", F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda a, b: a + b).alias("weight"))
+    weights = R.tfidf(t.creatives).groupBy("creative_id").agg(F.sum("weight").alias("weight"))
+    return t.creatives.select("creative_id").join(weights, "creative_id", "left").select("creative_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 @query("r14_train_creative")

@@ -76,15 +76,15 @@ def brute_cooldown(rows, cool_us):
     return sorted(fired)
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 64])
-def test_cooldown_equals_fold(spark, chunk):
-    rnd = random.Random(chunk)
+@pytest.mark.parametrize("bucket_us", [1_000_000, 60_000_000, 7_000_000_000])
+def test_cooldown_equals_fold(spark, bucket_us):
+    rnd = random.Random(bucket_us)
     rows = []
     for key, n, span in (("hot", 900, 40000), ("thin", 40, 900000), ("dense", 300, 3000)):
         rows += [(key, rnd.randrange(span) * 1_000_000, len(rows) + i) for i in range(n)]
     df = spark.createDataFrame(rows, "rule_id string, us long, event_id long").select(
         "rule_id", "event_id", F.timestamp_micros("us").alias("ts"), F.lit(10).alias("cooldown_minutes"))
-    got = alerts.cooldown(df, ["rule_id"], tie="event_id", chunk_cooldowns=chunk, fold_rows=100)
+    got = alerts.cooldown(df, ["rule_id"], tie="event_id", bucket_us=bucket_us, fold_rows=100)
     assert sorted((r["rule_id"], r["event_id"]) for r in got.collect()) == brute_cooldown(rows, 600_000_000)
 
 

@@ -7,7 +7,8 @@ channel, so a bot with millions of touches costs no more than its share of the s
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from spendlens.functions.skew import join_back, one_row, ordered_scan, with_tota
 from spendlens.session import staged
 
 PATH = ["client_id", "path_id"]
+TOUCH = [*PATH, "event_id", "ts", "channel", "cost", "is_conversion", "value", "is_first", "is_last", "next_channel"]
 # State names of the Markov chain.
 START, CONVERSION, NO_CONVERSION = "START", "CONVERSION", "NULL"
 # Walk limits of the two Markov variants.
@@ -175,36 +177,35 @@ def _scenarios(edges: DataFrame) -> DataFrame:
         "from_state", "to_state", "p")
 
 
-def _without(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Drop the removed channel and renormalise the remaining edges of each state."""
-    gone = pdf["removed"].iloc[0]
-    kept = pdf[(pdf["from_state"] != gone) & (pdf["to_state"] != gone)]
-    if gone:
-        kept = kept.assign(p=kept["p"] / kept.groupby("from_state")["p"].transform("sum"))
-    return kept.sort_values(["from_state", "to_state"])
-
-
-def _rate_row(pdf: pd.DataFrame, rate: float) -> pd.DataFrame:
-    return pd.DataFrame({"client_id": [pdf["client_id"].iloc[0]], "removed": [pdf["removed"].iloc[0]], "rate": [float(rate)]})
+def _greedy_rate(scenarios: DataFrame) -> DataFrame:
+    """Rate per client and removed channel of the walk that follows the likeliest edge (ties: channel name).
 
+    Every state is reduced to its chance of conversion and its best way on; the walk is a fold over that map in the row.
+    It ends at the first state that can convert, and gives 0 where it comes back to a state or has no way on.
+    """
+    kept = scenarios.where("from_state <> removed and to_state <> removed")
+    converts, other = F.col("to_state") == CONVERSION, ~F.col("to_state").isin(CONVERSION, NO_CONVERSION)
+    states = kept.groupBy("client_id", "removed", "from_state").agg(
+        F.sum(F.when(F.col("removed") == "", F.lit(None)).otherwise(F.col("p"))).alias("left"),
+        F.max(F.when(converts, F.col("p"))).alias("conversion"),
+        F.min(F.when(other, F.struct((-F.col("p")).alias("down"), F.col("to_state").alias("to")))).alias("way"))
+    scale = F.coalesce("left", F.lit(1.0))  # what is left of a state's edges sums to 1 again
+    out = F.struct((F.col("conversion") / scale).alias("conversion"), (-F.col("way.down") / scale).alias("p"), F.col("way.to").alias("to"))
+    g = states.groupBy("client_id", "removed").agg(F.map_from_entries(F.collect_list(F.struct("from_state", out.alias("out")))).alias("net"))
+    begin = F.struct(F.lit(START).alias("here"), F.lit(1.0).alias("p"), F.array().cast("array<string>").alias("seen"), F.lit(0.0).alias("rate"), F.lit(True).alias("live"))
 
-def _greedy_walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept = _without(pdf)
-    by = {s: dict(zip(g["to_state"], g["p"])) for s, g in kept.groupby("from_state")}
-    here, prob, seen, rate = START, 1.0, set(), 0.0
-    for _ in range(GREEDY_STEPS):
-        out = by.get(here)
-        if here in seen or not out:
-            break
-        seen.add(here)
-        if CONVERSION in out:
-            rate = prob * out[CONVERSION]
-            break
-        onward = sorted((-p, s) for s, p in out.items() if s != NO_CONVERSION)
-        if not onward:
-            break
-        prob, here = prob * -onward[0][0], onward[0][1]
-    return _rate_row(pdf, rate)
+    def step(acc: Column, _: Column) -> Column:
+        out = F.try_element_at("net", acc["here"])
+        live = acc["live"] & out.isNotNull() & ~F.array_contains(acc["seen"], acc["here"])
+        ends = live & out["conversion"].isNotNull()
+        onward = F.coalesce(live & out["conversion"].isNull() & out["to"].isNotNull(), F.lit(False))
+        return F.struct(
+            F.when(onward, out["to"]).otherwise(acc["here"]).alias("here"), F.when(onward, acc["p"] * out["p"]).otherwise(acc["p"]).alias("p"),
+            F.array_append(acc["seen"], acc["here"]).alias("seen"),
+            F.when(ends, acc["p"] * out["conversion"]).otherwise(acc["rate"]).alias("rate"), onward.alias("live"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(GREEDY_STEPS)), begin, step, lambda acc: acc["rate"])
+    return once(g, {"rate": walked}).select("client_id", "removed", "rate")
 
 
 def _effects(rates: DataFrame, name: str, equal_when_none: bool) -> DataFrame:
@@ -257,9 +258,7 @@ def markov_removal(edges: DataFrame) -> DataFrame:
 
 def markov_greedy(edges: DataFrame) -> DataFrame:
     """Removal effects along the most likely route (ties: channel name)."""
-    typ = edges.schema["client_id"].dataType.simpleString()
-    rates = _scenarios(staged(edges, "edges")).groupBy("client_id", "removed").applyInPandas(
-        _greedy_walk, f"client_id {typ}, removed string, rate double")
+    rates = _greedy_rate(_scenarios(staged(edges, "edges")))
     return _effects(rates, "markov_greedy", equal_when_none=True)
 
 
@@ -363,6 +362,7 @@ def attribution_report(journeys: DataFrame, start: str | None = None, end: str |
     """All channel models side by side with the channel totals, per client."""
     if start and end:
         journeys = in_conversion_range(journeys, start, end)
+    journeys = staged(journeys.select(*TOUCH), "journeys")  # the channel pre-aggregate and the transitions both read them
     pc = staged(path_channels(journeys), "path-channels")  # read by five models
     out = channel_stats(pc)
     parts = [shapley_value(pc), markov_removal(transition_edges(journeys)).select("client_id", "channel", "markov"),
@@ -401,35 +401,77 @@ def attribution_insights(report: DataFrame) -> DataFrame:
     return lines.withColumn("position", F.row_number().over(pos)).where("position <= 5").select("client_id", "position", "insight")
 
 
-def path_sequences(journeys: DataFrame, p: DataFrame) -> DataFrame:
+def placed_touches(journeys: DataFrame) -> DataFrame:
+    """(client_id, path_id, pos, channel, is_last): touches with their position in the path, from 0."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    numbered = ordered_scan(journeys, ["user_id"], ["ts", "event_id"], hour, row_number="row_no")
+    base = numbered.groupBy("path_id").agg(F.min("row_no").alias("first_row"))
+    return join_back(numbered, base, ["path_id"]).select(*PATH, (F.col("row_no") - F.col("first_row")).alias("pos"), "channel", "is_last")
+
+
+def path_prints(placed: DataFrame, p: DataFrame) -> DataFrame:
     """Paths with an order-sensitive 128-bit print of their channel sequence.
 
     The print is an XOR over (position, channel) hashes and needs no gathering of the path.
     """
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    numbered = ordered_scan(journeys, ["user_id"], ["ts", "event_id"], hour, row_number="row_no")
-    base = numbered.groupBy("path_id").agg(F.min("row_no").alias("first_row"))
-    placed = join_back(numbered, base, ["path_id"]).withColumn("pos", F.col("row_no") - F.col("first_row"))
     prints = placed.groupBy(*PATH).agg(
         F.bit_xor(F.xxhash64("pos", "channel")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit(7), "channel", "pos")).alias("h2"))
     return join_back(p, prints, PATH)
 
 
+ARROW = " → "
+SPELLED = 8  # positions of a tied sequence that are looked at in one round
+
+
+def _joined(touches: DataFrame) -> DataFrame:
+    """(path_id, text): the given touches of each path in order, each but the path's last followed by the arrow."""
+    token = F.concat("channel", F.when(F.col("is_last"), F.lit("")).otherwise(F.lit(ARROW))).alias("token")
+    spelled = touches.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("pos", token))).alias("t"))
+    return spelled.select("path_id", F.array_join(F.transform("t", lambda x: x["token"]), "").alias("text"))
+
+
+def first_in_order(tied: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """The path_ids of the n smallest sequences of ``tied`` (path_id, touchpoints; all sequences differ), written out as text.
+
+    Settled from the front: SPELLED positions a round.  What is below the n-th smallest beginning is taken, what is
+    above is dropped, and only those that share it go on to their next positions.  No channel holds the arrow.
+    """
+    taken, pending, at = [], tied, 0
+    touches = staged(placed.join(tied.select("path_id"), "path_id").select("path_id", "pos", "channel", "is_last"), "tied")
+    while n > 0:
+        part = touches.where(F.col("pos").between(at, at + SPELLED - 1))
+        begun = staged(pending.join(_joined(part), "path_id", "left").select("path_id", F.coalesce("text", F.lit("")).alias("text")), "begun")
+        least = begun.orderBy("text").limit(n).agg(F.max("text").alias("cut"), F.count(F.lit(1)).alias("n")).first()
+        if least["n"] < n or at > 0 and least["cut"] == "":  # all of them, or nothing left to tell them apart
+            return reduce(DataFrame.unionByName, [*taken, begun.orderBy("text", "path_id").limit(n).select("path_id")])
+        below = begun.where(F.col("text") < least["cut"]).select("path_id")
+        pending = begun.where(F.col("text") == least["cut"]).select("path_id")
+        taken.append(below)
+        n, at = n - below.count(), at + SPELLED
+        if pending.count() == n:
+            return reduce(DataFrame.unionByName, [*taken, pending])
+    return reduce(DataFrame.unionByName, taken)
+
+
 def path_analysis(journeys: DataFrame, p: DataFrame, min_conversions: int = 5, top: int = 20) -> DataFrame:
-    """The most frequent exact channel sequences of converted paths."""
-    marked = staged(path_sequences(journeys, p), "path-prints")
+    """The most frequent exact channel sequences of converted paths; ties in the order of the sequences.
+
+    At most ``top`` sequences are written out, however many are tied at the cut.
+    """
+    placed = staged(placed_touches(journeys), "placed")
+    marked = staged(path_prints(placed, p), "path-prints")
     groups = marked.groupBy("touchpoints", "h1", "h2").agg(
         F.count(F.lit(1)).alias("total_paths"), F.count_if("converted").alias("conversions"),
         F.sum(F.when(F.col("converted"), F.col("value")).otherwise(0.0)).alias("total_value"),
         F.min("path_id").alias("path_id"))
-    # Ties are cut on the sequence itself, so the k-th count is kept whole first.
-    eligible = groups.where(F.col("conversions") >= min_conversions)
-    cut = one_row(eligible.orderBy(F.desc("conversions")).limit(top).agg(F.min("conversions").alias("least")))
-    best = eligible.where(F.col("conversions") >= cut["least"])
-    texts = journeys.join(best.select("path_id"), "path_id").groupBy("path_id").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "channel"))).alias("t"))
-    texts = texts.select("path_id", F.array_join(F.transform("t", lambda x: x["channel"]), " → ").alias("path"))
+    eligible = staged(groups.where(F.col("conversions") >= min_conversions), "sequences")
+    cut = eligible.orderBy(F.desc("conversions")).limit(top).agg(F.min("conversions").alias("least")).first()["least"]
+    above = eligible.where(F.col("conversions") > F.lit(cut))
+    tied = eligible.where(F.col("conversions") == F.lit(cut))
+    chosen = first_in_order(tied.select("path_id"), placed, top - above.count()) if cut is not None else tied.select("path_id")
+    best = above.unionByName(tied.join(chosen, "path_id", "left_semi"))
+    texts = _joined(placed.join(best.select("path_id"), "path_id").select("path_id", "pos", "channel", "is_last")).withColumnRenamed("text", "path")
     return best.join(texts, "path_id").orderBy(F.desc("conversions"), "path").limit(top).select(
         "path", "conversions", "total_paths", "total_value",
         (F.col("total_value") / F.col("conversions")).alias("avg_value"),
@@ -457,6 +499,7 @@ def touchpoint_attributions(journeys: DataFrame) -> DataFrame:
     Path rules (first, last, linear, decay, position) are per touch; the channel models split
     the path value by the channel's share among the path's channels, evenly over its touches.
     """
+    journeys = staged(journeys, "journeys")
     pc = staged(path_channels(journeys), "path-channels")
     edges = transition_edges(journeys)
     sh = join_back(pc.where("converted"), shapley_value(pc), ["client_id", "channel"])

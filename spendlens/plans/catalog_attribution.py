@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spendlens.operators import attribution as A
-from spendlens.plans.registry import query
+from spendlens.plans.registry import ORACLE, query
 from spendlens.plans.views import rnd
 
 JCOLS = "client_id, path_id, event_id, channel, prev_channel, next_channel"
@@ -93,7 +93,29 @@ def _(t):
     return A.markov_removal(t.edges)
 
 
-@query("t06_markov_greedy")
+GREEDY_SQL = """
+with recursive chan as (select distinct client_id, channel from journeys),
+  scen as (select client_id, channel as removed from chan union all select distinct client_id, '' from chan),
+  net as materialized (select s.client_id, removed, from_state, to_state, p / case when removed = '' then 1 else sum(p) over (partition by s.client_id, removed, from_state) end as p
+    from scen s join edges e on s.client_id = e.client_id and from_state <> removed and to_state <> removed),
+  states as materialized (select client_id, removed, from_state, max(p) filter (to_state = 'CONVERSION') as conversion,
+    min(to_state) filter (to_state not in ('CONVERSION', 'NULL') and p = best) as way, max(best) as way_p
+    from (select *, max(p) filter (to_state not in ('CONVERSION', 'NULL')) over (partition by client_id, removed, from_state) as best from net) group by 1, 2, 3),
+  walk as (select client_id, removed, 1 as step, 'START' as here, 1::double as p, []::varchar[] as seen from scen
+    union all
+    select w.client_id, w.removed, step + 1, way, w.p * way_p, list_append(seen, here)
+    from walk w join states s on s.client_id = w.client_id and s.removed = w.removed and s.from_state = w.here
+    where step < 20 and conversion is null and way is not null and not list_contains(seen, here)),
+  rates as (select c.client_id, c.removed, coalesce(max(w.p * s.conversion), 0) as rate from scen c
+    left join walk w on w.client_id = c.client_id and w.removed = c.removed and not list_contains(w.seen, w.here)
+    left join states s on s.client_id = w.client_id and s.removed = w.removed and s.from_state = w.here group by 1, 2),
+  eff as (select r.client_id, r.removed as channel, b.rate as base_rate, r.rate as removed_rate, greatest(0, b.rate - r.rate) as e
+    from rates r join rates b on r.client_id = b.client_id and b.removed = '' where r.removed <> '')
+select client_id, channel, base_rate, removed_rate,
+  case when sum(e) over (partition by client_id) > 0 then e / sum(e) over (partition by client_id) else 1 / count(*) over (partition by client_id)::double end as markov_greedy from eff"""
+
+
+@query("t06_markov_greedy", "edges", GREEDY_SQL, r="base_rate removed_rate markov_greedy")
 def _(t):
     return A.markov_greedy(t.edges)
 
@@ -181,11 +203,19 @@ def _(t):
     return A.attribution_report(t.journeys)
 
 
-@query("t13_attribution_report_range")
+@query("t13_attribution_report_range", "edges path_channels", REPORT.replace("coalesce(shapley, 0) * 100", "coalesce(last_touch, 0) * 100").replace(
+    "order by coalesce(shapley, 0) desc", "order by coalesce(last_touch, 0) desc") + "select * from report")
 def _(t):
     return A.attribution_report(t.journeys, "2024-01-10", "2024-01-20", model="last_touch")
 
 
+# The same views over the paths whose last touch lies in the range.
+ORACLE["t13_attribution_report_range"] = ORACLE["t13_attribution_report_range"].replace("journeys as (", "every_journey as (", 1).replace(
+    "edges as (", """journeys as (select * from every_journey where path_id in (
+  select path_id from every_journey where seq = path_touches and ts::date between date '2024-01-10' and date '2024-01-20')),
+edges as (""", 1)
+
+
 @query("t14_attribution_insights", "edges path_channels", REPORT + """
 select client_id, position, insight from (
   select client_id, row_number() over (partition by client_id order by rule, rank) as position, insight from (

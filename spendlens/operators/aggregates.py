@@ -46,21 +46,63 @@ def segment_performance(members: DataFrame, activity: DataFrame, key: str = "use
     return kpis(members.join(per_member, key).groupBy("segment").agg(*_sums()))
 
 
+SKETCH_K = 800  # size of a quantile sketch: a rank is off by less than RANK_ERROR of the rows
+RANK_ERROR = 0.01
+
+
+def _recent(metrics: DataFrame, as_of: str, days: int) -> DataFrame:
+    first = F.date_sub(F.lit(as_of).cast("date"), days)
+    return kpis(metrics.where((F.col("day") > first) & (F.col("day") <= F.lit(as_of).cast("date"))))
+
+
 def benchmarks(metrics: DataFrame, as_of: str, days: int = 90, exact: bool = True) -> DataFrame:
-    """CTR average / median / top tenth, average CVR, CPM, CPC per industry and platform."""
+    """CTR average / median / top tenth, average CVR, CPM, CPC per industry and platform.
+
+    exact=False takes the CTR quantiles from daily sketches instead: see ctr_sketches.
+    """
     keys = ["industry", "platform"]
-    first = F.date_sub(F.lit(as_of).cast("date"), days)
-    rows = kpis(metrics.where((F.col("day") > first) & (F.col("day") <= F.lit(as_of).cast("date"))))
+    rows = _recent(metrics, as_of, days)
     base = rows.groupBy(*keys).agg(
         F.avg("ctr").alias("avg_ctr"), F.avg("cvr").alias("avg_cvr"), F.avg("cpm").alias("avg_cpm"), F.avg("cpc").alias("avg_cpc"),
-        F.count(F.lit(1)).alias("sample_size"), *([] if exact else [
-            F.percentile_approx("ctr", 0.5, 10000).alias("median_ctr"), F.percentile_approx("ctr", 0.9, 10000).alias("top10_ctr")]))
+        F.count(F.lit(1)).alias("sample_size"))
     if not exact:
-        return base
+        return join_back(base, sketched_benchmarks(ctr_sketches(metrics), as_of, days), keys)
     cuts = exact_percentiles(rows, keys, "ctr", {"median_ctr": 0.5, "top10_ctr": 0.9})
     return join_back(base, cuts, keys)
 
 
+def ctr_sketches(metrics: DataFrame) -> DataFrame:
+    """(industry, platform, day, sketch): one mergeable quantile sketch of CTR a day, to be kept and merged over any window."""
+    return kpis(metrics).groupBy("industry", "platform", "day").agg(F.kll_sketch_agg_double("ctr", SKETCH_K).alias("sketch"))
+
+
+def sketched_benchmarks(daily: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Median and top tenth of CTR out of the daily sketches of the window; the rows themselves are not read."""
+    last = F.lit(as_of).cast("date")
+    window = daily.where((F.col("day") > F.date_sub(last, days)) & (F.col("day") <= last))
+    merged = window.groupBy("industry", "platform").agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    at = lambda q: F.kll_sketch_get_quantile_double("s", F.lit(q))
+    return merged.select("industry", "platform", at(0.5).alias("median_ctr"), at(0.9).alias("top10_ctr"))
+
+
+def sketch_check(metrics: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Per industry and platform the exact quantiles, and whether the sketched ones stand at their rank within RANK_ERROR of the rows."""
+    keys = ["industry", "platform"]
+    sketched = sketched_benchmarks(ctr_sketches(metrics), as_of, days)
+    renamed = sketched.withColumnsRenamed({"median_ctr": "median_sketch", "top10_ctr": "top10_sketch"})
+    rows = join_back(_recent(metrics, as_of, days).select(*keys, "ctr"), renamed, keys)
+    below = lambda s: F.count_if(F.col("ctr") < F.col(s))
+    upto = lambda s: F.count_if(F.col("ctr") <= F.col(s))
+    slack = F.count(F.lit(1)) * RANK_ERROR + 1
+
+    def near(s: str, q: float) -> Column:
+        n = F.count(F.lit(1))
+        return (below(s) <= n * q + slack) & (upto(s) >= n * q - slack)
+
+    checked = rows.groupBy(*keys).agg(near("median_sketch", 0.5).alias("median_within"), near("top10_sketch", 0.9).alias("top10_within"))
+    return join_back(benchmarks(metrics, as_of, days).select(*keys, "sample_size", "median_ctr", "top10_ctr"), checked, keys)
+
+
 def alert_stats(alerts: DataFrame) -> DataFrame:
     """Counts of active alerts by severity, by type and in total; empty groups do not appear."""
     active = alerts.where("resolved_at is null")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.expr import fixed, hash_bucket
+from spendlens.functions.expr import fixed, once
 from spendlens.functions.skew import ordered_scan, with_totals
 from spendlens.operators.normalize import kpis, temporal_features
 
@@ -25,23 +25,41 @@ def posterior(history: DataFrame) -> DataFrame:
     return g.select("campaign_id", (c("k") + 1.0).alias("alpha"), (c("n") - c("k") + 1.0).alias("beta"))
 
 
-def beta_draw(alpha: Column, beta: Column, seed: Column) -> Column:
-    """One Beta draw per row from a seed column: repeatable whatever the partitioning."""
+TRIES = 12  # a Gamma candidate is refused less than once in twenty times
+
+
+def gamma_draw(shape: Column, key: Column) -> Column:
+    """A Gamma draw for a shape of 1 or more, out of the key's text alone: the same on any engine and in any partitioning.
+
+    Each try takes three uniforms from one md5 of key and try: two make a normal number, its cube a candidate, the third accepts it.
+    """
+    d = shape - 1 / 3.0
 
-    @F.pandas_udf("double")
-    def draw(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(k)).beta(x, y) for x, y, k in zip(a, b, s)])
+    def attempt(i: Column) -> Column:
+        unit = lambda h, at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        x = lambda h: F.sqrt(F.log(unit(h, 1)) * -2.0) * F.cos(unit(h, 9) * (2 * math.pi))
+        parts = F.transform(F.array(F.md5(F.concat_ws(":", key, i.cast("string")))), lambda h: F.struct(x(h).alias("x"), unit(h, 17).alias("u")))
+        cubed = F.transform(parts, lambda p: F.struct(p["x"].alias("x"), p["u"].alias("u"), F.pow(p["x"] / F.sqrt(d * 9.0) + 1.0, F.lit(3.0)).alias("v")))
+        kept = F.transform(cubed, lambda p: F.when((p["v"] > 0) & (F.log(p["u"]) < p["x"] * p["x"] * 0.5 + d - d * p["v"] + d * F.log(p["v"])), d * p["v"]))
+        return F.element_at(kept, 1)
 
-    return draw(alpha, beta, seed)
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda got, i: F.coalesce(got, attempt(i))), d)
 
 
-def seed_of(*parts: Column) -> Column:
-    return hash_bucket(F.concat_ws(":", *[p.cast("string") for p in parts]), 2**31 - 1)
+def beta_draw(alpha: Column, beta: Column, key: Column) -> Column:
+    """A Beta draw (both parameters 1 or more) out of the key's text."""
+    a, b = gamma_draw(alpha, F.concat(key, F.lit(":a"))), gamma_draw(beta, F.concat(key, F.lit(":b")))
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] / (p["a"] + p["b"])), 1)
+
+
+def draw_key(*parts: Column) -> Column:
+    """The counter of a draw: run, campaign and the number of the draw."""
+    return F.concat_ws(":", *[p.cast("string") for p in parts])
 
 
 def allocation_scores(post: DataFrame, group: str, method: str = "mean", run: int = 0) -> DataFrame:
     """Posterior mean or one draw per campaign, divided by the group's total."""
-    score = c("alpha") / (c("alpha") + c("beta")) if method == "mean" else beta_draw(c("alpha"), c("beta"), seed_of(F.lit(run), c("campaign_id")))
+    score = c("alpha") / (c("alpha") + c("beta")) if method == "mean" else beta_draw(c("alpha"), c("beta"), draw_key(F.lit(run), c("campaign_id"), F.lit(0)))
     rows = with_totals(post.withColumn("score", score), [group], total=F.sum("score"), n=F.count(F.lit(1)))
     share = F.when(c("total") == 0, 1 / c("n")).otherwise(F.try_divide("score", "total"))
     return rows.withColumn("allocation_score", share).drop("total", "n", "score")
@@ -106,15 +124,11 @@ def posterior_by_roas(observations: DataFrame, threshold: float = 1.0) -> DataFr
 def thompson_shares(post: DataFrame, group: str, draws: int = DRAWS, run: int = 0) -> DataFrame:
     """Share of joint draws each campaign wins in its group.
 
-    One seeded vector of draws per campaign, exploded by draw number; the winner of a draw is
+    Every (campaign, draw) is a row with a draw of its own; the winner of a draw is
     a max_by with map-side combine, so a group of any size shares the work.
     """
-
-    @F.pandas_udf("array<double>")
-    def many(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(k)).beta(x, y, draws) for x, y, k in zip(a, b, s)])
-
-    drawn = post.select(group, "campaign_id", F.posexplode(many(c("alpha"), c("beta"), seed_of(F.lit(run), c("campaign_id")))).alias("draw", "p"))
+    rows = post.select(group, "campaign_id", "alpha", "beta", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = once(rows, {"p": beta_draw(c("alpha"), c("beta"), draw_key(F.lit(run), c("campaign_id"), c("draw")))})
     winners = drawn.groupBy(group, "draw").agg(F.max_by("campaign_id", F.struct(c("p"), -c("campaign_id"))).alias("campaign_id"))
     won = winners.groupBy(group, "campaign_id").agg((F.count(F.lit(1)) / draws).alias("share"))
     return post.join(won, [group, "campaign_id"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))

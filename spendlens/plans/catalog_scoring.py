@@ -351,7 +351,25 @@ def _(t):
     return allocation(t).select("campaign_id", "account_id", "allocation_score")
 
 
-@query("o02_allocation_scores_sampled")
+def beta_sql(alpha, beta, key):
+    """The draw of budget.beta_draw: the first accepted of its tries."""
+    def gamma(shape, part):
+        d = f"({shape} - 1 / 3::double)"
+        unit = lambda at: f"((('0x' || substr(h, {at}, 8))::ubigint + 0.5::double) / 4294967296::double)"
+        x = f"(sqrt(-2 * ln({unit(1)})) * cos(2 * pi() * {unit(9)}))"
+        v = f"pow({x} / sqrt({d} * 9) + 1, 3)"
+        ok = f"{v} > 0 and ln({unit(17)}) < {x} * {x} * 0.5 + {d} - {d} * {v} + {d} * ln(greatest({v}, 1e-300))"
+        tries = f"list_transform(range(1, {O.TRIES + 1}), lambda i: md5({key} || ':{part}:' || i))"
+        return f"coalesce(list_filter(list_transform({tries}, lambda h: case when {ok} then {d} * {v} end), lambda g: g is not null)[1], {d})"
+    return f"(select a / (a + b) from (select {gamma(alpha, 'a')} as a, {gamma(beta, 'b')} as b))"
+
+
+SAMPLED = f"""select campaign_id, account_id, p / sum(p) over (partition by account_id) as allocation_score from (
+  select campaign_id, account_id, {beta_sql("alpha", "beta", "'0:' || campaign_id || ':0'")} as p
+  from (select campaign_id, alpha::double as alpha, beta::double as beta from ({POST})) join campaigns using (campaign_id))"""
+
+
+@query("o02_allocation_scores_sampled", "campaign_series campaigns", SAMPLED, r="allocation_score")
 def _(t):
     return allocation(t, "sample").select("campaign_id", "account_id", "allocation_score")
 
@@ -420,7 +438,19 @@ def thompson(t):
     return O.thompson_shares(post, "account_id")
 
 
-@query("o07_thompson_allocate")
+THOMPSON = f"""with post as (select campaign_id, account_id, count(*) filter (roas > 1) + 1::double as alpha, count(*) filter (roas <= 1) + 1::double as beta
+    from campaign_series join campaigns using (campaign_id) group by campaign_id, account_id),
+  drawn as (select campaign_id, account_id, draw, {beta_sql("alpha", "beta", "'0:' || campaign_id || ':' || draw")} as p from (select *, unnest(range(1, {O.DRAWS + 1})) as draw from post)),
+  won as (select account_id, campaign_id, count(*) / {O.DRAWS}::double as share from (
+    select account_id, draw, arg_max(campaign_id, (p, -campaign_id)) as campaign_id from drawn group by all) group by all),
+  wishes as (select account_id, campaign_id, coalesce(share, 0) as share, greatest(10, coalesce(share, 0) * 1000) - 10 as wish,
+    row_number() over w as pos, count(*) over (partition by account_id) as n from post left join won using (account_id, campaign_id) window w as (partition by account_id order by campaign_id)),
+  frees as (select *, 1000 - n * 10 as slack, coalesce(sum(wish) over (partition by account_id order by pos rows between unbounded preceding and 1 preceding), 0) as wished from wishes),
+  shorts as (select *, case when pos = 1 then slack when slack < 0 then 0 else greatest(0, slack - wished) end as short from frees)
+select account_id, campaign_id, share, 1000::double as total, case when pos = n then short else least(wish, short) end + 10 as allocated_budget from shorts"""
+
+
+@query("o07_thompson_allocate", "campaign_series campaigns", THOMPSON, r="share allocated_budget")
 def _(t):
     return O.thompson_allocate(thompson(t), "account_id", F.lit(1000.0))
 

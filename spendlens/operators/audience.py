@@ -99,7 +99,7 @@ def _fit(scored: DataFrame, k: int, scaler, **kmeans):
 def kmeans_standardised(scored: DataFrame, k: int = 5):
     from pyspark.ml.feature import StandardScaler
 
-    return _fit(scored, k, StandardScaler(inputCol="raw", outputCol="features", withMean=True))
+    return _fit(scored, k, StandardScaler(inputCol="raw", outputCol="features", withMean=True), maxIter=300, tol=1e-6)
 
 
 def kmeans_minmax(scored: DataFrame, k: int = 5):
@@ -113,15 +113,87 @@ def assign(scored: DataFrame, model) -> DataFrame:
     return model.transform(scored)
 
 
+def _distance2(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _as_array(vector: str = "features") -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(vector)
+
+
+def assignment_facts(assigned: DataFrame, model, key: str = "user_id", tolerance: float = 0.01) -> DataFrame:
+    """Per row whether its cluster is that of the nearest centre, whether that centre is the mean of its rows, and the rows of all clusters."""
+    centres = [[float(x) for x in centre] for centre in model.stages[-1].clusterCenters()]
+    dims = range(len(centres[0]))
+    rows = staged(assigned.select(key, "cluster", _as_array().alias("f")), "assigned")
+    means = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(c("f")[i]) for i in dims]).alias("mean"))
+    rows = rows.join(means, "cluster").withColumn("centres", F.lit(centres))
+    away = F.transform("centres", lambda m: _distance2(c("f"), m))
+    own = F.element_at("centres", c("cluster") + 1)
+    total = F.lit(0).cast("long") + means.agg(F.sum("size")).scalar()
+    return rows.select(key, (F.element_at(away, c("cluster") + 1) <= F.array_min(away) + 1e-9).alias("nearest"),
+                       (F.sqrt(_distance2(own, c("mean"))) <= tolerance).alias("centre_is_mean"), total.alias("rows_in_clusters"))
+
+
 def silhouette(clustered: DataFrame) -> float:
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(clustered)
 
 
+def silhouette_by_moments(clustered: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, silhouette) by squared distances: one row of moments a cluster gives every mean distance, and no pair of rows meets.
+
+    The mean squared distance of x to a cluster is |x|^2 - 2 x . mean + mean |y|^2; within its own cluster x itself does not count.
+    A row alone in its cluster has 0.
+    """
+    rows = staged(clustered.select(key, "cluster", _as_array().alias("f")), "clustered")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    n_dims = len(rows.select("f").first()["f"])
+    moments = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c("f")[i]) for i in range(n_dims)]).alias("mean"), F.avg(dot(c("f"), c("f"))).alias("square"))
+    listed = moments.agg(F.collect_list(F.struct("cluster", "n", "mean", "square")))  # one entry per cluster
+    rows = rows.withColumn("m", listed.scalar())
+    to = F.transform("m", lambda m: F.struct(m["cluster"].alias("cluster"), m["n"].alias("n"), (dot(c("f"), c("f")) - dot(c("f"), m["mean"]) * 2 + m["square"]).alias("d")))
+    rows = rows.withColumn("to", to)
+    mine = F.element_at(F.filter("to", lambda t: t["cluster"] == c("cluster")), 1)
+    inner = mine["d"] * mine["n"] / F.greatest(mine["n"] - 1, F.lit(1))
+    outer = F.array_min(F.transform(F.filter("to", lambda t: t["cluster"] != c("cluster")), lambda t: t["d"]))
+    value = F.when(mine["n"] == 1, 0.0).otherwise(F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0)))
+    return rows.select(key, value.alias("silhouette"))
+
+
+CORESET = 20_000  # rows the costs of all k are taken from, at most about twice as many
+
+
+def coreset(scored: DataFrame, key: str = "user_id", size: int = CORESET) -> DataFrame:
+    """Rows of scaled features with weights that stand for all: every row is kept with a chance of size * (1 / 2n + d^2 / 2 sum d^2) by a
+    hash of its key, d its distance from the mean, and weighs the inverse.  Up to size / 2 rows all are kept."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    scaled = Pipeline(stages=steps).fit(scored).transform(scored)
+    far = F.aggregate(F.transform(_as_array(), lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    rows = staged(scaled.select(key, "features", far.alias("far")), "scaled")
+    both = one_row(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("far")))
+    chance = F.least(F.lit(1.0), size * (0.5 / both["n"] + F.coalesce(F.try_divide(c("far") * 0.5, both["far"]), F.lit(0.0))))
+    unit = F.pmod(F.xxhash64(F.lit("coreset"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.withColumn("chance", chance).where(unit < c("chance")).select(key, "features", (1 / c("chance")).alias("weight"))
+
+
+def cluster_costs(scored: DataFrame, ks: range) -> list[tuple[int, float]]:
+    """(k, cost) for every k, all fitted on one weighted coreset: two passes over the rows, whatever the number of k."""
+    from pyspark.ml.clustering import KMeans
+
+    rows = staged(coreset(scored), "coreset")
+    return [(k, KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster", weightCol="weight").fit(rows).summary.trainingCost) for k in ks]
+
+
 def choose_k(scored: DataFrame, ks: range) -> int:
     """Elbow: the k whose cost lies farthest below the chord of first and last."""
-    costs = [(k, kmeans_standardised(scored, k).stages[-1].summary.trainingCost) for k in ks]
+    costs = cluster_costs(scored, ks)
     (k0, c0), (k1, c1) = costs[0], costs[-1]
     return max(costs, key=lambda p: (c0 + (c1 - c0) * (p[0] - k0) / max(k1 - k0, 1)) - p[1])[0]
 

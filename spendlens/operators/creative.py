@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.expr import clamp, count_hits, first_of, hash_bucket, lookup, once, words
 from spendlens.operators.joins import with_benchmark
+from spendlens.operators.monitoring import out_of_fold
 from spendlens.session import staged
 
 c = F.col
@@ -206,6 +207,26 @@ def train_creative(df: DataFrame, label: Column, trees: int = 100, depth: int =
     return Pipeline(stages=steps).fit(rows)
 
 
+def train_rate(df: DataFrame, rate: Column, trees: int = 20, depth: int = 3, leaf: int = 15, seed: int = 42):
+    """Boosted regression of a rate (click, conversion) on the five text features; rows without the rate are left out."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = train_inputs(df).withColumn("label", rate.cast("double")).where("label is not null")
+    steps = [VectorAssembler(inputCols=TRAIN_INPUTS, outputCol="inputs"), GBTRegressor(featuresCol="inputs", maxIter=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)]
+    return Pipeline(stages=steps).fit(rows)
+
+
+def rate_scores(df: DataFrame, rate: Column, key: str = "creative_id", folds: int = 2, **fitting) -> DataFrame:
+    """Every creative that has the rate, with it and the prediction of a model that did not see it."""
+    def fit(rows: DataFrame):
+        model = train_rate(rows, F.col("label"), **fitting)
+        return lambda others: model.transform(train_inputs(others)).select(key, "fold", "label", F.col("prediction").alias("score"))
+
+    return out_of_fold(df.withColumn("label", rate.cast("double")).where("label is not null"), key, fit, folds)
+
+
 def comparable(vectors: DataFrame, query: Column, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k vectors most similar to one query vector by cosine; a projection and a top-k."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

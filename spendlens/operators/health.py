@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.expr import clamp, first_of, fixed, nz, once
+from spendlens.operators.monitoring import out_of_fold
 
 c = F.col
 
@@ -228,3 +229,14 @@ def train_churn(metrics: DataFrame, label: Column, seed: int = 42):
     rows = metrics.withColumn("label", label.cast("double"))
     steps = [VectorAssembler(inputCols=CHURN_INPUTS, outputCol="inputs"), RandomForestClassifier(featuresCol="inputs", numTrees=20, seed=seed)]
     return Pipeline(stages=steps).fit(rows)
+
+
+def churn_scores(metrics: DataFrame, label: Column, key: str = "client_id", folds: int = 2) -> DataFrame:
+    """Every client with its label and the score of a model that did not see it."""
+    from pyspark.ml.functions import vector_to_array
+
+    def fit(rows: DataFrame):
+        model = train_churn(rows, F.col("label"))
+        return lambda others: model.transform(others).withColumn("score", vector_to_array("probability")[1]).select(key, "fold", "label", "score")
+
+    return out_of_fold(metrics.withColumn("label", label.cast("double")), key, fit, folds)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.expr import hash_bucket
 from spendlens.operators.joins import predictions_with_actuals
 from spendlens.operators.timeseries import drift
+from spendlens.session import staged
 
 c = F.col
 
@@ -66,3 +70,30 @@ def should_retrain(models: DataFrame, drifted: DataFrame, errors: DataFrame, sch
     reason = F.when(no(c("drift_detected")), "drift_detected").when(no(overdue), "scheduled").when(
         no(c("rmse") > RMSE_LIMIT), "performance_degradation").otherwise("no_action_needed")
     return j.select("model", reason.alias("reason"), (reason != "no_action_needed").alias("retrain"))
+
+
+def out_of_fold(rows: DataFrame, key: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], folds: int = 2) -> DataFrame:
+    """Every row scored by a model that was fitted on the other folds; a key's fold is a hash of it, the same on any engine.
+
+    ``fit`` takes rows and returns what scores rows.  Adds fold.
+    """
+    rows = staged(rows.withColumn("fold", hash_bucket(F.concat(F.lit("fold:"), F.col(key).cast("string")), folds)), "folds")
+    parts = [fit(rows.where(F.col("fold") != k))(rows.where(F.col("fold") == k)) for k in range(folds)]
+    return staged(reduce(DataFrame.unionByName, parts), "scored")
+
+
+def calibration(scored: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
+    """(bin, rows, mean_score, share): how often the label is 1 where the score says so."""
+    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    return scored.groupBy(at).agg(F.count(F.lit(1)).alias("rows"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("share"))
+
+
+def beats_constant(scored: DataFrame, score: str = "score", label: str = "label", of: float = 1.0) -> DataFrame:
+    """(rows, better): whether the squared error of out-of-fold scores is below ``of`` times that of the other folds' mean label."""
+    by = scored.groupBy("fold").agg(F.sum(label).alias("s"), F.count(F.lit(1)).alias("n"))
+    all_s, all_n = scored.agg(F.sum(label)).scalar(), scored.agg(F.count(F.lit(1))).scalar()
+    constant = by.select("fold", ((all_s - F.col("s")) / (all_n - F.col("n"))).alias("constant"))
+    wrong = scored.join(constant, "fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.pow(F.col(score) - F.col(label), F.lit(2))).alias("model"),
+        F.sum(F.pow(F.col("constant") - F.col(label), F.lit(2))).alias("naive"))
+    return wrong.select("rows", (F.col("model") < F.col("naive") * of).alias("better"))

@@ -42,16 +42,19 @@ def _(t):
     return v.select("user_id", F.col("pos").cast("bigint").alias("pos"), "value")
 
 
-@query("u06_kmeans_segments")
+# what can be said of clusters without their seeds: the nearest centre, centres that are means, every row in one
+@query("u06_kmeans_segments", "user_profiles", "select user_id, true as nearest, true as centre_is_mean, count(*) over () as rows_in_clusters from user_profiles")
 def _(t):
     s = staged(scored(t), "scored")
-    return U.assign(s, U.kmeans_standardised(s)).select("user_id", "cluster")
+    model = U.kmeans_standardised(s)
+    return U.assignment_facts(U.assign(s, model), model)
 
 
-@query("u07_kmeans_minmax")
+@query("u07_kmeans_minmax", "user_profiles", "select user_id, true as nearest, true as centre_is_mean, count(*) over () as rows_in_clusters from user_profiles")
 def _(t):
     s = staged(scored(t), "scored")
-    return U.assign(s, U.kmeans_minmax(s)).select("user_id", "cluster")
+    model = U.kmeans_minmax(s)
+    return U.assignment_facts(U.assign(s, model), model)
 
 
 DIMS = ["sessions_30d", "total_revenue_30d", "engagement_score", "recency_score"]
@@ -88,11 +91,11 @@ def _(t):
     return dbscan(min_max_scaled(scored(t), "user_id", DIMS), "user_id", DIMS, 0.12, 4)
 
 
-@query("u09_assign_member")
+@query("u09_assign_member", "user_profiles", "select user_id, true as nearest, count(*) over () as rows_in_clusters from user_profiles where user_id % 2 = 1")
 def _(t):
     s = staged(scored(t), "scored")
     model = U.kmeans_standardised(s.where("user_id % 2 = 0"))
-    return U.assign(s.where("user_id % 2 = 1"), model).select("user_id", "cluster")
+    return U.assignment_facts(U.assign(s.where("user_id % 2 = 1"), model), model).drop("centre_is_mean")
 
 
 FIXED = f"select *, user_id % 4 as cluster from ({US})"
@@ -262,17 +265,37 @@ def _(t):
     return U.targeting(centroid_rows(t), "tiktok").select("user_id", F.array_join("targeting.age_groups", ", ").alias("age_groups"))
 
 
-@query("u22_silhouette")
+# two ways to the mean silhouette agree, and it says that the clusters are apart
+@query("u22_silhouette", "user_profiles", "select count(*) as users, true as agree, true as apart from user_profiles")
 def _(t):
     s = staged(scored(t), "scored")
-    value = U.silhouette(U.assign(s, U.kmeans_standardised(s)))
-    return s.agg(F.count(F.lit(1)).alias("users")).withColumn("silhouette", F.lit(value))
+    clustered = U.assign(s, U.kmeans_standardised(s))
+    value = U.silhouette(clustered)
+    mean = F.avg("silhouette")
+    return U.silhouette_by_moments(clustered).agg(F.count(F.lit(1)).alias("users"), (F.abs(mean - value) < 1e-6).alias("agree"), mean.between(0.0, 1.0).alias("apart"))
 
 
-@query("u23_choose_k")
+# on clusters that SQL can name, every row's silhouette is that of all pairs
+@query("u22_silhouette_by_moments", "user_profiles", """
+with p as (select user_id, user_id % 3 as cluster, [sessions_30d::double, total_revenue_30d::double / 100, days_since_last_visit::double] as f from user_profiles),
+  d as (select a.user_id, a.cluster, b.cluster as other, sum(list_distance(a.f, b.f) ** 2) as s, count(*) as n from p a join p b on true group by all),
+  i as (select user_id, s / greatest(n - 1, 1) as inner_d, n from d where cluster = other),
+  o as (select user_id, min(s / n) as outer_d from d where cluster <> other group by 1)
+select user_id, case when n = 1 then 0 else coalesce((outer_d - inner_d) / nullif(greatest(outer_d, inner_d), 0), 0) end as silhouette from i join o using (user_id)""", r="silhouette")
+def _(t):
+    from pyspark.ml.functions import array_to_vector
+    f = F.array(F.col("sessions_30d").cast("double"), F.col("total_revenue_30d").cast("double") / 100, F.col("days_since_last_visit").cast("double"))
+    return U.silhouette_by_moments(t.user_profiles.select("user_id", (F.col("user_id") % 3).alias("cluster"), array_to_vector(f).alias("features")))
+
+
+# the coreset's weights stand for all users, its cost falls with k, and the elbow is one of the choices
+@query("u23_choose_k", "user_profiles", "select count(*) as users, true as weights_add_up, true as cost_falls, true as k_in_range from user_profiles")
 def _(t):
     s = staged(scored(t), "scored")
-    return s.agg(F.count(F.lit(1)).alias("users")).withColumn("k", F.lit(U.choose_k(s, range(2, 6))))
+    users, weight = s.count(), U.coreset(s).agg(F.sum("weight")).first()[0]
+    costs, k = U.cluster_costs(s, range(2, 6)), U.choose_k(s, range(2, 6))
+    return s.agg(F.count(F.lit(1)).alias("users")).select("users", F.lit(abs(weight / users - 1) < 0.05).alias("weights_add_up"),
+                                                          F.lit(costs[-1][1] < costs[0][1]).alias("cost_falls"), F.lit(2 <= k <= 5).alias("k_in_range"))
 
 
 KIND = "select distinct event_type as segment, user_id from events where value > 60"

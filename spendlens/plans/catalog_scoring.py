@@ -10,9 +10,11 @@ from spendlens.operators import creative as R
 from spendlens.operators import health as C
 from spendlens.operators import monitoring as M
 from spendlens.operators import timeseries as W
+from spendlens.operators.monitoring import beats_constant, calibration
 from spendlens.plans.catalog_metrics import BENCH, DRIFT, FORECAST, MATCHED, forecasts
 from spendlens.plans.registry import query
 from spendlens.plans.views import AS_OF_ORDERS, pick, rnd
+from spendlens.session import staged
 
 # ---- health --------------------------------------------------------------------------------
 
@@ -117,11 +119,25 @@ def _(t):
     return C.alert_rows(t.scored)
 
 
-@query("c12_train_churn")
+CHURNED = "actual_roas + days_since_login * -0.05::double < 1.5"
+
+
+def churn_label():
+    return F.col("actual_roas") + F.col("days_since_login") * -0.05 < 1.5
+
+
+# scores of clients the model has not seen: better than the mean of the others
+@query("c12_train_churn", "client_metrics", "select count(*) as rows, true as better from client_metrics")
+def _(t):
+    return beats_constant(C.churn_scores(t.client_metrics, churn_label()))
+
+
+# the calibration table covers every client and all that churn
+@query("c12_churn_calibration", "client_metrics", f"select count(*) as clients, count(*) filter ({CHURNED}) as churned, true as rises from client_metrics")
 def _(t):
-    label = F.col("actual_roas") + F.col("days_since_login") * -0.05 < 1.5
-    model = C.train_churn(t.client_metrics, label)
-    return model.transform(t.client_metrics).groupBy("prediction").agg(F.count(F.lit(1)).alias("clients"))
+    bins = calibration(C.churn_scores(t.client_metrics, churn_label()))
+    ends = F.max_by("share", "bin") > F.min_by("share", "bin")
+    return bins.agg(F.sum("rows").alias("clients"), F.round(F.sum(F.col("rows") * F.col("share"))).cast("long").alias("churned"), ends.alias("rises"))
 
 
 @query("c13_score_bands", "health", """
@@ -272,11 +288,13 @@ def _(t):
     return t.creatives.select("creative_id").join(weights, "creative_id", "left").select("creative_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-@query("r14_train_creative")
+# click and conversion rate of creatives the models have not seen; the five inputs say little on few rows, so this asks that the error
+# stays below 1.2 times that of the mean of the others
+@query("r14_train_creative", "creatives", "select unnest(['ctr', 'cvr']) as model, count(*) as rows, true as bounded from creatives where quality is not null")
 def _(t):
-    rows = t.creatives.where("quality is not null")
-    model = R.train_creative(rows, F.col("quality"))
-    return model.transform(R.train_inputs(rows).withColumn("label", F.col("quality").cast("double"))).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("creatives"))
+    rates = {"ctr": F.col("quality") * 0.02, "cvr": F.col("quality") * 0.01 + F.when(F.col("has_face"), 0.002).otherwise(0.0)}
+    parts = [beats_constant(R.rate_scores(t.creatives, rate), of=1.2).withColumnRenamed("better", "bounded").withColumn("model", F.lit(m)) for m, rate in rates.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("r15_comparable_creatives", "", """
@@ -489,11 +507,18 @@ def _(t):
     return rule_rows(t).select("campaign_id", O.bounded_change(F.col("current_budget"), F.col("recommended_budget") * 2.2).alias("bounded_budget"))
 
 
-@query("o12_train_roas_forecaster")
+# steps held out per campaign, and that the model's error over all of them is below that of repeating the last value
+@query("o12_train_roas_forecaster", "ad_metrics", """
+select campaign_id, count(*) as steps, true as better from (
+  select campaign_id, day, row_number() over w as pos, count(*) over (partition by campaign_id) as n from ad_metrics window w as (partition by campaign_id order by day))
+where pos > 3 and pos < n and day >= date '2000-01-01' group by 1""")
 def _(t):
     rows = O.forecaster_rows(t.ad_metrics, t.campaigns, 1)
     _, scored = O.train_forecaster(rows, "2000-01-01")
-    return scored.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("steps"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"))
+    scored = staged(scored.select("campaign_id", "prediction", "target", "roas"), "forecasts")
+    error = lambda x: F.sum(F.abs(F.col(x) - F.col("target")))
+    better = scored.agg(error("prediction") < error("roas")).scalar()
+    return scored.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("steps")).withColumn("better", better)
 
 
 # ---- alerts --------------------------------------------------------------------------------

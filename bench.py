@@ -16,7 +16,7 @@ HEADLINE = [
     "t01_build_journeys", "t02_shapley_value", "t03_shapley_rate", "t05_markov_removal", "t10_time_decay", "t13_attribution_report", "t15_path_analysis",
     "n08_derive_metrics", "q04_dedupe_keep_first", "q06_changed_only", "a01_campaign_totals", "a05_benchmarks", "a11_entity_rollup",
     "w01_campaign_series_features", "w10_forecast", "w19_sessionize", "j05_as_of_join", "c03_churn", "r08_predict_ctr_cvr",
-    "o03_budget_rule", "l02_cooldown_rule_scope", "l05_interventions", "u01_user_profiles", "m01_error_metrics",
+    "o03_budget_rule", "l02_cooldown_rule_scope", "l02_cooldown_entity_scope", "l05_interventions", "u01_user_profiles", "m01_error_metrics", "j10_neighbour_counts",
 ]
 
 

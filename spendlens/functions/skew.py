@@ -147,7 +147,9 @@ def value_bins(df: DataFrame, keys: list[str], value: str, bins: int = 256) -> D
         edged = join_back(df, df.groupBy(*keys).agg(at.alias("__edges")), keys)
     else:
         edged = df.withColumn("__edges", df.agg(at).scalar())
-    below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
+    # edges below the value, by halving: each step is taken if the edge it leads to is still below
+    steps = [1 << b for b in range(bins.bit_length() - 1, -1, -1)]
+    below = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.try_element_at("__edges", at + s) < F.col(value), at + s).otherwise(at))
     return edged.withColumn("__bin", F.coalesce(below, F.lit(0))).drop("__edges")
 
 

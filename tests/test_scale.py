@@ -156,3 +156,39 @@ def test_plans_have_no_cross_join(spark, query):
     from spendlens.plans import catalog
     plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tied_sequences_are_settled_without_spelling_them(spark):
+    """20,000 different sequences of five paths each, tied; the first ones share twelve touches, more than a round looks at."""
+    n, top = 20_000, 20
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy"))
+    digits = F.lpad(F.col("id").cast("string"), 5, "0")
+    shared = F.array(*[F.lit("same")] * 12)
+    channels = F.concat(shared, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("c"), F.substring(digits, i, F.lit(1)))))
+    path = F.concat_ws(":", "id", "copy")
+    placed = rows.select(F.lit(0).alias("client_id"), path.alias("path_id"), F.posexplode(channels).alias("pos", "channel")).withColumn("is_last", F.col("pos") == 16)
+    one = placed.where("path_id like '%:0'")
+    got = attribution.first_in_order(one.select("path_id").distinct(), one, top).collect()
+    assert sorted(int(r["path_id"].split(":")[0]) for r in got) == list(range(top))
+
+
+def test_beta_draws_have_their_moments(spark):
+    """Mean and variance of 4,000 draws each, small and large parameters; the same draws in other partitions."""
+    from spendlens.operators import budget
+
+    post = spark.createDataFrame([(a, b, k) for a, b in ((1.0, 1.0), (2.0, 5.0), (300.0, 40.0)) for k in range(4000)], "alpha double, beta double, k int")
+    draws = post.withColumn("p", budget.beta_draw(F.col("alpha"), F.col("beta"), budget.draw_key(F.lit(3), F.col("alpha"), F.col("k"))))
+    for r in draws.groupBy("alpha", "beta").agg(F.avg("p").alias("m"), F.var_samp("p").alias("v"), F.min("p").alias("low"), F.max("p").alias("high")).collect():
+        a, b = r["alpha"], r["beta"]
+        sd = math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        assert abs(r["m"] - a / (a + b)) < 5 * sd / math.sqrt(4000) and abs(r["v"] / sd**2 - 1) < 0.15 and 0 < r["low"] < r["high"] < 1
+    same(draws.select("alpha", "k", "p"), draws.repartition(13).select("alpha", "k", "p"))
+
+
+def test_silhouette_of_single_rows_and_clusters(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(1, 0, [0.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 1, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "user_id long, cluster int, f array<double>").select("user_id", "cluster", array_to_vector("f").alias("features"))
+    got = {r["user_id"]: r["silhouette"] for r in audience.silhouette_by_moments(df).collect()}
+    assert got == pytest.approx({1: 1 - 1 / 50, 2: 1 - 1 / 41, 3: 0.0})

@@ -7,7 +7,7 @@ from spendlens.operators import normalize as N
 from spendlens.operators import quality as Q
 from spendlens.plans.registry import query
 from spendlens.plans.views import PLATFORMS, pick
-from spendlens.session import shared_scratch
+from spendlens.session import shared_scratch, staged
 from spendlens.sources import landed as L
 from spendlens.sources import sinks as K
 
@@ -23,7 +23,8 @@ def norm_campaigns(t):
 
 
 def norm_metrics(t):
-    return N.unify_sources(*[N.normalize_metrics(t.raw_metrics(s), s, ["campaign_id", "day"]) for s in PLATFORMS])
+    daily = staged(t.ad_metrics, "daily")  # one scan and aggregation for the three platforms
+    return N.unify_sources(*[N.normalize_metrics(t.raw_metrics(s, daily), s, ["campaign_id", "day"]) for s in PLATFORMS])
 
 
 def json_lines(df):

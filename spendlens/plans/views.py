@@ -257,9 +257,9 @@ class Tables:
         s = F.col("l_suppkey") * 10 + F.col("l_linenumber")
         return self.raw("lineitem").select((s * 100 + F.col("l_partkey") % 20).alias("ad_id"), s.alias("ad_set_id")).distinct()
 
-    def raw_metrics(self, source: str) -> DataFrame:
-        """Daily rows of the platform's campaigns in its own field names and units."""
-        m = self.ad_metrics.where(F.col("campaign_id") % 3 == PLATFORMS.index(source))
+    def raw_metrics(self, source: str, daily: DataFrame | None = None) -> DataFrame:
+        """Daily rows of the platform's campaigns in its own field names and units; ``daily`` are all platforms' rows, if already at hand."""
+        m = (self.ad_metrics if daily is None else daily).where(F.col("campaign_id") % 3 == PLATFORMS.index(source))
         key = ["campaign_id", "day"]
         if source == "meta":
             action = lambda v: F.array(F.struct(F.lit("purchase").alias("action_type"), v.cast("string").alias("value")),

@@ -192,3 +192,10 @@ def test_silhouette_of_single_rows_and_clusters(spark):
     df = spark.createDataFrame(rows, "user_id long, cluster int, f array<double>").select("user_id", "cluster", array_to_vector("f").alias("features"))
     got = {r["user_id"]: r["silhouette"] for r in audience.silhouette_by_moments(df).collect()}
     assert got == pytest.approx({1: 1 - 1 / 50, 2: 1 - 1 / 41, 3: 0.0})
+
+
+def test_platforms_share_one_scan(spark):
+    """Daily totals are written once; the three branches read those and not the line items."""
+    from spendlens.plans import catalog
+    plan = catalog.QUERIES["n08_derive_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan parquet") == 3 and "Exchange" not in plan

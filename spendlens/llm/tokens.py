@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 LATIN = 0x250  # below, letter case and character classes are simple and fixed
-MEMO = 400_000  # words a process remembers at most, in two generations
+MEMO = 800_000  # words a process remembers at most, in two generations
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Byte-level vocabularies write a printable byte as itself and the others as the characters from 256 on.
-BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+OTHERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+BYTES = "".join(OTHERS.get(b, chr(b)) for b in range(256))
+RARE = "\x1c\x1d\x1e\x1f"  # white space to some splitters only
+BLANKS = [c for c in map(chr, range(256)) if c.isspace() and c not in RARE and c != " "]
 
 
 def _class(first: str) -> str:
@@ -52,10 +57,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         parts, lone = self._split(json.loads(description))
         self.lowered = parts == "dropped"
-        if parts == "dropped":
-            self.odd = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
-        else:
-            self.odd = re.compile("[\x1c-\x1fɐ-\U0010ffff]|\\s \\s|\\s \\Z| \\s\\Z")
+        self.wide = re.compile(f"[{RARE}{'İ' * self.lowered}ɐ-\U0010ffff]")
+        self.spaces = re.compile("\\s \\s|\\s \\Z| \\s\\Z")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.parts, self.lone, self.merge = re.compile(lone) if parts else None, Words(self._part), self.tokenizer.model.tokenize
         self.first, self.later = Words(self._word), Words(lambda w: self._word(" " + w))
 
@@ -79,18 +83,30 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """The merges alone: a part is split, and folded where need be, already."""
-        ids = [t.id for t in self.merge(part.encode().decode("latin-1").translate(BYTES))]
-        return np.array(ids, self.dtype).tobytes()
+        ids = [t.id for t in self.merge(codecs.charmap_decode(part.encode(), "strict", BYTES)[0])]
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         if word.isalpha() or word[:1] == " " and word[1:].isalpha():
-            return self.lone[word]
+            return self._part(word)
         return b"".join(map(self.lone.__getitem__, self.parts.findall(word)))
 
+    def _odd(self, text: str) -> bool:
+        """Whether a word of the text may not be cut out safely; most texts are settled by plain searches."""
+        try:
+            text.encode("latin-1")
+            wide = any(c in text for c in RARE)
+        except UnicodeEncodeError:
+            wide = self.wide.search(text) is not None
+        if wide or self.lowered:
+            return wide
+        doubtful = text[-2:-1] == " " or "  " in text or any(c in text and c + " " in text for c in BLANKS)
+        return doubtful and self.spaces.search(text) is not None
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.parts is None or self.odd.search(text):
+        if self.parts is None or self._odd(text):
             return self._plain(text)
         if self.lowered:
             return b"".join(map(self.first.__getitem__, text.lower().split()))

@@ -215,6 +215,60 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_passages(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("length", [5, 9, 14, 25, 39, 48, 70, 100, 180])
+def test_passages_with_all_edits_allowed(length):
+    """Copies with a fifth of their symbols edited, at every class of length, in words that the items do not share."""
+    rng = np.random.default_rng(length)
+    word = lambda low, high: "".join(map(chr, rng.integers(low, high, rng.integers(2, 9))))
+    items = [" ".join(word(97, 123) for _ in range(length))[:length - 1] + "e" for _ in range(80)]
+    symbols = decontaminate._symbols()
+    texts = []
+    for x in items:
+        copy = decontaminate._changed(decontaminate.normal(x, symbols).tolist(), length // 5, rng)
+        texts.append(f"{word(0x430, 0x450)} {''.join(map(chr, copy))} " + " ".join(word(0x430, 0x450) for _ in range(30)))
+    found = decontaminate._finder(list(enumerate(items)), 0.2, 4, 0.95)([*texts, *items, None, ""])
+    assert np.mean([i in got for i, got in enumerate(found[:80])]) >= 0.9
+    assert all(got[i][0] == 0 for i, got in enumerate(found[80:160])) and found[160:] == [{}, {}]
+    for got, text in zip(found, texts):
+        codes = decontaminate.normal(text, symbols)
+        for i, (d, n) in got.items():
+            assert n <= length and decontaminate.passage_distance(decontaminate.normal(items[i], symbols), codes)[0] <= d <= 0.2 * n
+
+
+def test_near_passages_are_possible():
+    """The masks of parts drop no aligned passage within the allowed distance, and most others."""
+    rng, symbols = np.random.default_rng(8), decontaminate._symbols()
+    items = [(i, rng.integers(97, 123, n).astype(np.int32)) for i, n in enumerate([40, 63, 64, 65, 128, 129, 300] * 8)]
+    index = decontaminate.Index(items, 0.2, 0.95, 1, False)
+    copies = [np.array(decontaminate._changed(c.tolist(), len(c) // 5, rng), np.int32) for _, c in items]
+    codes, base = decontaminate._joined(copies)
+    assert index.possible(np.stack((np.arange(len(items)), base, base), 1), codes).all()
+    strange = np.stack((np.arange(len(items)), np.roll(base, 3), np.roll(base, 3)), 1)
+    assert index.possible(strange, codes).mean() < 0.1
+    assert len(index.possible(np.zeros((0, 3), np.int64), codes)) == 0
+
+
+def test_passages_against_brute_force(spark, docs):
+    """Every (document, item) within the allowed distance, items cut to many lengths, is told from all others."""
+    rng, symbols = np.random.default_rng(6), decontaminate._symbols()
+    items = [(int(i), t[:n]) for (i, t), n in zip(sorted(map(tuple, spark.read.parquet(f"{SF}/benchmark.parquet").collect())), [6, 12, 20, 33, 45, 60, 90, 150] * 9)]
+    texts = [(d, t) for d, t in docs.where("doc_id < 40").select("doc_id", "text").collect()]
+    for i, x in items:
+        copy = decontaminate._changed(decontaminate.normal(x, symbols).tolist(), int(0.2 * rng.random() * len(x)), rng)
+        texts.append((5000 + i, "Some words before " + "".join(map(chr, copy)) + " and after"))
+    found = decontaminate.find_passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
+    want, plain = {}, {i: decontaminate.normal(x, symbols) for i, x in items}
+    for d, t in texts:
+        codes = decontaminate.normal(t, symbols)
+        for i, c in plain.items():
+            n, _ = decontaminate.passage_distance(c, codes)
+            if len(c) and 5 * n <= len(c):
+                want[d, i] = n
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.95 * len(want) and {k for k, n in want.items() if n == 0 and len(plain[k[1]]) >= 5} <= set(got)
+
+
 def brute_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):

@@ -214,14 +214,14 @@ select t.rule_id, t.user_id, min(t.event_id) as event_id from trig t join f on t
 @query("x13_alert_stream", "", fired_sql(TRIG))
 def _(t):
     stream = L.evaluate_rules(contexts(released(t)))
-    return W.collect_append(S.alert_stream(stream, ["rule_id", "user_id"]), "alerts").where("event_id >= 0")
+    return W.collect_append(S.alert_stream(stream, ["rule_id", "user_id"]), "alerts", S.STORE).where("event_id >= 0")
 
 
 @query("x14_changes_stream", "", """
 select user_id, event_id from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as prev from events) where event_type is distinct from prev""")
 def _(t):
     rows = released(t).raw("events")
-    return W.collect_append(S.changes_stream(rows, "user_id", ["user_id", "event_type"]), "changes").where("event_id >= 0").select("user_id", "event_id")
+    return W.collect_append(S.changes_stream(rows, "user_id", ["user_id", "event_type"]), "changes", S.STORE).where("event_id >= 0").select("user_id", "event_id")
 
 
 @query("s12_read_event_bus", "webhooks", "select source, count(*) as events from webhooks group by 1")

@@ -1,39 +1,87 @@
 """Keyed state: alert cooldown and change detection over streams.
 
-State per key is small: the last fired time or checksum, and the rows the watermark has not
-passed yet.  Rows leave in event-time order once it has, so file order does not matter.
+Rows wait until the watermark has passed them, in slices of event time: a map state of the key holds a slice's
+rows, an event-time timer at the slice's end releases them, earliest slice first, so file order does not
+matter.  A value state holds the last fired time or checksum.  What meets in memory is one slice of one key.
+The state lives in the state store that keyed timers need (``STORE``); ``windows.run_append`` asks for it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from spendlens.functions.expr import epoch_us
 from spendlens.operators.quality import checksum
 
 c = F.col
-NEVER = -(2**62)
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLICE_MS = 1000
+
+
+class InOrder(StatefulProcessor):
+    """Feeds a key's rows to ``decide(last, row) -> (last, wanted)`` in the order of (us, event_id).
+
+    ``emit(key, row)`` names the columns of a wanted row.  Rows of a slice are released once the
+    watermark has passed its end; rows that come after the watermark are dropped by the stream itself.
+    """
+
+    def __init__(self, row: str, last: str, decide: Callable, emit: Callable, slice_ms: int = SLICE_MS):
+        self.row, self.last_type, self.decide, self.emit, self.slice_ms = row, last, decide, emit, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", f"value {self.last_type}")
+        self.waiting = handle.getMapState("waiting", "until long", f"rows array<struct<{self.row}>>")
+
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        names = [part.split(":")[0].strip() for part in self.row.split(",")]
+        slices: dict[int, list[tuple]] = {}
+        for row in rows:
+            until = (row["us"] // 1000 // self.slice_ms + 1) * self.slice_ms
+            slices.setdefault(until, []).append(tuple(row[n] for n in names))
+        for until, new in slices.items():
+            if self.waiting.containsKey((until,)):
+                new = [tuple(r) for r in self.waiting.getValue((until,))[0]] + new
+            else:
+                self.handle.registerTimer(until)
+            self.waiting.updateValue((until,), (new,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        before = self.last.get()
+        last = first = None if before is None else before[0]
+        out = []
+        for row in sorted((tuple(r) for r in self.waiting.getValue((until,))[0]), key=lambda r: r[:2]):
+            last, wanted = self.decide(last, row)
+            if wanted:
+                out.append(Row(**self.emit(key, row)))
+        if last != first or before is None:
+            self.last.update((last,))
+        self.waiting.removeKey((until,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
 
 
-def _release(pdfs, state: GroupState, order: list[str]) -> tuple[list, list, int | str | None, int]:
-    """(rows behind the watermark in order, rows that wait, the stored value, the watermark)."""
-    value, pending = (state.get if state.exists else (None, []))
-    rows = [list(r) for r in pending]
-    for pdf in pdfs:
-        rows += pdf[order].to_numpy(dtype=object).tolist()
-    mark = state.getCurrentWatermarkMs() * 1000
-    ready = sorted(r for r in rows if r[0] <= mark)
-    wait = [r for r in rows if r[0] > mark]
-    return ready, wait, value, mark
+def in_order(rows: DataFrame, keys: list[str], row: str, last: str, decide: Callable, emit: Callable, schema: StructType | str) -> DataFrame:
+    """The stream's rows (keys, us, event_id, ...; watermarked) through ``InOrder``, key by key."""
+    return rows.groupBy(*keys).transformWithState(InOrder(row, last, decide, emit), schema, "Append", "EventTime")
 
 
-def _keep(state: GroupState, value, wait, mark: int) -> None:
-    state.update((value, [tuple(r) for r in wait]))
-    if wait:
-        state.setTimeoutTimestamp(max(min(r[0] for r in wait), mark + 1000) // 1000 + 1)
+def _fires(fired: int | None, row: tuple) -> tuple[int | None, bool]:
+    us, _, cool = row
+    return (us, True) if fired is None or us - fired >= cool * 60_000_000 else (fired, False)
+
+
+def _changes(seen: str | None, row: tuple) -> tuple[str, bool]:
+    return row[2], row[2] != seen
 
 
 def alert_stream(triggers: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -42,42 +90,17 @@ def alert_stream(triggers: DataFrame, keys: list[str], late: str = "1 hour") ->
     The default scope for scale is one cooldown per rule and entity: a rule alone would be one
     state key, and one task, for all of its triggers.
     """
-    rows = triggers.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = triggers.where(c("ts").isNotNull()).withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late)
     rows = rows.select(*keys, "ts", epoch_us("ts").alias("us"), "event_id", c("cooldown_minutes").cast("long").alias("cool"))
-    schema = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key_schema = ", ".join(f"{k} {schema[k]}" for k in keys)
-
-    def step(key, pdfs, state: GroupState):
-        ready, wait, fired, mark = _release(pdfs, state, ["us", "event_id", "cool"])
-        fired, out = (NEVER if fired is None else fired), []
-        for us, event_id, cool in ready:
-            if us - fired >= cool * 60_000_000:
-                fired = us
-                out.append((*key, event_id))
-        _keep(state, fired, wait, mark)
-        yield pd.DataFrame(out, columns=[*keys, "event_id"])
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        step, f"{key_schema}, event_id {schema['event_id']}",
-        f"fired long, pending array<struct<us: long, event_id: {schema['event_id']}, cool: long>>", "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "event_id"])
+    return in_order(rows, keys, f"us: long, event_id: {kinds['event_id']}, cool: long", "long", _fires, lambda key, row: {**dict(zip(keys, key)), "event_id": row[1]}, schema)
 
 
 def changes_stream(records: DataFrame, key: str, payload: list[str], late: str = "1 hour") -> DataFrame:
     """Rows whose checksum differs from the last one seen for the id."""
-    rows = records.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = records.where(c("ts").isNotNull()).withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late)
     rows = rows.select(key, "ts", epoch_us("ts").alias("us"), "event_id", checksum(payload).alias("checksum"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def step(k, pdfs, state: GroupState):
-        ready, wait, seen, mark = _release(pdfs, state, ["us", "event_id", "checksum"])
-        out = []
-        for _, event_id, check in ready:
-            if check != seen:
-                seen = check
-                out.append((k[0], event_id, check))
-        _keep(state, seen, wait, mark)
-        yield pd.DataFrame(out, columns=[key, "event_id", "checksum"])
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, event_id {kinds['event_id']}, checksum string",
-        f"seen string, pending array<struct<us: long, event_id: {kinds['event_id']}, checksum: string>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows, [key], f"us: long, event_id: {kinds['event_id']}, checksum: string", "string", _changes,
+                    lambda k, row: {key: k[0], "event_id": row[1], "checksum": row[2]}, f"{key} {kinds[key]}, event_id {kinds['event_id']}, checksum string")

@@ -55,9 +55,19 @@ def prediction_actual_stream(predictions: DataFrame, actuals: DataFrame, within:
     return p.join(a, on).select("model", "id", "prediction", "actual", "ts", "actual_ts")
 
 
-def run_append(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Everything available, then stop; exactly once through the checkpoint."""
-    q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def run_append(df: DataFrame, path: str, checkpoint: str, store: str | None = None) -> None:
+    """Everything available, then stop; exactly once through the checkpoint.
+
+    ``store`` names the state store of this query, as keyed timers need one; the session's own setting stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if store:
+        conf.set(name, store)
+    try:
+        q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
 
 
@@ -79,11 +89,11 @@ def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return last_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
-def collect_append(df: DataFrame, name: str) -> DataFrame:
+def collect_append(df: DataFrame, name: str, store: str | None = None) -> DataFrame:
     """Run an append stream into the shared folder and read the result."""
     spark = df.sparkSession
     path = shared_scratch(spark, name)
-    run_append(df, path, shared_scratch(spark, f"{name}-ckpt"))
+    run_append(df, path, shared_scratch(spark, f"{name}-ckpt"), store)
     return spark.read.parquet(path)
 
 

@@ -239,7 +239,25 @@ def test_alert_stream_equals_batch(spark, tmp_path, ordered):
         make(part).coalesce(1).write.mode("append").parquet(landing)
     late = "1 hour" if ordered else "48 hours"
     stream = spark.readStream.schema(make(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    windows.run_append(stateful.alert_stream(stream, ["rule_id", "user_id"], late), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    windows.run_append(stateful.alert_stream(stream, ["rule_id", "user_id"], late), str(tmp_path / "out"), str(tmp_path / "ckpt"), stateful.STORE)
     got = sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).where("event_id >= 0").collect())
     want = sorted(r["event_id"] for r in alerts.cooldown(make(rows), ["rule_id", "user_id"], tie="event_id").collect())
     assert got == want
+
+
+def test_changes_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped after every file: waiting rows, timers and the last checksum are those of the checkpoint."""
+    rows = [(1 + i % 2, "abc"[(i * i // 3) % 3], i, 1_700_000_000 + (i * 97) % 5000) for i in range(120)]
+    make = lambda part: spark.createDataFrame(part, "id long, v string, event_id long, s long").select("id", "v", "event_id", F.timestamp_seconds("s").alias("ts"))
+    landing, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for part in (rows[:50], rows[50:], [(k, "z", -k, 1_700_900_000) for k in (1, 2)], [(k, "z", -9, 1_700_000_001) for k in (1, 2)]):
+        make(part).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(make(rows[:1]).schema).parquet(landing)
+        windows.run_append(stateful.changes_stream(stream, "id", ["v"], "48 hours"), out, ckpt, stateful.STORE)
+    got = sorted((r["id"], r["event_id"]) for r in spark.read.parquet(out).collect() if r["event_id"] >= 0)
+    want, last = [], {}
+    for k, v, e, _ in sorted(rows, key=lambda r: (r[3], r[2])):
+        if last.get(k) != v:
+            want.append((k, e))
+        last[k] = v
+    assert got == sorted(want)

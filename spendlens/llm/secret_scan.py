@@ -1,12 +1,12 @@
 """Secrets in texts: fixed patterns, and character Markov models for strings no pattern names.
 
-Only DataFrame operations.  Two first-order models, of random strings and of ordinary words, give every pair of
+Only DataFrame operations.  Two first-order models, of random strings and of ordinary words and identifiers, give every pair of
 neighbouring characters a log-likelihood ratio; a long token whose ratios add up is a secret.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.skew import one_row
@@ -23,6 +23,7 @@ LEAST = 12  # characters of a token that is scored
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
+BACK = 0.05  # weight of the characters' own shares in both models
 
 
 def _text() -> Column:
@@ -71,39 +72,92 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return pair.groupBy((_place(F.col("p.a")) * SIDE + _place(F.col("p.b"))).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_markov(docs: DataFrame, random_rows: int = 400_000, ordinary_rows: int = 4_000, known: DataFrame | None = None) -> DataFrame:
+def _drawn(docs: DataFrame, n: int) -> DataFrame:
+    """n labelled random strings w of 16 to 40 characters, out of digests of counters: letters and digits, every fourth with + and /."""
+    digest = lambda salt: F.base64(F.unhex(F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)))
+    both = F.concat(digest("a"), digest("b"))
+    return docs.sparkSession.range(n).select(F.when(F.col("id") % 4 == 0, F.regexp_replace(both, "=", "")).otherwise(
+        F.regexp_replace(both, "[+/=]", "")).alias("s"), "id").select(F.col("s").substr(F.lit(1), (F.lit(16) + F.col("id") % 25).cast("int")).alias("w"))
+
+
+def _identifiers(words: Column) -> Column:
+    """Labelled ordinary identifiers, one of every three words: names, paths, settings, numbers, dates, UUIDs, rules."""
+    def written_as(a: Column, b: Column, d: Column, number: Column) -> Column:
+        la, lb, ld, digest = F.lower(a), F.lower(b), F.lower(d), F.md5(F.concat(a, b, d))
+        day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (number % 20000).cast("int")), "yyyy-MM-dd")
+        forms = [
+            F.concat(la, F.initcap(lb), F.initcap(ld)),
+            F.concat_ws("_", la, lb, ld),
+            F.concat(F.initcap(la), F.initcap(lb), F.initcap(ld)),
+            F.concat_ws("/", F.lit(""), la, lb, ld),
+            F.upper(F.concat_ws("_", a, b, d)),
+            F.concat_ws("-", la, lb, ld),
+            F.concat_ws("=", F.concat_ws("_", la, lb), (number % 100000).cast("string")),
+            F.concat(la, F.initcap(lb), (number % 1000).cast("string")),
+            F.concat_ws("-", *[F.substring(digest, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+            F.concat(number.cast("string"), F.crc32(b).cast("string")),
+            F.concat(F.upper(F.substring(a, 1, 3)), F.initcap(lb), F.initcap(ld)),
+            F.concat(la, F.initcap(lb), F.upper(F.substring(d, 1, 3))),
+            F.concat_ws("_", F.concat(la, (number % 10).cast("string")), F.concat(lb, (number % 100).cast("string")), ld),
+            F.concat_ws("-", la, day),
+            F.concat_ws("/", F.lit(""), la, F.regexp_replace(day, "-", "/"), F.concat_ws("-", lb, ld)),
+            F.repeat(F.substring(F.lit(ALPHABET), (number % len(ALPHABET)).cast("int") + 1, F.lit(1)), 16),
+        ]
+        which, told = F.pmod(number, F.lit(len(forms))), F.lit(None).cast("string")
+        for i in reversed(range(len(forms))):  # only the branch that is taken is computed
+            told = F.when(which == i, forms[i]).otherwise(told)
+        return told
+
+    def one(i: Column) -> Column:
+        a, b, d = (F.element_at(words, (3 * i + k).cast("int")) for k in (1, 2, 3))
+        return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), d.alias("d"), F.crc32(F.concat(a, b, d)).alias("n"))),
+                           lambda x: written_as(x["a"], x["b"], x["d"], x["n"]))[0]
+
+    triples = F.floor(F.size(words) / 3)
+    return F.when(triples > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), triples - 1), one)).otherwise(F.array().cast("array<string>"))
+
+
+def fit_markov(docs: DataFrame, random_rows: int = 400_000, ordinary_rows: int = 4_000, known: DataFrame | None = None, drawn: int = 4_000) -> DataFrame:
     """One row: ratio, the log-likelihood ratios of all character pairs, by first and second place.
 
-    Labelled samples: values under a fixed pattern are random strings, the words around them ordinary
-    ones.  They come from two hashed samples of whole documents, about ``random_rows`` and ``ordinary_rows`` at most;
-    ``known`` (w, random) adds labelled strings of one's own.  Without any sample all ratios are 0.
+    Labelled samples.  Random: values under the fixed patterns that name a secret, and ``drawn`` strings of hashed counters.
+    Ordinary: the words around them, and identifiers that ``_identifiers`` makes of neighbouring words.
+    They come from two hashed samples of whole documents, about ``random_rows`` and ``ordinary_rows`` at most;
+    ``known`` (w, random) adds labelled strings of one's own.  Without ordinary samples the ratios come from smoothing
+    alone: the drawn strings still tell how random ones look.
     """
     docs = docs.select("doc_id", _text().alias("text"))
     n = docs.count()
     sample = docs.where(kept_share(min(1.0, random_rows / max(1, n)), "doc_id")).where(
-        F.lower("text").rlike("passw|secret|token|api") | F.col("text").contains("AKIA") | F.col("text").rlike(HEX))
-    # the values themselves: what follows the name, keys, hexadecimal strings
-    values = F.concat(*[F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))])
-    random = sample.select(F.explode(values).alias("w")).where(F.length("w") >= 16)
+        F.lower("text").rlike("passw|secret|token|api") | F.col("text").contains("AKIA"))
+    # the values themselves: what follows the name, and keys; purely hexadecimal ones teach nothing, as ordinary prints look alike
+    values = F.concat(*[F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0))])
+    random = sample.select(F.explode(values).alias("w")).where((F.length("w") >= 16) & ~F.col("w").rlike("^[0-9a-f]+$")).unionByName(_drawn(docs, drawn))
     ordinary = docs.where(kept_share(min(1.0, ordinary_rows / max(1, n)), "doc_id", F.lit(1)))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = ordinary.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("w"))
+    ordinary = ordinary.select(clean.alias("clean"))
+    words = ordinary.select(F.explode(F.regexp_extract_all("clean", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("w"))
+    letters = ordinary.select(F.regexp_extract_all("clean", F.lit(r"[A-Za-z]{2,}"), F.lit(0)).alias("a"))
+    words = words.unionByName(letters.select(F.explode(_identifiers(F.col("a"))).alias("w")))
     if known is not None:
         random, words = random.unionByName(known.where("random").select("w")), words.unionByName(known.where("not random").select("w"))
     both = _pairs(random).withColumnRenamed("n", "r").join(_pairs(words).withColumnRenamed("n", "o"), "pair", "full")
     grid = docs.sparkSession.range(SIDE * SIDE).withColumnRenamed("id", "pair").join(both, "pair", "left").select(
-        "pair", F.expr(f"pair div {SIDE}").alias("a"), (F.coalesce("r", F.lit(0)) + 0.5).alias("r"), (F.coalesce("o", F.lit(0)) + 0.5).alias("o"))
-    rows = grid.groupBy("a").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
-    ratio = F.log((F.col("r") / F.col("rs")) / (F.col("o") / F.col("os")))
-    every = grid.join(rows, "a").select(F.struct("pair", ratio.alias("x")).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("p"))
+        "pair", F.expr(f"pair div {SIDE}").alias("a"), (F.col("pair") % SIDE).alias("b"), (F.coalesce("r", F.lit(0)) + 0.5).alias("r"), (F.coalesce("o", F.lit(0)) + 0.5).alias("o"))
+    # a pair's share after its first character, interpolated with its second one's share: pairs not seen stay possible (a grid of fixed size)
+    of = lambda n, *by: F.sum(n).over(Window.partitionBy(*by))
+    seen = lambda n: (1 - BACK) * F.col(n) / of(n, "a") + BACK * of(n, "b") / of(n, F.lit(0))
+    ratio = F.log(seen("r") / seen("o"))
+    every = grid.select(F.struct("pair", ratio.alias("x")).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("p"))
     return staged(every.select(F.transform("p", lambda p: p["x"]).alias("ratio")), "markov")
 
 
-def scan(docs: DataFrame, model: DataFrame, least: float = 10.0) -> DataFrame:
+def scan(docs: DataFrame, model: DataFrame, least: float = 10.0, rate: float = 0.8) -> DataFrame:
     """docs with base and spans, arrays of (s, e, k): the fixed patterns' spans, and all spans.
 
-    The models add tokens of ``LEAST`` characters or more whose ratios sum to ``least`` or more and
-    that touch no base span; their kind is random.  A null text counts as empty and has none.
+    The models add tokens of ``LEAST`` characters or more whose ratios sum to ``least`` or more, and to ``rate`` a pair
+    or more, and that touch no base span; their kind is random.  The rate keeps long runs of ordinary words that the
+    corpus lacks: each odd pair adds a little, but most pairs are ordinary.  A null text counts as empty and has none.
     Columns of these names in docs are replaced.
     """
     docs = docs.drop("base", "spans", "__tokens", "__ratio")
@@ -124,7 +178,7 @@ def scan(docs: DataFrame, model: DataFrame, least: float = 10.0) -> DataFrame:
     def odd(t: Column) -> Column:
         w = text.substr(t["s"] + 1, t["e"] - t["s"])
         free = ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-        return free & (total(w) >= least)
+        return free & (total(w) >= F.greatest(F.lit(least), rate * (t["e"] - t["s"] - 1)))
 
     spans = F.array_sort(F.concat("base", F.filter("__tokens", odd)), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))
     return found.select(*docs.columns, "base", F.when(F.size("__tokens") > 0, spans).otherwise(F.col("base")).alias("spans"))

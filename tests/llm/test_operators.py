@@ -319,6 +319,34 @@ def test_secrets_short_or_of_letters(spark):
     assert all(got[len(secrets) + i] == "" for i in range(len(plain)))
 
 
+def test_secrets_against_identifiers(spark):
+    """Held-out labelled strings: random ones of 12 to 40 characters are found, identifiers, paths, numbers, prints and rules stay; sums recomputed."""
+    rng = np.random.default_rng(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = {"letters and digits": letters + "0123456789", "with signs": letters + "0123456789+/", "letters": letters, "one case": letters[26:] + "0123456789"}
+    rows = [(k, "".join(rng.choice(list(a), int(rng.integers(12, 41))))) for k, a in kinds.items() for _ in range(200)]
+    plain = ("getElementsByTagName /usr/local/lib/python user_id=12345 addEventListener max_retry_count MAX_BUFFER_SIZE /home/user/projects/readme "
+             "2024-01-17-release-notes createTextNode stringBuilder128 kubernetes-dashboard session_timeout=3600 file-2023-11-30-backup "
+             "utf8_general_ci IllegalArgumentException /var/log/2024/01/17/access 123e4567-e89b-12d3-a456-426614174000 4785380592391139").split()
+    plain += ["A" * 24, "=" * 20, "-" * 30, "_" * 16]
+    rows += [("plain", w) for w in plain]
+    rows += [("plain", "-".join("".join(rng.choice(list("0123456789abcdef"), n)) for n in (8, 4, 4, 4, 12))) for _ in range(100)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secret_scan.fit_markov(docs)
+    texts = spark.createDataFrame([(i, k, w, f"the key {w} end") for i, (k, w) in enumerate(rows)], "doc_id long, kind string, w string, text string")
+    ratio = model.first()["ratio"]
+    hits = {}
+    for r in secret_scan.scan(texts, model).select("kind", "w", F.exists("spans", lambda x: x["k"] == 3).alias("hit")).collect():
+        at = [secret_scan.ALPHABET.index(x) + 1 for x in r["w"]]
+        total = sum(ratio[a * secret_scan.SIDE + b] for a, b in zip(at, at[1:]))
+        least = max(10.0, 0.8 * (len(at) - 1))
+        assert abs(total - least) < 1e-6 or r["hit"] == (total >= least)
+        hits.setdefault(r["kind"], []).append(r["hit"])
+    assert not any(hits.pop("plain"))
+    assert np.mean(hits.pop("one case")) >= 0.88  # lower case and digits, least unlike words
+    assert all(np.mean(h) >= 0.95 for h in hits.values()), hits
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_tokenizer(rows, name):
     path = public_tokenizers.path(name)

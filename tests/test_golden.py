@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import hmac
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +262,56 @@ def test_changes_stream_goes_on_from_its_checkpoint(spark, tmp_path):
             want.append((k, e))
         last[k] = v
     assert got == sorted(want)
+
+
+class StateCalls:
+    """Value, map state and timers of one key held in memory; every call is counted."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def __getattr__(self, name):
+        return {"getValueState": lambda *_: StateOfCalls(self), "getMapState": lambda *_: StateOfCalls(self),
+                "registerTimer": lambda t: self.count(self.timers.add(t)), "deleteTimer": lambda t: self.count(self.timers.discard(t))}[name]
+
+    def count(self, result=None):
+        self.calls += 1
+        return result
+
+
+class StateOfCalls:
+    def __init__(self, of):
+        self.of, self.rows = of, {}
+
+    get = lambda self: self.of.count(self.rows.get(()))
+    update = lambda self, v: self.of.count(self.rows.update({(): v}))
+    clear = lambda self: self.of.count(self.rows.clear())
+    containsKey = lambda self, k: self.of.count(k in self.rows)
+    getValue = lambda self, k: self.of.count(self.rows[k])
+    updateValue = lambda self, k, v: self.of.count(self.rows.update({k: v}))
+    removeKey = lambda self, k: self.of.count(self.rows.pop(k))
+
+
+def test_keyed_state_is_touched_by_the_piece(spark):
+    """Thousands of slices of one key in three blocks of mixed order, released in two steps."""
+    handle, n = StateCalls(), 6000
+    keyed = stateful.InOrder("us: long, event_id: long, checksum: string", "string", stateful._changes, ["id"], ["event_id"])
+    keyed.init(handle)
+    rows = [{"id": 1, "us": (i * 1511 % n) * 3_000_000, "event_id": i, "checksum": "abc"[i * i // 3 % 3]} for i in range(n)]
+    for part in (rows[:2500], rows[2500:5990], rows[5990:]):
+        assert list(keyed.handleInputRows((1,), iter(part), None)) == []
+    got = []
+    for mark in (n // 2 * 3000 + 1, 2**41):
+        wait = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        for t in sorted(t for t in handle.timers if t <= mark):
+            for out in keyed.handleExpiredTimer((1,), wait, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)):
+                got += out["event_id"]
+            handle.timers.discard(t)
+        assert all(rows[i]["us"] // 1_000_000 * 1000 < mark for i in got)
+    want, last = [], None
+    for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
+        if r["checksum"] != last:
+            want.append(r["event_id"])
+        last = r["checksum"]
+    assert got == want and not handle.timers
+    assert handle.calls < 100

@@ -19,35 +19,46 @@ def _unit(*keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def chunks(nodes: DataFrame, chunk: int) -> DataFrame:
-    """(node, grp, unit, weight) for the nodes of groups of two or more: a unit is about ``chunk`` nodes of one group."""
+def links(nodes: DataFrame, chunk: int) -> DataFrame:
+    """(node, parent, depth, weight, near, group_weight) for the nodes (node, grp, weight) of groups of two or more.
+
+    The links of a group form a tree: its first node, below it the first nodes of parts of about ``chunk`` nodes, below
+    each the others of its part; so no node has many neighbours, however large the group.  ``near`` is the weight below a node.
+    """
     sizes = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     part = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
-    return nodes.join(sizes, "grp").select("node", "grp", F.xxhash64("grp", part).alias("unit"), "weight")
+    dealt = staged(nodes.join(sizes, "grp").withColumn("part", part), "dealt")
+    hubs = dealt.groupBy("grp", "part").agg(F.min("node").alias("hub"), F.sum("weight").alias("part_weight"))
+    tops = hubs.groupBy("grp").agg(F.min("hub").alias("top"), F.sum("part_weight").alias("group_weight"))
+    at = dealt.join(hubs.join(tops, "grp"), ["grp", "part"])
+    node, top = F.col("node") == F.col("hub"), F.col("node") == F.col("top")
+    return at.select("node", "grp", F.when(node, F.col("top")).otherwise(F.col("hub")).alias("parent"), F.when(top, 0).when(node | (F.col("hub") == F.col("top")), 1).otherwise(2).alias("depth"),
+                     "weight", F.when(node, F.col("part_weight")).otherwise(F.col("weight")).alias("near"), "group_weight")
 
 
-def propagate(units: DataFrame, total: int, shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
-    """(unit, label, weight) for all units (unit, grp, weight), labels 0 to shards - 1; a unit moves whole.
+def propagate(nodes: DataFrame, total: int, shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
+    """(node, label, weight) for all linked nodes (as of ``links``), labels 0 to shards - 1; every node starts with a label of its own and moves by its own.
 
-    The units of a group hang on its first.  Each round a unit weighs its neighbours' labels: the first counts twice, a unit's
-    own label one and a half times, or three quarters for the first.  Odd rounds move the firsts to the majority, even rounds
-    the others, so that two neighbours never swap.  A shard takes in what its quota, an even share of ``total`` and ``slack``,
-    has room for; rows without a group are not counted, as they go where room is left.  Groups that fit a shard come
-    first and are let in or kept out whole; only larger ones are thinned unit by unit.
+    Each round a node weighs its neighbours' labels: one below it counts for all that it stands for, the one above twice all that the node
+    itself stands for; a node's own label counts one and a half times, or three quarters at the top.  Odd rounds move the nodes
+    of even depth to the majority, even rounds the others, so that two neighbours never swap.  A shard takes in what its
+    quota, an even share of ``total`` and ``slack``, has room for; rows without a group are not counted, as they go where room is
+    left.  Of groups that fit a shard those who wish for one shard come first and are let in or kept out together; only larger ones are thinned node by node.
     """
     quota = total / shards * (1 + slack)
-    tops = units.groupBy("grp").agg(F.min("unit").alias("top"), F.sum("weight").alias("group_weight"))
-    start = F.pmod(F.xxhash64(F.lit("start"), "unit"), F.lit(shards)).cast("int")
-    state = staged(units.join(tops, "grp").select("unit", "top", "weight", (F.col("group_weight") > quota).alias("large"), start.alias("label")), "labels")
-    links = staged(state.where("unit <> top").select(F.col("unit").alias("a"), F.col("top").alias("b")), "links")
-    both = links.withColumn("w", F.lit(2.0)).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w")))
+    start = F.pmod(F.xxhash64(F.lit("start"), "node"), F.lit(shards)).cast("int")
+    state = staged(nodes.select("node", "grp", "depth", "weight", (F.col("group_weight") > quota).alias("large"), start.alias("label")), "labels")
+    down = nodes.where("depth > 0").select(F.col("node").alias("a"), F.col("parent").alias("b"), (F.col("near") * 2.0).alias("w"))
+    up = nodes.where("depth > 0").select(F.col("parent").alias("a"), F.col("node").alias("b"), (F.col("near") * 1.0).alias("w"))
+    both = staged(down.unionByName(up), "links")
+    quiet = 0
     for r in range(1, rounds + 1):
-        heard = both.join(state.select(F.col("unit").alias("b"), "label"), "b").select(F.col("a").alias("unit"), "label", "w")
-        own = state.select("unit", "label", F.when(F.col("unit") == F.col("top"), 0.75).otherwise(1.5).alias("w"))
-        votes = heard.unionByName(own).groupBy("unit", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("unit").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
-        turn = (F.col("unit") == F.col("top")) == F.lit(r % 2 == 1)
-        wish = staged(state.join(best, "unit").withColumn("best", F.when(turn, F.col("best")).otherwise(F.col("label"))), "wishes")
+        heard = both.join(state.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "w")
+        own = state.select("node", "label", (F.col("weight") * F.when(F.col("depth") == 0, 0.75).otherwise(1.5)).alias("w"))
+        votes = heard.unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
+        turn = (F.col("depth") % 2 == 0) == F.lit(r % 2 == 1)
+        wish = staged(state.join(best, "node").withColumn("best", F.when(turn, F.col("best")).otherwise(F.col("label"))), "wishes")
         flow = wish.groupBy("label", "best", "large").agg(F.sum("weight").alias("n")).collect()
         open_to = []
         for s in range(shards):
@@ -57,19 +68,20 @@ def propagate(units: DataFrame, total: int, shards: int, rounds: int = 6, slack:
                 open_to.append(min(1.0, max(0.0, room / come)) if come else 0.0)
                 room -= come
         share = F.array(*[F.lit(x) for x in open_to])[F.col("best") * 2 + F.col("large").cast("int")]
-        moves = (F.col("best") != F.col("label")) & (_unit(F.lit(r), F.when(F.col("large"), F.col("unit")).otherwise(F.col("top"))) < share)
+        moves = (F.col("best") != F.col("label")) & (_unit(F.lit(r), F.when(F.col("large"), F.col("node").cast("string")).otherwise(F.col("grp"))) < share)
         state = staged(wish.withColumn("label", F.when(moves, F.col("best")).otherwise(F.col("label"))).drop("best"), "labels")
-        if not any(x["label"] != x["best"] for x in flow) and r > 1:
+        quiet = 0 if any(x["label"] != x["best"] for x in flow) else quiet + 1
+        if quiet == 2:
             break
-    return state.select("unit", "label", "weight")
+    return state.select("node", "label", "weight")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6, chunk: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard and slot of every row of docs.
 
     Equal texts are linked (null texts among themselves) and stay together as far as even shards
-    allow; the law is ``rows``: row counts differ by one at most.  A group larger than ``chunk``, or than an eighth of a shard, moves
-    chunk by chunk, and is parted only where a shard has no room for it.  A null text has no crc and size 1; repeated rows get a slot each; an empty
+    allow; the law is ``rows``: row counts differ by one at most.  Links fan out to about ``chunk`` documents, at most an eighth
+    of a shard; a group is parted only where a shard has no room for it.  A null text has no crc and size 1; repeated rows get a slot each; an empty
     table gives no rows.
     """
     rows = docs.select(
@@ -79,9 +91,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6, chunk: in
     nodes = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("weight"))
     n_rows = rows.count()
     chunk = max(1, min(chunk, n_rows // (8 * shards)))
-    member = staged(chunks(nodes, chunk), "members")
-    state = propagate(member.groupBy("unit", "grp").agg(F.sum("weight").alias("weight")), n_rows, shards, rounds)
-    labels = member.select("node", "unit").join(state.select("unit", "label"), "unit").select("node", "label")
+    state = propagate(staged(links(nodes, chunk), "members"), n_rows, shards, rounds)
+    labels = state.select("node", "label")
     # rows without a group are dealt by the room that is left
     taken = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     left = [max(0.0, n_rows / shards - taken.get(s, 0)) for s in range(shards)]

@@ -128,6 +128,19 @@ def test_sharding_keeps_large_groups_together(spark):
     assert len(spread) == 12 and all(r["n"] == 1 for r in spread), spread
 
 
+def test_sharding_moves_every_document_by_its_own_votes(spark):
+    """Documents of a group, small or large, start apart and agree after the rounds; their links form a tree of few links a node."""
+    nodes = spark.createDataFrame([(i, f"pair {i // 2}", 1) for i in range(200)] + [(1000 + i, "hot", 1) for i in range(300)], "node long, grp string, weight long")
+    tree = sharding.links(nodes, 20)
+    got = {r["node"]: r for r in tree.collect()}
+    assert len(got) == 500 and all(got[r["parent"]]["grp"] == r["grp"] and got[r["parent"]]["depth"] == max(0, r["depth"] - 1) for r in got.values())
+    assert max(Counter(r["parent"] for r in got.values()).values()) < 60
+    started = sharding.propagate(tree, 8000, 8, rounds=0).collect()
+    assert len(started) == 500 and len({r["label"] for r in started if r["node"] >= 1000}) == 8
+    ended = {r["node"]: r["label"] for r in sharding.propagate(tree, 8000, 8).collect()}
+    assert all(len({ended[n] for n, r in got.items() if r["grp"] == g}) == 1 for g in {r["grp"] for r in got.values()})
+
+
 def brute_components(rows, percent=80):
     sets = []
     for _, t in rows:

@@ -24,6 +24,7 @@ from spendlens.session import staged
 
 MOST_PIVOTS = 512
 UNIT = 4096  # targets, and queries, that meet in one unit
+VISITS = 4096  # rows of one batch that sends queries to their cells
 SLACK = 1e-9
 
 
@@ -108,10 +109,14 @@ def _visits(queries: DataFrame, pivots: np.ndarray, cells: list, eps: float) ->
                 near = (d <= high + eps + slack) & (d >= low - eps - slack) & (d <= (d + slack).min(1)[:, None] + 2 * eps + slack)
                 inside = d + high + slack <= eps
                 q, cell = np.nonzero(near)
-                packed = np.array([r.astype("<f8").tobytes() for r in m], object)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(q)), pa.array([None if i else p for i, p in zip(inside[q, cell], packed[q])], pa.binary()),
-                     pa.array(cell, pa.int32()), pa.array(inside[q, cell])], names=["id", "packed", "cell", "inside"])
+                inside = inside[q, cell]
+                packed = pa.array([r.astype("<f8").tobytes() for r in m], pa.binary())
+                # a query may visit all cells: its copies go out in batches of bounded size
+                for at in range(0, len(q), VISITS):
+                    own, whole = q[at:at + VISITS], inside[at:at + VISITS]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0).take(pa.array(own)), packed.take(pa.array(own, mask=whole)), pa.array(cell[at:at + VISITS], pa.int32()), pa.array(whole)],
+                        names=["id", "packed", "cell", "inside"])
 
     return queries.select("id", "v").mapInArrow(run, "id long, packed binary, cell int, inside boolean")
 

@@ -1,6 +1,9 @@
 """Neighbours over whole vectors against brute force, in many dimensions, with copies, ties at the radius and odd vectors."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,17 @@ def test_terms_tied_at_the_cut(spark):
     got = {(r["creative_id"], r["term"]): (r["n"], round(r["weight"], 6)) for r in creative.tfidf(df, terms=3).collect()}
     idf = round(float(np.log(5 / 3)), 6)
     assert got == {(1, "aa"): (2, round(2 * float(np.log(5 / 3)), 6)), (2, "aa"): (1, idf), (1, "bb"): (1, idf), (2, "bb"): (1, idf), (1, "cc"): (1, idf), (4, "cc"): (1, idf)}
+
+
+def test_queries_that_visit_all_cells_go_out_in_bounded_batches():
+    """1,000 queries near each of 64 pivots: 64,000 rows, in batches of 4,096 at most."""
+    sent = SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))
+    queries = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sent), select=lambda *_: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    points = np.random.default_rng(3).standard_normal((1000, 8))
+    run = metric._visits(queries, points[:64], [{"cell": i, "low": 0.0, "high": 9.0} for i in range(64)], 9.0)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(list(points), pa.list_(pa.float64()))], names=["id", "v"])
+    out = list(run(iter([rows])))
+    assert max(b.num_rows for b in out) <= 4096
+    got = pa.Table.from_batches(out).to_pylist()
+    assert sorted((r["id"], r["cell"]) for r in got) == [(i, k) for i in range(1000) for k in range(64)]
+    assert all((r["packed"] is None) == r["inside"] and r["packed"] in (None, points[r["id"]].tobytes()) for r in got)

@@ -170,9 +170,16 @@ def batch_scoring(df: DataFrame) -> DataFrame:
     return predict(df).withColumn("recommendations", F.slice("recommendations", 1, 3))
 
 
-def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, n): tokens of two characters and more of every row's text, lower-cased."""
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
+def text_tokens(text: Column) -> Column:
+    """Tokens of two characters and more, lower-cased."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
+
+
+def term_counts(df: DataFrame, key: str, text: Column, only: list[str] | None = None) -> DataFrame:
+    """(key, term, n): tokens of every row's text, or those of the terms named."""
+    tokens = text_tokens(text)
+    if only is not None:
+        tokens = F.filter(tokens, lambda w: w.isin(only))
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,8 +189,13 @@ def vocabulary(counts: DataFrame, terms: int) -> DataFrame:
 
 
 def tfidf(df: DataFrame, key: str = "creative_id", terms: int = 100) -> DataFrame:
-    """(key, term, n, weight) for the most frequent terms over the full text; weight is n * ln((rows + 1) / (rows with the term + 1))."""
-    counts = staged(term_counts(df, key, full_text()), "terms")
+    """(key, term, n, weight) for the most frequent terms over the full text; weight is n * ln((rows + 1) / (rows with the term + 1)).
+
+    The terms are chosen first, by their totals alone, so that rows and terms meet for the chosen ones only.
+    """
+    totals = df.select(F.explode(text_tokens(full_text())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    frequent = [r["term"] for r in totals.orderBy(F.desc("total"), "term").limit(terms).collect()]
+    counts = staged(term_counts(df, key, full_text(), frequent), "terms")
     idf = F.log((df.select(F.count(F.lit(1)) + 1).scalar()).cast("double") / (F.col("documents") + 1).cast("double"))
     chosen = vocabulary(counts, terms).withColumn("idf", idf)
     return counts.join(chosen.select("term", "idf"), "term").select(key, "term", "n", (F.col("n") * F.col("idf")).alias("weight"))

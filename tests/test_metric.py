@@ -88,3 +88,9 @@ def test_queries_that_visit_all_cells_go_out_in_bounded_batches():
     got = pa.Table.from_batches(out).to_pylist()
     assert sorted((r["id"], r["cell"]) for r in got) == [(i, k) for i in range(1000) for k in range(64)]
     assert all((r["packed"] is None) == r["inside"] and r["packed"] in (None, points[r["id"]].tobytes()) for r in got)
+
+
+def test_term_counts_of_chosen_terms(spark):
+    df = spark.createDataFrame([(1, "red red blue", "a sky"), (2, "blue", None), (1, "Blue green", "green")], "creative_id long, headline string, body string")
+    some = creative.term_counts(df, "creative_id", creative.full_text(), ["blue", "green"])
+    assert sorted(map(tuple, some.collect())) == [(1, "blue", 2), (1, "green", 2), (2, "blue", 1)]

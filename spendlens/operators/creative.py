@@ -205,6 +205,9 @@ TRAIN_INPUTS = ["headline_length", "headline_words", "has_numbers_n", "sentiment
 
 
 def train_inputs(df: DataFrame) -> DataFrame:
+    """df with the five features; rows that have them already stay as they are."""
+    if set(TRAIN_INPUTS) <= set(df.columns):
+        return df
     return predictor_features(df).withColumn("has_numbers_n", c("has_numbers").cast("int"))
 
 
@@ -231,12 +234,16 @@ def train_rate(df: DataFrame, rate: Column, trees: int = 20, depth: int = 3, lea
 
 
 def rate_scores(df: DataFrame, rate: Column, key: str = "creative_id", folds: int = 2, **fitting) -> DataFrame:
-    """Every creative that has the rate, with it and the prediction of a model that did not see it."""
+    """Every creative that has the rate, with it and the prediction of a model that did not see it.
+
+    The texts are read once: folds, fits and predictions work on the numbers that the models take.
+    """
     def fit(rows: DataFrame):
         model = train_rate(rows, F.col("label"), **fitting)
         return lambda others: model.transform(train_inputs(others)).select(key, "fold", "label", F.col("prediction").alias("score"))
 
-    return out_of_fold(df.withColumn("label", rate.cast("double")).where("label is not null"), key, fit, folds)
+    rated = df.withColumn("label", rate.cast("double")).where("label is not null")
+    return out_of_fold(train_inputs(rated).select(key, "label", *TRAIN_INPUTS), key, fit, folds)
 
 
 def comparable(vectors: DataFrame, query: Column, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:

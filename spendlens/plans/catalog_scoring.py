@@ -293,7 +293,8 @@ def _(t):
 @query("r14_train_creative", "creatives", "select unnest(['ctr', 'cvr']) as model, count(*) as rows, true as bounded from creatives where quality is not null")
 def _(t):
     rates = {"ctr": F.col("quality") * 0.02, "cvr": F.col("quality") * 0.01 + F.when(F.col("has_face"), 0.002).otherwise(0.0)}
-    parts = [beats_constant(R.rate_scores(t.creatives, rate), of=1.2).withColumnRenamed("better", "bounded").withColumn("model", F.lit(m)) for m, rate in rates.items()]
+    rows = staged(R.train_inputs(t.creatives.where("quality is not null")).select("creative_id", "quality", "has_face", *R.TRAIN_INPUTS), "inputs")
+    parts = [beats_constant(R.rate_scores(rows, rate), of=1.2).withColumnRenamed("better", "bounded").withColumn("model", F.lit(m)) for m, rate in rates.items()]
     return parts[0].unionByName(parts[1])
 
 

@@ -90,6 +90,15 @@ def test_queries_that_visit_all_cells_go_out_in_bounded_batches():
     assert all((r["packed"] is None) == r["inside"] and r["packed"] in (None, points[r["id"]].tobytes()) for r in got)
 
 
+def test_rates_are_learned_from_the_inputs_alone(spark):
+    """Rows without their texts give the scores that rows with them give."""
+    rows = [(i, "word " * (1 + i % 7) + ("5!" if i % 3 else ""), "great body" if i % 2 else "text", "SHOP_NOW" if i % 5 else None, i % 7 / 100) for i in range(120)]
+    df = spark.createDataFrame(rows, "creative_id long, headline string, body string, cta string, rate double")
+    inputs = creative.train_inputs(df).select("creative_id", "rate", *creative.TRAIN_INPUTS)
+    scores = [sorted(map(tuple, creative.rate_scores(d, F.col("rate"), trees=2, depth=2).select("creative_id", "label", "score").collect())) for d in (df, inputs)]
+    assert len(scores[0]) == 120 and scores[0] == scores[1]
+
+
 def test_term_counts_of_chosen_terms(spark):
     df = spark.createDataFrame([(1, "red red blue", "a sky"), (2, "blue", None), (1, "Blue green", "green")], "creative_id long, headline string, body string")
     some = creative.term_counts(df, "creative_id", creative.full_text(), ["blue", "green"])

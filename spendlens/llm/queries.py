@@ -55,7 +55,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     path = shared_scratch(spark, "token-files")
-    token_store.write_ids(token_store.encode_texts(table(spark, sf_dir, "documents"), vocabulary, end_id=2), path)
+    token_store.write_texts(table(spark, sf_dir, "documents"), vocabulary, 2, path)
     return token_store.read_ids(spark, path)
 
 

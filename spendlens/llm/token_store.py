@@ -25,6 +25,7 @@ from spendlens.llm.tokens import Encoder
 
 BLOCK = 2048  # ids of a block at most
 SEGMENT = 1 << 22  # ids of a segment; a longer document is a segment of its own
+ROWS = 256  # texts that are held with their ids at once
 SLOTS2, SLOTS1 = 1 << 11, 1 << 10
 U = np.uint64
 
@@ -153,7 +154,7 @@ def _run(coder: Coder, ids: np.ndarray | None, lanes: int, length: int, last: in
     tables = _tables()
     decode = ids is None
     if decode:
-        ids = np.zeros((length, lanes), np.int32)
+        ids = np.zeros((length, lanes), np.uint16)
     digits, guess = Digits(lanes, 1 + 16 + 256 + 256, tables[2]), Guess(lanes, tables)
     two, one = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
     k = np.arange(lanes)
@@ -167,7 +168,7 @@ def _run(coder: Coder, ids: np.ndarray | None, lanes: int, length: int, last: in
         g2, c2, g1, c1 = e2 >> 4, e2 & 15, e1 >> 4, e1 & 15
         same, short = g2 == g1, (c2 == 0) & (c1 > 0)
         guessed = np.where(short, g1, g2)
-        real = None if decode else ids[t, :len(k)]
+        real = None if decode else ids[t, :len(k)].astype(np.int32)
         hit = guess.code(coder, k, None if decode else real == guessed, c2 + 16 * same + 32 * short, c1 + 16 * same)
         rest = np.flatnonzero(~hit)
         value = guessed
@@ -195,10 +196,11 @@ def encode_segment(ids: np.ndarray) -> bytes:
         raise ValueError("ids of more than 16 bits")
     length = min(BLOCK, max(128, n // 1024), n)
     lanes = -(-n // length)
-    padded = np.zeros((lanes, length), np.int32)
+    padded = np.zeros((lanes, length), np.uint16)
     padded.ravel()[:n] = ids
     coder = Coder(lanes, room=length)
     _run(coder, np.ascontiguousarray(padded.T), lanes, length, n - (lanes - 1) * length)
+    del padded
     words, sizes = coder.finish()
     parts = np.split(words.astype("<u2"), np.cumsum(sizes)[:-1])
     sums = np.array([zlib.crc32(p.tobytes()) for p in parts], "<u4")
@@ -230,6 +232,25 @@ def decode_segment(data: bytes, only: int | None = None) -> np.ndarray:
     return _run(Coder(1, words, starts[[only]]), None, 1, size, size).ravel().astype("<u4")
 
 
+def _encoder(vocabulary: str, end_id: int):
+    """A function from texts to their packed ids, end_id last."""
+    description = Path(vocabulary).read_text()
+    if Encoder(description).dtype.itemsize != 2:
+        raise ValueError("the file format holds vocabularies of up to 65,536 ids")
+
+    def ids(texts) -> list[bytes]:
+        encode = once_per_process(f"encoder {vocabulary}", lambda: Encoder(description))
+        end = np.array([end_id], encode.dtype).tobytes()
+        return [encode(t) + end for t in texts]
+
+    return ids
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """Texts in ascending order of doc_id and text over ascending partitions, nulls first."""
+    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id and packed ids of every whole text, end_id last; null texts count as empty.
 
@@ -237,50 +258,55 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     before they are encoded: finding the ranges reads the rows once more, and that must not encode them.
     """
     schema = "doc_id long, ids binary"
-    make, description = arrow_rows(schema), Path(vocabulary).read_text()
+    make, ids = arrow_rows(schema), _encoder(vocabulary, end_id)
 
     def run(batches):
-        encode = once_per_process(f"encoder {vocabulary}", lambda: Encoder(description))
         for b in batches:
-            end = np.array([end_id], encode.dtype).tobytes()
-            yield make([b.column(0), [encode(t) + end for t in b.column(1).to_pylist()]])
+            yield make([b.column(0), ids(b.column(1).to_pylist())])
 
-    width = 2 if Encoder(description).dtype.itemsize == 2 else 4
-    if width != 2:
-        raise ValueError("the file format holds vocabularies of up to 65,536 ids")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, schema)
+    return _ordered(docs).mapInArrow(run, schema)
 
 
-def write_ids(ids: DataFrame, path: str) -> None:
-    """Write packed ids (doc_id, ids as 16-bit words) in the order of ``encode_texts``.
-
-    File parts cover ascending id ranges; a part holds segments, a segment whole documents.  Rows
-    without an id come first, repeated ids stand in the order of their texts.
-    """
+def _write(rows: DataFrame, path: str, packed) -> None:
+    """Segments of rows (doc_id, x) with packed(x of some rows) as ids, part by part."""
     schema = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
     make = arrow_rows(schema)
 
     def run(batches):
         part, segment = TaskContext.get().partitionId(), 0
-        docs, held, size = [], [], 0
+        docs, sizes, held = [], [], bytearray()
 
         def row():
-            return make([[part], [segment], [docs], [[len(h) // 2 for h in held]], [size],
-                         [encode_segment(np.frombuffer(b"".join(held), "<u2").astype(np.int32))]])
+            return make([[part], [segment], [docs], [sizes], [len(held) // 2], [encode_segment(np.frombuffer(held, "<u2"))]])
 
         for b in batches:
-            for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                docs.append(doc)
-                held.append(own)
-                size += len(own) // 2
-                if size >= SEGMENT:
-                    yield row()
-                    docs, held, size, segment = [], [], 0, segment + 1
+            for s in range(0, b.num_rows, ROWS):
+                some = b.slice(s, ROWS)
+                for doc, own in zip(some.column(0).to_pylist(), packed(some.column(1).to_pylist())):
+                    docs.append(doc)
+                    sizes.append(len(own) // 2)
+                    held += own
+                    if len(held) // 2 >= SEGMENT:
+                        yield row()
+                        docs, sizes, held, segment = [], [], bytearray(), segment + 1
         if docs:
             yield row()
 
-    ids.mapInArrow(run, schema).write.parquet(path)
+    rows.mapInArrow(run, schema).write.parquet(path)
+
+
+def write_ids(ids: DataFrame, path: str) -> None:
+    """Write packed ids (doc_id, ids as 16-bit words) in the order of ``encode_texts``.
+
+    File parts cover ascending id ranges; a part holds segments, a segment whole documents.  Rows
+    without an id come first, repeated ids stand in the order of their texts.
+    """
+    _write(ids, path, list)
+
+
+def write_texts(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
+    """``encode_texts`` and ``write_ids`` in one pass: a task keeps one worker, and ids never leave it but coded."""
+    _write(_ordered(docs), path, _encoder(vocabulary, end_id))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -27,16 +27,21 @@ def _class(first: str) -> str:
 
 
 class Words(dict):
-    """A word's packed ids, computed when first asked for; words in use outlive a full memory."""
+    """A word's packed ids, computed when first asked for; words in use outlive a full memory.
 
-    def __init__(self, encode):
+    All of ``sharing`` fill one memory of MEMO words and grow old together.
+    """
+
+    def __init__(self, encode, sharing: list[Words]):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.sharing = encode, {}, sharing
+        sharing.append(self)
 
     def __missing__(self, word):
-        if len(self) >= MEMO // 2:
-            self.old = dict(self)
-            self.clear()
+        if sum(map(len, self.sharing)) >= MEMO // 2:
+            for words in self.sharing:
+                words.old = dict(words)
+                words.clear()
         ids = self.old.get(word)
         self[word] = ids = self.encode(word) if ids is None else ids
         return ids
@@ -60,8 +65,8 @@ class Encoder:
         self.wide = re.compile(f"[{RARE}{'İ' * self.lowered}ɐ-\U0010ffff]")
         self.spaces = re.compile("\\s \\s|\\s \\Z| \\s\\Z")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.parts, self.lone, self.merge = re.compile(lone) if parts else None, Words(self._part), self.tokenizer.model.tokenize
-        self.first, self.later = Words(self._word), Words(lambda w: self._word(" " + w))
+        self.parts, self.merge, memory = re.compile(lone) if parts else None, self.tokenizer.model.tokenize, []
+        self.lone, self.first, self.later = Words(self._part, memory), Words(self._word, memory), Words(lambda w: self._word(" " + w), memory)
 
     @staticmethod
     def _split(d: dict) -> tuple[str | None, str]:

@@ -26,7 +26,7 @@ PAIRS = 1 << 16  # candidates proved at a time
 CHECKS = (3, 5, 8, 11)  # sampled symbols after which windows without a partner are left out
 FILTER_BITS = 22
 TEXT_CHUNK = 1 << 18
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 SPACE = 32
 
 
@@ -92,6 +92,11 @@ def _slot(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _held(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which slots are marked in a filter; it stays packed, eight slots a byte."""
+    return (bits.take(slot >> 3) >> (slot & 7).astype(np.uint8) & 1).view(bool)
+
+
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Texts in a row, a gap that no walk crosses after each, and the places where they begin."""
     gap = np.zeros(STEPS, np.int32)  # no text holds a 0
@@ -146,7 +151,7 @@ class Index:
     """The windows of a block of items by their sampled hashes in every repetition, and the items' masks of symbols."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], allowed: float, recall: float, repeats: int, every: bool):
-        self.items, self.allowed, self.repeats, self.every, self._open = items, allowed, repeats, every, None
+        self.items, self.allowed, self.repeats, self.every = items, allowed, repeats, every
         depth = np.array([samples_for(max(k for k in LENGTHS if k <= len(c)), allowed, recall, repeats) for _, c in items], np.int64)
         self.depths = sorted(set(depth.tolist()))
         self.tables, self.filters, keyed = [], [], np.zeros(len(items), bool)
@@ -160,7 +165,7 @@ class Index:
                 tables[seen] = value[own], owner[own], offset[own]
                 keyed[owner[own]] = True
             self.tables.append(tables)
-            self.filters.append(np.packbits(filters, axis=1))
+            self.filters.append(np.packbits(filters, axis=1, bitorder="little"))
         self.without = [x for x, k in zip(items, keyed) if not k]
         self.first = np.cumsum([0] + [-(-len(c) // 64) for _, c in items])
         self.sizes = np.array([len(c) for _, c in items], np.int64)
@@ -178,8 +183,7 @@ class Index:
         """(item, likely start of its passage, window's start) of all windows that share a hash."""
         out = [np.zeros((0, 3), np.int64)]
         for r in range(self.repeats):
-            bits = self._open[r]
-            keep = lambda seen, v, bits=bits: bits[CHECKS.index(seen)].take(_slot(v))
+            keep = lambda seen, v, bits=self.filters[r]: _held(bits[CHECKS.index(seen)], _slot(v))
             for seen, value, at, _ in walks(codes, starts, 100 + r, self.depths, keep):
                 keys, owner, offset = self.tables[r][seen]
                 low, high = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
@@ -229,12 +233,6 @@ class Index:
             plus, minus = down | ~(diag | up), up & diag
         return best
 
-    def open(self) -> Index:
-        """Unpack the filters; they travel packed."""
-        if self._open is None:
-            self._open = [[np.unpackbits(f).view(bool) for f in fs] for fs in self.filters]
-        return self
-
 
 def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance between item and any passage of text, and where that passage ends."""
@@ -361,8 +359,6 @@ def _finder(own: list[tuple[int, str]], allowed: float, repeats: int, recall: fl
 
     def find(texts: list) -> list[dict[int, tuple[int, int]]]:
         table = once_per_process("symbols", _symbols)
-        for index in indexes:
-            index.open()
         out: list[dict[int, tuple[int, int]]] = []
         held, size = [], 0
 

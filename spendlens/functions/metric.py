@@ -24,6 +24,7 @@ from spendlens.session import staged
 
 MOST_PIVOTS = 512
 UNIT = 4096  # targets, and queries, that meet in one unit
+BLOCK = 64  # queries of a unit that are compared at once
 VISITS = 4096  # rows of one batch that sends queries to their cells
 SLACK = 1e-9
 
@@ -49,20 +50,58 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
+def _blocks(a: np.ndarray, b: np.ndarray, eps: float):
+    """(first row, which rows of b lie within eps of which rows of a) for some rows of a at a time, so that they stay in the processor's cache.
+
+    Squared distances less eps * eps come from one matrix product; what it can't settle is summed in the order of the components.
+    """
+    limit = eps * eps
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    # a row times a column: |a|^2 - eps^2 + |b|^2 - 2ab
+    left = np.concatenate((-2 * a, (aa - limit)[:, None], np.ones((len(a), 1))), 1)
+    right = np.ascontiguousarray(np.concatenate((b, np.ones((len(b), 1)), bb[:, None]), 1).T)
+    unsure = SLACK * (limit + aa + bb.max(initial=0))  # told for all columns at once, and again for the pairs it leaves
+    for s in range(0, len(a), BLOCK):
+        over = left[s:s + BLOCK] @ right
+        out = over <= 0
+        i, j = np.nonzero(np.abs(over, out=over) <= unsure[s:s + BLOCK, None])
+        own = over[i, j] <= SLACK * (limit + aa[s + i] + bb[j])
+        i, j = i[own], j[own]
+        for t in range(0, len(i), 1 << 16):
+            x, y = i[t:t + (1 << 16)], j[t:t + (1 << 16)]
+            total = np.zeros(len(x))
+            for k in range(a.shape[1]):
+                step = a[s + x, k] - b[y, k]
+                total += step * step
+            out[x, y] = total <= limit
+        yield s, out
+
+
 def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of b lie within eps of which rows of a; what the product can't settle is summed in the order of the components."""
-    d2, limit = _squares(a, b), eps * eps
-    unsure = SLACK * (limit + (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
-    out = d2 <= limit
-    i, j = np.nonzero(np.abs(d2 - limit) <= unsure)
-    for s in range(0, len(i), 1 << 16):
-        x, y = i[s:s + (1 << 16)], j[s:s + (1 << 16)]
-        total = np.zeros(len(x))
-        for k in range(a.shape[1]):
-            step = a[x, k] - b[y, k]
-            total += step * step
-        out[x, y] = total <= limit
-    return out
+    """Which rows of b lie within eps of which rows of a."""
+    return np.concatenate([np.zeros((0, len(b)), bool), *(near for _, near in _blocks(a, b, eps))])
+
+
+def _sums(near: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of each row's values."""
+    if np.abs(values.astype(np.float64)).sum() < 2**52:
+        return (near.astype(np.float64) @ values.astype(np.float64)).astype(np.int64)
+    return np.array([values[row].sum() for row in near], np.int64)
+
+
+def _forest(near: np.ndarray, ids: np.ndarray, others: np.ndarray, label: np.ndarray, u: list[int], v: list[int]) -> None:
+    """Links of rows with one target of every component (``label``, by target) they reach; what a row links is one component from then on."""
+    for k in np.flatnonzero(near.any(1)).tolist():
+        at = np.flatnonzero(near[k])
+        names = label.take(at)
+        if (names == names[0]).all():
+            u.append(int(ids[k]))
+            v.append(int(others[at[0]]))
+            continue
+        names, first = np.unique(names, return_index=True)
+        u += [int(ids[k])] * len(first)
+        v += others[at[first]].tolist()
+        label[np.isin(label, names)] = names[0]
 
 
 def _pivots(points: DataFrame, n: int) -> np.ndarray:
@@ -171,13 +210,12 @@ def range_aggregate(queries: DataFrame, targets: DataFrame, vector: str, eps: fl
             a, b, values = _unpacked(ours["packed"]), _unpacked(theirs["packed"]), np.asarray(theirs["value"])
             hit = np.zeros(len(a), bool)
             out = np.zeros(len(a), np.int64)
-            for s in range(0, len(a), 512):
-                near = _within(a[s:s + 512], b, eps)
-                hit[s:s + 512] = near.any(1)
-                if how == "sum":
-                    out[s:s + 512] = [values[row].sum() for row in near]
-                else:
-                    out[s:s + 512] = np.where(near, values[None, :], np.iinfo(np.int64).max).min(1)
+            if how == "min":  # the first target within reach is the least
+                order = np.argsort(values, kind="stable")
+                b, values = b[order], values[order]
+            for s, near in _blocks(a, b, eps):
+                hit[s:s + BLOCK] = near.any(1)
+                out[s:s + BLOCK] = _sums(near, values) if how == "sum" else values.take(near.argmax(1))
             ids, out = ids[hit], out[hit]
         else:
             ids = ids[:0]
@@ -213,15 +251,8 @@ def range_links(points: DataFrame, eps: float) -> DataFrame:
             ids, others = np.asarray(ours["id"]), np.asarray(theirs["id"])
             a, b = _unpacked(ours["packed"]), _unpacked(theirs["packed"])
             label = np.arange(len(others))
-            for s in range(0, len(a), 512):
-                near = _within(a[s:s + 512], b, eps)
-                for k in np.flatnonzero(near.any(1)):
-                    at = np.flatnonzero(near[k])
-                    names, first = np.unique(label[at], return_index=True)
-                    u += [int(ids[s + k])] * len(first)
-                    v += others[at[first]].tolist()
-                    if len(names) > 1:
-                        label[np.isin(label, names)] = names[0]
+            for s, near in _blocks(a, b, eps):
+                _forest(near, ids[s:s + BLOCK], others, label, u, v)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     pairs = _units(visits.where("not inside"), placed).groupBy("cell", "qc", "tc").applyInArrow(meet, "u long, v long")

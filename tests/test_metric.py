@@ -1,5 +1,6 @@
 """Neighbours over whole vectors against brute force, in many dimensions, with copies, ties at the radius and odd vectors."""
 
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -103,3 +104,36 @@ def test_term_counts_of_chosen_terms(spark):
     df = spark.createDataFrame([(1, "red red blue", "a sky"), (2, "blue", None), (1, "Blue green", "green")], "creative_id long, headline string, body string")
     some = creative.term_counts(df, "creative_id", creative.full_text(), ["blue", "green"])
     assert sorted(map(tuple, some.collect())) == [(1, "blue", 2), (1, "green", 2), (2, "blue", 1)]
+
+
+def test_units_are_compared_in_small_blocks():
+    rng = np.random.default_rng(11)
+    a, b = rng.random((512, 8)), rng.random((4096, 8))
+    b[:200] = a[:200] + np.eye(8)[0] * 0.5  # at the radius, but for rounding
+    b[200:203] *= 1e9
+    a[300], b[300] = 1e200, 1e200
+    tracemalloc.start()
+    try:
+        near = metric._within(a, b, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.zeros((512, 4096))
+        for k in range(8):
+            total += (a[:, k, None] - b[None, :, k]) ** 2
+    total[300, 300] = 1  # inf less inf settles nothing; such pairs never count
+    assert (near == (total <= 0.25)).all() and near[:200, :200].any()
+    assert peak < 24e6
+    values = rng.integers(-2**55, 2**55, 4096)
+    assert metric._sums(near, values).tolist() == [int(values[row].sum()) for row in near]
+    assert metric._sums(near, values >> 20).tolist() == [int((values >> 20)[row].sum()) for row in near]
+    u, v, label, want = [], [], np.arange(4096), []
+    metric._forest(near, np.arange(512), np.arange(4096), label, u, v)
+    root = np.arange(4096)
+    for k in range(512):
+        at = np.flatnonzero(near[k])
+        names, first = np.unique(root[at], return_index=True)
+        want += [(k, t) for t in at[first].tolist()]
+        root[np.isin(root, names)] = names[0] if len(names) else 0
+    assert list(zip(u, v)) == want and (label == root).all()

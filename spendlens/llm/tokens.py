@@ -19,7 +19,6 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OTHERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 BYTES = "".join(OTHERS.get(b, chr(b)) for b in range(256))
 RARE = "\x1c\x1d\x1e\x1f"  # white space to some splitters only
-BLANKS = [c for c in map(chr, range(256)) if c.isspace() and c not in RARE and c != " "]
 
 
 def _class(first: str) -> str:
@@ -27,21 +26,16 @@ def _class(first: str) -> str:
 
 
 class Words(dict):
-    """A word's packed ids, computed when first asked for; words in use outlive a full memory.
+    """A word's packed ids, computed when first asked for; words in use outlive a full memory of MEMO words."""
 
-    All of ``sharing`` fill one memory of MEMO words and grow old together.
-    """
-
-    def __init__(self, encode, sharing: list[Words]):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.old, self.sharing = encode, {}, sharing
-        sharing.append(self)
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word):
-        if sum(map(len, self.sharing)) >= MEMO // 2:
-            for words in self.sharing:
-                words.old = dict(words)
-                words.clear()
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
+            self.clear()
         ids = self.old.get(word)
         self[word] = ids = self.encode(word) if ids is None else ids
         return ids
@@ -50,9 +44,10 @@ class Words(dict):
 class Encoder:
     """encode(text) -> packed ids, equal to the tokenizer's own for every text.
 
-    Vocabularies split a text before they merge, so the words of a Latin text are encoded one by
-    one and remembered.  Where a word may not be cut out safely (other scripts, odd white space,
-    an unknown vocabulary) the tokenizer gets the text as it is.
+    Vocabularies split a text before they merge, so a Latin text is split as they do, and its words are
+    encoded one by one and remembered.  A word and the signs around it are remembered apart, as most are
+    rare together.  Where the split may differ (other scripts, odd white space, an unknown vocabulary) the
+    tokenizer gets the text as it is.
     """
 
     def __init__(self, description: str):
@@ -63,10 +58,10 @@ class Encoder:
         parts, lone = self._split(json.loads(description))
         self.lowered = parts == "dropped"
         self.wide = re.compile(f"[{RARE}{'İ' * self.lowered}ɐ-\U0010ffff]")
-        self.spaces = re.compile("\\s \\s|\\s \\Z| \\s\\Z")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.parts, self.merge, memory = re.compile(lone) if parts else None, self.tokenizer.model.tokenize, []
-        self.lone, self.first, self.later = Words(self._part, memory), Words(self._word, memory), Words(lambda w: self._word(" " + w), memory)
+        self.parts, self.merge = re.compile(lone) if parts else None, self.tokenizer.model.tokenize
+        # texts are split into lone parts; nothing is remembered by its place any more
+        self.lone, self.first, self.later = (Words(self._part) for _ in range(3))
 
     @staticmethod
     def _split(d: dict) -> tuple[str | None, str]:
@@ -91,29 +86,17 @@ class Encoder:
         ids = [t.id for t in self.merge(codecs.charmap_decode(part.encode(), "strict", BYTES)[0])]
         return array(self.code, ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
-            return self._part(word)
-        return b"".join(map(self.lone.__getitem__, self.parts.findall(word)))
-
     def _odd(self, text: str) -> bool:
-        """Whether a word of the text may not be cut out safely; most texts are settled by plain searches."""
+        """Whether the text may be split otherwise than here; most texts are settled by plain searches."""
         try:
             text.encode("latin-1")
-            wide = any(c in text for c in RARE)
+            return any(c in text for c in RARE)
         except UnicodeEncodeError:
-            wide = self.wide.search(text) is not None
-        if wide or self.lowered:
-            return wide
-        doubtful = text[-2:-1] == " " or "  " in text or any(c in text and c + " " in text for c in BLANKS)
-        return doubtful and self.spaces.search(text) is not None
+            return self.wide.search(text) is not None or self.lowered and self.wide.search(text.lower()) is not None
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.parts is None or self._odd(text):
             return self._plain(text)
-        if self.lowered:
-            return b"".join(map(self.first.__getitem__, text.lower().split()))
-        words = text.split(" ")
-        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+        return b"".join(map(self.lone.__getitem__, self.parts.findall(text.lower() if self.lowered else text)))

@@ -1,10 +1,10 @@
 """Keyed state: alert cooldown and change detection over streams.
 
-Rows wait until the watermark has passed their slice of event time, so file order does not matter.  They lie in pieces
-of bounded size, each sorted, in a map state of the key; a value state names the pieces and the one timer that the key has, at the
-end of its earliest slice.  When it goes off, the pieces that have begun are merged up to the watermark, one open where their
+Rows wait until the watermark has passed their slice of event time, so file order does not matter.  Those of a key with
+less than a piece lie in the key's one value state; more lie in pieces of bounded size, each sorted, in a map state.  The value
+state names the pieces and the one timer that the key has, at the end of its earliest slice.  When it goes off, the pieces that have begun are merged up to the watermark, one open where their
 times do not overlap.  The state is so touched by the piece, not by the row, and memory holds a block of input or the
-overlapping pieces of one key.  A value state holds the last fired time or checksum.
+overlapping pieces of one key.  The value state also holds the last fired time or checksum, as each call to a state is a round trip.
 The state lives in the state store that keyed timers need (``STORE``); ``windows.run_append`` asks for it.
 """
 
@@ -49,8 +49,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", f"value {self.last_type}")
-        self.kept = handle.getValueState("kept", "pieces array<struct<name: long, low: long, n: long>>, named long, timer long")
+        self.kept = handle.getValueState(
+            "kept", f"pieces array<struct<name: long, low: long, n: long>>, named long, timer long, few array<struct<{self.row}>>, last {self.last_type}")
         self.waiting = handle.getMapState("waiting", "name long", f"rows array<struct<{self.row}>>")
 
     def _until(self, us: int) -> int:
@@ -60,15 +60,20 @@ class InOrder(StatefulProcessor):
     def _read(self, name: int) -> list[tuple]:
         return [tuple(r) for r in self.waiting.getValue((name,))[0]]
 
-    def _held(self) -> tuple[list[tuple], int, int | None]:
-        """The pieces (name, least us, rows), the next free name and the timer of the key."""
+    def _held(self) -> tuple[list[tuple], int, int | None, list[tuple], object]:
+        """The pieces (name, least us, rows), the next free name, the timer of the key, its rows outside of pieces in order, and what decide gave last."""
         held = self.kept.get()
-        return ([], 0, None) if held is None else ([tuple(p) for p in held[0]], held[1], held[2])
+        return ([], 0, None, [], None) if held is None else ([tuple(p) for p in held[0]], held[1], held[2], [tuple(r) for r in held[3]], held[4])
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        pieces, named, timer = self._held()
+        pieces, named, timer, few, last = self._held()
         rows = iter(rows)
         while block := [tuple(row[n] for n in self.names) for row in islice(rows, self.block_rows)]:
+            block += few
+            few = []
+            if not pieces and len(block) < self.piece_rows:
+                few = sorted(block, key=_order)
+                continue
             # pieces less than half full are filled up
             for small in [p for p in pieces if 2 * p[2] < self.piece_rows]:
                 block += self._read(small[0])
@@ -80,25 +85,25 @@ class InOrder(StatefulProcessor):
                 self.waiting.updateValue((named,), (part,))
                 pieces.append((named, part[0][0], len(part)))
                 named += 1
-        if pieces:
-            first = self._until(min(p[1] for p in pieces))
+        if pieces or few:
+            first = self._until(min([p[1] for p in pieces] + [r[0] for r in few[:1]]))
             if timer is None or first < timer:
                 if timer is not None:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(first)
                 timer = first
-            self.kept.update((pieces, named, timer))
+            self.kept.update((pieces, named, timer, few, last))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        pieces, named, _ = self._held()
+        pieces, named, _, few, last = self._held()
         # rows before this time are in slices that the watermark has passed
         passed = timerValues.getCurrentWatermarkInMs() // self.slice_ms * self.slice_ms * 1000
         stay = [p for p in pieces if p[1] >= passed]
-        before = self.last.get()
-        last = first = None if before is None else before[0]
         at = [self.names.index(n) for n in self.out]
-        heap, found, number = [], [], count()
+        found, number = [], count()
+        heap = [(*_order(row), next(number), row) for row in few if row[0] < passed]  # in order, so a heap
+        few = few[len(heap):]
         for name, low, _ in [*sorted((p for p in pieces if p[1] < passed), key=lambda p: p[1]), (None, passed, 0)]:
             # all rows before the next piece's first are in the heap
             while heap and heap[0][0] < low:
@@ -121,14 +126,11 @@ class InOrder(StatefulProcessor):
                     stay.append((name, rest[0][0], len(rest)))
                 else:
                     self.waiting.removeKey((name,))
-        if last != first or before is None:
-            self.last.update((last,))
-        if stay:
-            timer = self._until(min(p[1] for p in stay))
+        timer = None
+        if stay or few:
+            timer = self._until(min([p[1] for p in stay] + [r[0] for r in few[:1]]))
             self.handle.registerTimer(timer)
-            self.kept.update((stay, named, timer))
-        else:
-            self.kept.clear()
+        self.kept.update((stay, named, timer, few, last))
 
     def close(self) -> None:
         pass

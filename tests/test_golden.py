@@ -315,3 +315,25 @@ def test_keyed_state_is_touched_by_the_piece(spark):
         last = r["checksum"]
     assert got == want and not handle.timers
     assert handle.calls < 100
+
+
+def test_a_key_of_few_rows_costs_few_state_calls():
+    """Three rows of a key, taken in twice and released: one read and one write of the state each time, and the timers."""
+    handle = StateCalls()
+    keyed = stateful.InOrder("us: long, event_id: long, checksum: string", "string", stateful._changes, ["id"], ["event_id"])
+    keyed.init(handle)
+    rows = [{"id": 1, "us": us, "event_id": i, "checksum": v} for i, (us, v) in enumerate([(9_000_000, "a"), (5_000_000, "b"), (7_000_000, "b")])]
+    for part in (rows[:1], rows[1:]):
+        assert list(keyed.handleInputRows((1,), iter(part), None)) == []
+    got = []
+    for mark in (8000, 2**41):
+        wait = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        for t in [t for t in handle.timers if t <= mark]:
+            got += [x for out in keyed.handleExpiredTimer((1,), wait, None) for x in out["event_id"]]
+            handle.timers.discard(t)
+    assert got == [1, 0] and not handle.timers
+    calls = handle.calls
+    assert calls <= 13, calls
+    # a row like the last one, after all others have gone, is no change
+    assert list(keyed.handleInputRows((1,), iter([{"id": 1, "us": 9_500_000_000_000, "event_id": 9, "checksum": "a"}]), None)) == []
+    assert list(keyed.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2**62), None)) == []

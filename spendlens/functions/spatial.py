@@ -170,10 +170,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(v, component) with the least vertex as the component's name.
 
     Alternating large-star and small-star rounds: logarithmic in practice, each a grouped
-    minimum and a join; lineage is cut by a written table every round.
+    minimum and a join; lineage is cut by a written table every round, in files as many as its rows need.
     """
     edges = staged(edges, "edges")
 
+    def state(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -183,10 +186,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
-    before = None
+    before = state(edges)
     while True:
-        edges = staged(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        edges = staged(star(star(edges, True), False), "edges", 16 * before[0])
+        now = state(edges)
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
         before = now

@@ -168,18 +168,19 @@ def linked_rows(docs: DataFrame, width: int, bands: Callable, find: Callable, ex
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     base = staged(texts.mapInArrow(sign, schema), "signed")
+    n_rows, n_keys = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.size("keys"))), F.lit(0))).first()
     # a row that stands for the class: the least id and a text of it, or any text where no row has an id
     classes = base.where("n > 0").groupBy("a", "check", "n").agg(
         F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.first("keys").alias("keys"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", 48 * n_rows + 8 * n_keys)
     keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     blocks = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
     parts = F.greatest(F.ceil(F.col("m") / F.lit(unit_docs)), F.ceil(F.col("t") / F.lit(unit_tokens))).cast("int")
-    blocks = staged(blocks.where("hub <> far").select("key", "hub", parts.alias("parts")), "blocks")
+    blocks = staged(blocks.where("hub <> far").select("key", "hub", parts.alias("parts")), "blocks", 10 * n_keys)
     part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int").alias("part")
-    shared = staged(keyed.join(blocks, "key").select("key", "band", "node", "hub", "parts", part), "shared")
+    shared = staged(keyed.join(blocks, "key").select("key", "band", "node", "hub", "parts", part), "shared", 36 * n_keys)
     clusters = _grouped(shared.select("node").distinct(), shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    sized = staged(clusters.withColumnRenamed("grp", "cluster").join(classes.drop("keys"), "node"), "clusters")
+    sized = staged(clusters.withColumnRenamed("grp", "cluster").join(classes.drop("keys"), "node"), "clusters", 56 * n_rows)
     large = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).withColumn(
         "large", (F.col("c") > unit_docs) | (F.col("t") > unit_tokens))
     sized = sized.join(large.drop("c", "t"), "cluster")
@@ -225,7 +226,7 @@ def linked_rows(docs: DataFrame, width: int, bands: Callable, find: Callable, ex
         links = staged(links, "links")
     final = _grouped(sized.select("node"), links)
     root = classes.select("a", "check", "n", "node").join(final, "node", "left").select("a", "check", "n", F.coalesce("grp", "node").alias("root"))
-    rooted = staged(base.drop("keys").join(root, ["a", "check", "n"], "left").select("doc_id", "text_key", "n", "root"), "roots")
+    rooted = staged(base.drop("keys").join(root, ["a", "check", "n"], "left").select("doc_id", "text_key", "n", "root"), "roots", 32 * n_rows)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
         "doc_id", "text_key", "n", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

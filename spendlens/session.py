@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_BYTES = 4 << 20  # of a staged table whose size is known, before it is compressed
+
 
 def local_session(app: str = "spendlens", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench on one machine."""
@@ -47,12 +49,15 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", size: int | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs one read, computes a result used several
-    times once, and gives the planner real sizes.
+    times once, and gives the planner real sizes.  Where the caller knows about how many bytes
+    there are at most (``size``), small tables do not become a file a task.
     """
     path = shared_scratch(df.sparkSession, name)
+    if size is not None:
+        df = df.coalesce(max(1, -(-size // FILE_BYTES)))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -130,6 +130,28 @@ def test_connected_components(spark):
     assert got == want
 
 
+def test_rounds_of_components_are_few_files(spark, monkeypatch):
+    files, plain = [], spatial.staged
+
+    def counted(*args):
+        out = plain(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(spatial, "staged", counted)
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+        assert spatial.connected_components(edges).where("component = 0").count() == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 2 and set(files[1:]) == {1}
+
+
 def test_journeys_of_a_hot_user(spark):
     rnd = random.Random(3)
     rows = [(0, 1 if i % 3 else 2 + i % 5, i, i * 400, rnd.choice("abc"), i % 17 == 0, 1.0) for i in range(2000)]

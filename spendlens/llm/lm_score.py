@@ -46,7 +46,7 @@ def _windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Inputs around the places at; beyond an end stands a mark of its own."""
     padded = np.full(len(ids) + 4, INPUTS, np.int64)
     padded[2:-2] = ids & (INPUTS - 1)
-    return np.stack([padded[at + 2 + s] for s in SIDES], 1)
+    return padded.take(at[:, None] + np.array(SIDES) + 2)
 
 
 def _targets(ids: np.ndarray, stride: int, turn: int) -> np.ndarray:
@@ -54,28 +54,71 @@ def _targets(ids: np.ndarray, stride: int, turn: int) -> np.ndarray:
     return np.arange((int(ids[0]) + turn) % stride, len(ids), stride)
 
 
+def _run_sums(part: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bit for bit np.add.reduceat over the runs of rows from starts on, sizes falling; many short runs are summed at once."""
+    out = part.take(starts, 0)
+    long, more = np.searchsorted(-sizes, (-8, -1))
+    if more > long:
+        rest = part.take(starts[long:more] + 1, 0)
+        ends = long + np.searchsorted(-sizes[long:more], -np.arange(2, 8))
+        for k, end in enumerate(ends.tolist(), 2):
+            if end == long:
+                break
+            rest[:end - long] += part.take(starts[long:end] + k, 0)
+        out[long:more] += rest
+    if long:
+        own = sizes[:long]
+        begin = np.cumsum(own) - own
+        at = np.repeat(starts[:long] - begin, own)
+        at += np.arange(len(at))
+        out[:long] = np.add.reduceat(part.take(at, 0), begin)
+    return out
+
+
+def _put(table: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
+    """table[rows] = new, a row of the input vectors copied as one piece."""
+    whole = f"V{4 * DIM}"
+    table.view(whole).ravel()[rows] = new.view(whole).ravel()
+
+
 def _train(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
     """One step of adaptive gradient descent, in place."""
     n = len(y)
     e = w[0].take(x.ravel(), 0).reshape(n, -1)
-    h = np.maximum(e @ w[1] + w[2], 0)
+    h = e @ w[1]
+    h += w[2]
+    np.maximum(h, 0, out=h)
     g = h @ w[3]
     g += w[4]
-    g -= g.max(1, keepdims=True)
+    line, begin = g.reshape(-1), np.arange(n) * CLASSES
+    g -= np.maximum.reduceat(line, begin)[:, None]
     np.exp(g, out=g)
     g /= g.sum(1, keepdims=True)
-    g[np.arange(n), y] -= 1
-    g /= n
-    gh = (g @ w[3].T) * (h > 0)
+    begin += y
+    line[begin] = line.take(begin) - 1
+    if n & (n - 1):
+        g /= n
+    else:
+        g *= np.float32(1 / n)  # exact, as n is a power of two
+    gh = g @ w[3].T
+    gh *= h > 0
     ge = (gh @ w[1].T).reshape(-1, DIM)
     flat = x.ravel().astype(np.uint16)  # short keys sort faster
     order = np.argsort(flat, kind="stable")
     ranked = flat.take(order)
-    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    rows, gw0 = ranked.take(starts), np.add.reduceat(ge.take(order, 0), starts)
-    m = memory[0].take(rows, 0) + gw0 * gw0
-    memory[0][rows] = m
-    w[0][rows] -= rate * gw0 / (np.sqrt(m) + 1e-4)
+    bounds = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
+    sizes = bounds[1:] - bounds[:-1]
+    falling = np.argsort((len(flat) - sizes).astype(np.uint16), kind="stable")
+    starts = bounds.take(falling)
+    rows, gw0 = ranked.take(starts).astype(np.int64), _run_sums(ge.take(order, 0), starts, sizes.take(falling))
+    m = gw0 * gw0
+    m += memory[0].take(rows, 0)
+    _put(memory[0], rows, m)
+    np.sqrt(m, out=m)
+    m += np.float32(1e-4)
+    gw0 *= np.float32(rate)
+    gw0 /= m
+    _put(w[0], rows, w[0].take(rows, 0) - gw0)
     for i, grad in ((1, e.T @ gh), (2, gh.sum(0)), (3, h.T @ g), (4, g.sum(0))):
         memory[i] += grad * grad
         w[i] -= rate * grad / (np.sqrt(memory[i]) + 1e-4)
@@ -180,7 +223,8 @@ def _steps(w, xs, ys, memory, rate) -> int:
     x, y = np.concatenate(xs), np.concatenate(ys)
     mixed = np.random.default_rng(len(y)).permutation(len(y))
     for s in range(0, len(y), BATCH):
-        _train(w, x[mixed[s:s + BATCH]], y[mixed[s:s + BATCH]], memory, rate)
+        some = mixed[s:s + BATCH]
+        _train(w, x.take(some, 0), y.take(some), memory, rate)
     return len(y)
 
 

@@ -484,6 +484,31 @@ def test_lm_score(spark, docs, none):
     assert lm_score.score_documents(none, net).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 7, 96, 512])
+def test_lm_step_is_the_plain_one(n):
+    rng = np.random.default_rng(n)
+    x, y = rng.zipf(1.3, (n, 4)) % (lm_score.INPUTS + 1), rng.integers(0, lm_score.CLASSES, n)
+    w = [rng.normal(size=s).astype(np.float32) / 4 for s in lm_score.SHAPES]
+    memory = [np.full(s, 1e-3, np.float32) for s in lm_score.SHAPES]
+    e = w[0][x].reshape(n, -1)
+    h = np.maximum(e @ w[1] + w[2], 0)
+    g = np.exp((z := h @ w[3] + w[4]) - z.max(1, keepdims=True))
+    g /= g.sum(1, keepdims=True)
+    g[np.arange(n), y] -= 1
+    g /= n
+    gh = (g @ w[3].T) * (h > 0)
+    order = np.argsort(x.ravel(), kind="stable")
+    rows, starts, sizes = np.unique(x.ravel()[order], return_index=True, return_counts=True)
+    part = (gh @ w[1].T).reshape(-1, lm_score.DIM)[order]
+    falling = np.argsort(-sizes, kind="stable")
+    inputs = np.zeros_like(w[0])
+    inputs[rows] = np.add.reduceat(part, starts)
+    assert np.array_equal(lm_score._run_sums(part, starts[falling], sizes[falling]), inputs[rows[falling]])
+    want = [v - np.float32(0.05) * d / (np.sqrt(d * d + m) + np.float32(1e-4)) for v, d, m in zip(w, (inputs, e.T @ gh, gh.sum(0), h.T @ g, g.sum(0)), memory)]
+    lm_score._train(w, x, y, memory, 0.05)
+    assert all(np.array_equal(a, b) for a, b in zip(w, want))
+
+
 def test_lm_learns_from_both_sides(spark):
     """The word in the middle follows from its neighbours; the network beats the counts alone."""
     rng = np.random.default_rng(6)

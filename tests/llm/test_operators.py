@@ -468,6 +468,34 @@ def test_exact_search_odd(spark):
     assert [r[0] for r in ok] == [False, False, False, False, True]
 
 
+@pytest.mark.parametrize("scale", [1, 30_000, 100_000_000])
+def test_exact_search_meets_without_copies(spark, scale):
+    """Queries are not copied for the shards; small, large and very large components, ids and rows that repeat, ties."""
+    rng = np.random.default_rng(scale)
+    rows = [(i % 290, (rng.integers(-3, 4, 3) * (scale if i % 2 else 1)).tolist()) for i in range(300)]
+    rows += rows[:5] + [(1000 + i, [scale, 0, 0]) for i in range(150)]
+    found = exact_search.top_products(spark.createDataFrame(rows, "vec_id long, v array<long>"), "vec_id % 3 = 0", k=7, shard_rows=30, query_rows=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    want = defaultdict(list)
+    for q, v in rows:
+        if q % 3 == 0:
+            want[q] += [(sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != q]
+    if scale < 10**8:  # else beyond 2^53
+        assert got == {q: sorted(x, key=lambda x: (-x[0], x[1]))[:7] for q, x in want.items()}
+    else:
+        assert {q: len(x) for q, x in got.items()} == {q: 7 for q in want}
+
+
+def test_exact_search_sends_small_trees():
+    whole = np.arange(-40, 40).reshape(20, 4) * 1.0
+    for points, size in ((whole, 2), (whole * 1000, 4), (whole * 1e9, 8), (whole + 0.5, 8), (whole[:, :0], 8)):
+        assert exact_search.packed(points).itemsize == size and (exact_search.packed(points) == points).all()
+
+
 def test_lm_score(spark, docs, none):
     net = lm_score.fit_net(docs)
     got = {r["doc_id"]: r for r in lm_score.score_documents(docs, net).collect()}

@@ -137,3 +137,34 @@ def test_units_are_compared_in_small_blocks():
         want += [(k, t) for t in at[first].tolist()]
         root[np.isin(root, names)] = names[0] if len(names) else 0
     assert list(zip(u, v)) == want and (label == root).all()
+
+
+@pytest.mark.parametrize("copies,kind", [(0, "float"), (10**9, "double")])
+def test_blocks_meet_without_copies_of_queries(spark, monkeypatch, copies, kind):
+    """Cells wholly within reach, cells out of reach and scattered points, in small blocks; what is written grows with the points alone."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 4, (5, 12))
+    pts = np.concatenate([np.repeat(centres, 40, axis=0) + rng.normal(0, 0.1, (200, 12)), rng.normal(0, 1, (60, 12)), np.zeros((10, 12))])
+    pts = pts.astype(np.float32).astype(float)
+    rows, staged = [], metric.staged
+    monkeypatch.setattr(metric, "COPIES", copies)
+    monkeypatch.setattr(metric, "UNIT", 64)
+    monkeypatch.setattr(metric, "staged", lambda df, name, *more: (lambda out: rows.append((name, out.count())) or out)(staged(df, name, *more)))
+    df = frame(spark, pts).withColumn("v", F.col("v").cast(f"array<{kind}>")).withColumn("value", F.col("id") % 50 - 20)
+    near = ((pts[:, None] - pts[None]) ** 2).sum(2) <= 9.0
+    assert {r["id"]: r["neighbours"] for r in metric.neighbour_counts(df, "id", "v", 3.0).collect()} == dict(enumerate(near.sum(1).tolist()))
+    assert copies or sum(n for _, n in rows) < 2 * len(pts)
+    value = np.arange(len(pts)) % 50 - 20
+    for how, want in (("sum", near[::2] @ value), ("min", [value[x].min() for x in near[::2]])):
+        got = metric.range_aggregate(df.where("id % 2 = 0"), df, "v", 3.0, "value", how).collect()
+        assert {tuple(r["v"]): r["value"] for r in got} == {tuple(p): int(x) for p, x in zip(pts[::2], want)}
+
+
+def test_scattered_vectors_are_not_copied(spark, monkeypatch):
+    """Every cell may hold a neighbour of every vector: copies for each would be 24 rows a vector."""
+    rows, staged = [], metric.staged
+    monkeypatch.setattr(metric, "staged", lambda df, name, *more: (lambda out: rows.append(out.count()) or out)(staged(df, name, *more)))
+    pts = np.random.default_rng(5).normal(0, 1, (600, 64))
+    got = {r["id"]: r["neighbours"] for r in metric.neighbour_counts(frame(spark, pts), "id", "v", 10.0).collect()}
+    assert got == dict(enumerate((((pts[:, None] - pts[None]) ** 2).sum(2) <= 100.0).sum(1).tolist()))
+    assert sum(rows) < 2 * len(pts)
